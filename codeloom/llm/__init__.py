@@ -13,16 +13,22 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import decontaminate, sharding, topk
+    from . import chunk_dedup, decontaminate, minhash, mixing, quality, secrets, sharding, topk, toxicity
 
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_decontamination": decontaminate.op2_decontamination,
+        "op3_chunk_dedup": chunk_dedup.op3_chunk_dedup,
         "op4_topk": topk.op4_topk,
+        "op5_quality": quality.op5_quality,
         "op6_shards": sharding.op6_shards,
+        "op7_near_duplicates": minhash.op7_near_duplicates,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_secrets": secrets.op10_secrets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, topk
+    from . import decontaminate, minhash, topk
 
-    return {"op2_decontamination": decontaminate.SQL, "op4_topk": topk.SQL}
+    return {"op2_decontamination": decontaminate.SQL, "op4_topk": topk.SQL, "op7_near_duplicates": minhash.SQL}

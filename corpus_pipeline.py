@@ -1,12 +1,65 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.llm.common import stored, table
+from codeloom.llm.decontaminate import decontaminate
+from codeloom.llm.minhash import near_duplicates
+from codeloom.llm.mixing import mix_documents
+from codeloom.llm.quality import score_quality
+from codeloom.llm.sharding import shard_documents
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ORACLE_SQL = None  # a fitted network, hashed draws and bin packing are not SQL's to express
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    scored = score_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return scored.filter("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id; of rows that repeat it, one."""
+    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    first = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return first.dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.select(*COLUMNS).join(hit, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them."""
+    return mix_documents(docs.select(*COLUMNS))
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its shard and its slot there."""
+    return shard_documents(docs.select(*COLUMNS)).select(*COLUMNS, "size", "text_crc32", "law", "shard", "slot")
+
 
-ORACLE_SQL = None
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicate),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for at, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if at + 1 < len(STAGES):
+            docs = stored(docs)
+    return docs
