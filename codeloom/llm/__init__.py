@@ -13,7 +13,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import chunk_dedup, decontaminate, minhash, mixing, quality, secrets, sharding, topk, toxicity
+    from . import chunk_dedup, decontaminate, minhash, mixing, quality, secrets, sharding, suffix_dedup, topk, toxicity
 
     return {
         "op1_mixing": mixing.op1_mixing,
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": quality.op5_quality,
         "op6_shards": sharding.op6_shards,
         "op7_near_duplicates": minhash.op7_near_duplicates,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_secrets": secrets.op10_secrets,
     }

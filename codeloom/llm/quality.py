@@ -4,7 +4,7 @@ Every token has a fixed sparse random index vector. A word's vector is the sum
 of the index vectors of the tokens that stand within two places of it anywhere
 in the corpus: one pass over all texts counts, with integers, so the sums do
 not depend on the partitioning. A document is the mean and the spread of its
-tokens' vectors. A network of two layers, fitted with numpy, scores it, and a
+tokens' vectors, and how alike the vectors of neighbours are. A network of two layers, fitted with numpy, scores it, and a
 temperature fitted on labelled rows left out of the fit makes its output a
 probability.
 """
@@ -92,16 +92,31 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
     return (unit / np.maximum(np.sqrt((unit**2).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
 
 
-def pooled(own: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of a document's token vectors, and the length of its mean; zeros for one without tokens."""
-    if not len(own):
-        return np.zeros(2 * DIM + 1, np.float32)
-    counts = np.bincount(own, minlength=TOKENS)
-    used = np.flatnonzero(counts)
-    share, rows = counts[used] / len(own), vectors[used].astype(np.float64)
-    mean = share @ rows
-    spread = np.sqrt(np.maximum(share @ rows**2 - mean**2, 0))
-    return np.concatenate([mean, spread, [np.sqrt((mean**2).sum())]]).astype(np.float32)
+class Pool:
+    """Pools a document's token vectors: their mean, their spread, the length of the mean, and how alike tokens one and two places apart are, on average and as the share of equal ones; zeros for a document without tokens."""
+
+    size = 2 * DIM + 5
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.vectors = vectors.astype(np.float64)
+        self.alike = (vectors @ vectors.T).astype(np.float16).reshape(-1)
+
+    def __call__(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size, np.float32)
+        if len(own):
+            counts = np.bincount(own, minlength=TOKENS)
+            used = np.flatnonzero(counts)
+            share, rows = counts[used] / len(own), self.vectors[used]
+            mean = share @ rows
+            out[:DIM] = mean
+            out[DIM : 2 * DIM] = np.sqrt(np.maximum(share @ rows**2 - mean**2, 0))
+            out[2 * DIM] = np.sqrt((mean**2).sum())
+            for step in (1, 2):
+                if len(own) > step:
+                    pairs = self.alike[own[:-step].astype(np.int64) * TOKENS + own[step:]]
+                    out[2 * DIM + 2 * step - 1] = pairs.mean(dtype=np.float64)
+                    out[2 * DIM + 2 * step] = (own[:-step] == own[step:]).mean()
+        return out
 
 
 @dataclass
@@ -170,23 +185,24 @@ def quality_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text"
     vectors = word_vectors(context_sums(docs, text_col, seed))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
+        numbers, pool = Numbers(), Pool(vectors)
         for batch in batches:
             offsets, data, _ = text_bytes(batch.column(2))
-            rows = [pooled(tokens(data[offsets[i] : offsets[i + 1]].tobytes(), numbers), vectors).tobytes() for i in range(batch.num_rows)]
+            rows = [pool(tokens(data[offsets[i] : offsets[i + 1]].tobytes(), numbers)).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
     found = labelled(docs, labels, text_col, id_col, label, fit_rows).mapInArrow(features, "id long, y int, x binary").orderBy(F.xxhash64("id"), "id", "x").limit(fit_rows).collect()
-    x = np.array([np.frombuffer(r[2], np.float32) for r in found], np.float64).reshape(-1, 2 * DIM + 1)
+    x = np.array([np.frombuffer(r[2], np.float32) for r in found], np.float64).reshape(-1, Pool.size)
     net = fit(x, np.array([r[1] for r in found], np.int64))
 
-    def score(texts: pa.Array) -> pa.Array:
-        numbers = Numbers()
-        offsets, data, _ = text_bytes(texts)
-        x = np.zeros((len(texts), 2 * DIM + 1), np.float32)
-        for i in range(len(texts)):
-            x[i] = pooled(tokens(data[offsets[i] : offsets[i + 1]].tobytes(), numbers), vectors)
-        return pa.array(net.probability(x.astype(np.float64)), pa.float64())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        numbers, pool = Numbers(), Pool(vectors)
+        for texts in batches:
+            offsets, data, _ = text_bytes(texts)
+            x = np.zeros((len(texts), Pool.size), np.float32)
+            for i in range(len(texts)):
+                x[i] = pool(tokens(data[offsets[i] : offsets[i + 1]].tobytes(), numbers))
+            yield pa.array(net.probability(x.astype(np.float64)), pa.float64())
 
     udf = F.arrow_udf(score, "double")
     return lambda text: udf(text)

@@ -135,14 +135,15 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text
         share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
         weights, bias = np.zeros(0), float(np.log(share / (1 - share)))
 
-    def score(texts: pa.Array) -> pa.Array:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense = lookup(weights, np.float32)
-        offsets, data, _ = text_bytes(texts)
-        logits = np.full(len(texts), bias)
-        for lo, hi in slices(offsets, 1 << 20):
-            doc, hashed = present(data, offsets[lo : hi + 1], dense)
-            logits[lo:hi] += np.bincount(doc, dense[hashed].astype(np.float64), hi - lo)
-        return pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))), pa.float64())
+        for texts in batches:
+            offsets, data, _ = text_bytes(texts)
+            logits = np.full(len(texts), bias)
+            for lo, hi in slices(offsets, 1 << 20):
+                doc, hashed = present(data, offsets[lo : hi + 1], dense)
+                logits[lo:hi] += np.bincount(doc, dense[hashed].astype(np.float64), hi - lo)
+            yield pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))), pa.float64())
 
     udf = F.arrow_udf(score, "double")
     return lambda text: udf(text)
