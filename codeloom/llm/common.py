@@ -15,8 +15,14 @@ from pyspark.sql import functions as F
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+#: Rows of an Arrow batch: texts and sets of a few kilobytes, of which a batch is held several times over on its way through a Python worker.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables; the path is left to Spark, as it may be in any store."""
+    """One of the driver's tables; the path is left to Spark, as it may be in any store. Sets the session's Arrow batches to BATCH_ROWS rows at most."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

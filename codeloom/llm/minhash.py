@@ -34,7 +34,7 @@ class Hashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = value
         return value
 
@@ -88,7 +88,7 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         hashes = Hashes()
         for batch in batches:
             offsets, data, _ = text_bytes(batch.column(1))
-            for lo, hi in slices(offsets, 1 << 19):
+            for lo, hi in slices(offsets, 1 << 18):
                 sets = [shingles(data[offsets[i] : offsets[i + 1]].tobytes(), size, hashes) for i in range(lo, hi)]
                 lengths = np.array([len(s) for s in sets])
                 keys = band_keys(signatures(np.concatenate(sets), np.repeat(np.arange(hi - lo), lengths), hi - lo, bands * rows), bands, rows)
