@@ -1,9 +1,699 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables, each with an SQL twin where SQL can say it."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import exprs
+from ..operators import depmaps, evaluate, incremental, profile, resolve, retrieval, text, verbs, workspace
+from ..operators import graph as graphs
+from . import views
+from .views import DOC_SQL, EDGE_SQL, GRAPH_SQL, NATION, ORDER, QNAME, RAW_SQL, REGION, SUPPLIER, SYM_SQL, graph, ns_match_sql, resolve_sql, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+FOUND: dict[str, tuple[Query, str | None]] = {}
+ANCHOR, PARENT, CALLER = "red plate", "ECONOMY", "order_7"
+COUNT = "CAST(count(*) AS BIGINT)"
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def put(f: Query) -> Query:
+        FOUND[name or f.__name__] = f, sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in FOUND.items() if s}
+
+
+# structural verbs
+
+SQ = QNAME.format(p="s.parent", n="s.name")
+CALLERS = f"SELECT s.file, {SQ} AS qname, s.signature, e.line, e.confidence FROM edge e JOIN sym s ON e.src_id = s.sym_id"
+CALLEES = "SELECT e.dst_name, coalesce(d.parent, '') AS def_parent, e.line, e.confidence, coalesce(d.file, '') AS def_file, coalesce(d.start_line, 0) AS def_line FROM edge e JOIN sym s ON e.src_id = s.sym_id LEFT JOIN sym d ON d.sym_id = e.dst_id WHERE e.kind = 'calls'"
+DEPENDENTS = f"SELECT e.kind, e.src_file AS file, coalesce({SQ}, '') AS qname, e.line FROM edge e LEFT JOIN sym s ON s.sym_id = e.src_id WHERE e.kind IN ('imports', 'extends', 'implements')"
+DEPS = "SELECT e.kind, e.dst_name AS target, coalesce(d.file, '') AS def_file, coalesce(d.start_line, 0) AS def_line, e.line FROM edge e LEFT JOIN sym d ON d.sym_id = e.dst_id"
+
+
+@query(f"WITH {SYM_SQL} SELECT sym_id, file, start_line, kind, tier FROM sym WHERE name = '{ANCHOR}' AND parent = '{PARENT}'")
+def definitions(spark, d):
+    g = verbs.CodeGraph(views.symbols(spark, d), views.raw_edges(spark, d))
+    return verbs.definitions(g, ANCHOR, PARENT).select("sym_id", "file", "start_line", "kind", "tier")
+
+
+@query(f"{GRAPH_SQL} {CALLERS} WHERE e.dst_name = '{ANCHOR}'")
+def callers_bare(spark, d):
+    return verbs.callers(graph(spark, d), ANCHOR)
+
+
+@query(f"{GRAPH_SQL} {CALLERS} WHERE e.dst_name = '{ANCHOR}' AND e.dst_id IN (SELECT sym_id FROM sym WHERE name = '{ANCHOR}' AND parent = '{PARENT}')")
+def callers_qualified(spark, d):
+    return verbs.callers(graph(spark, d), ANCHOR, PARENT)
+
+
+@query(f"{GRAPH_SQL} {CALLEES} AND s.name = '{CALLER}'")
+def callees(spark, d):
+    return verbs.callees(graph(spark, d), CALLER)
+
+
+@query(f"{GRAPH_SQL} {DEPENDENTS} AND (e.dst_name = 'building' OR e.dst_name ILIKE '%/building')")
+def dependents(spark, d):
+    return verbs.dependents(graph(spark, d), "building")
+
+
+@query(f"{GRAPH_SQL} {DEPS} WHERE e.kind = 'imports' AND e.src_file = 'orders/1-URGENT'")
+def file_imports(spark, d):
+    return verbs.file_imports(graph(spark, d), "orders/1-URGENT")
+
+
+@query(f"{GRAPH_SQL} {DEPS} JOIN sym s ON s.sym_id = e.src_id WHERE e.kind IN ('extends', 'implements') AND s.name = 'NATION_3'")
+def symbol_deps(spark, d):
+    return verbs.symbol_deps(graph(spark, d), "NATION_3")
+
+
+@query(f"{GRAPH_SQL} SELECT * FROM (SELECT *, 'symbol' AS section FROM ({DEPS} JOIN sym s ON s.sym_id = e.src_id WHERE e.kind IN ('extends', 'implements') AND s.name = '{CALLER}') UNION ALL SELECT *, 'imports' FROM ({DEPS} WHERE e.kind = 'imports' AND e.src_file = (SELECT min(file) FROM sym WHERE name = '{CALLER}')))")
+def deps_sections(spark, d):
+    return verbs.deps(graph(spark, d), CALLER)
+
+
+@query(f"""{GRAPH_SQL} SELECT 'definitions' AS section, {COUNT} AS n FROM sym WHERE name = '{ANCHOR}'
+UNION ALL SELECT 'callers', count(*) FROM ({CALLERS} WHERE e.dst_name = '{ANCHOR}') UNION ALL SELECT 'callees', count(*) FROM ({CALLEES} AND s.name = '{ANCHOR}')
+UNION ALL SELECT 'dependents', count(*) FROM ({DEPENDENTS} AND (e.dst_name = '{ANCHOR}' OR e.dst_name ILIKE '%/{ANCHOR}')) UNION ALL SELECT 'files', count(DISTINCT src_file) FROM edge WHERE dst_name = '{ANCHOR}'""")
+def impact_counts(spark, d):
+    return verbs.impact(graph(spark, d), ANCHOR)
+
+
+@query(f"WITH {RAW_SQL} SELECT DISTINCT src_file AS file FROM raw WHERE dst_name = '{ANCHOR}'")
+def referencing_files(spark, d):
+    return verbs.referencing_files(verbs.CodeGraph(None, views.raw_edges(spark, d)), ANCHOR)
+
+
+@query(f"""{GRAPH_SQL} SELECT 'definition' AS section, file, {COUNT} AS n FROM sym WHERE name = '{ANCHOR}' GROUP BY file
+UNION ALL SELECT 'caller', file, count(*) FROM ({CALLERS} WHERE e.dst_name = '{ANCHOR}') GROUP BY file""")
+def nav_union(spark, d):
+    g = graph(spark, d)
+    one = lambda df, s: df.groupBy("file").agg(F.count("*").alias("n")).select(F.lit(s).alias("section"), "file", "n")
+    return one(verbs.definitions(g, ANCHOR), "definition").unionByName(one(verbs.callers(g, ANCHOR), "caller"))
+
+
+@query(f"WITH {RAW_SQL}, n AS (SELECT dst_name AS name, {COUNT} AS n FROM raw WHERE kind = 'calls' AND NOT contains(dst_name, '/') GROUP BY 1 HAVING count(*) >= 3) SELECT name, n FROM (SELECT *, row_number() OVER (ORDER BY n, name) AS r, count(*) OVER () AS c FROM n) WHERE r = c // 2 + 1")
+def median_called(spark, d):
+    return verbs.median_called(verbs.CodeGraph(None, views.raw_edges(spark, d)), 3)
+
+
+@query(f"""{GRAPH_SQL}, a AS (SELECT dst_name AS name, count(*) AS named, count(*) FILTER (WHERE kind = 'calls') AS calls_named FROM edge GROUP BY 1), b AS (SELECT dst_id AS sym_id, count(*) AS resolved FROM edge WHERE dst_id <> 0 GROUP BY 1)
+SELECT sym_id, name, CAST(coalesce(named, 0) AS BIGINT) AS named, CAST(coalesce(calls_named, 0) AS BIGINT) AS calls_named, CAST(coalesce(resolved, 0) AS BIGINT) AS resolved FROM sym LEFT JOIN a USING (name) LEFT JOIN b USING (sym_id) WHERE tier = 0""")
+def caller_counts_three_ways(spark, d):
+    return verbs.caller_counts(graph(spark, d))
+
+
+@query(f"""WITH {SYM_SQL}, {RAW_SQL}, c AS (SELECT dst_name AS name, count(*) AS callers, count(*) FILTER (WHERE src_file <> 'brand/Brand#2') AS external FROM raw WHERE kind = 'calls' GROUP BY 1)
+SELECT name, kind, start_line, end_line, CAST(coalesce(callers, 0) AS BIGINT) AS callers, CAST(coalesce(external, 0) AS BIGINT) AS external FROM sym LEFT JOIN c USING (name) WHERE file = 'brand/Brand#2' AND start_line <= 900 AND end_line >= 20""")
+def enclosing_overlap(spark, d):
+    return verbs.enclosing(verbs.CodeGraph(views.symbols(spark, d), views.raw_edges(spark, d)), "brand/Brand#2", 20, 900)
+
+
+@query(f"""WITH {DOC_SQL}, p AS (SELECT file, line FROM lines WHERE contains(text, 'License') OR contains(text, 'token'))
+SELECT file, line, sym_id, name FROM (SELECT p.file, p.line, s.sym_id, s.name, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line, sym_id) AS r FROM p LEFT JOIN spans s ON s.file = p.file AND start_line <= line AND line <= end_line) WHERE r = 1""")
+def innermost_span(spark, d):
+    points = text.grep(views.doc_files(spark, d), "License|token").withColumn("id", F.concat_ws(":", "file", "line"))
+    return verbs.innermost(points.select("id", "file", "line"), views.doc_spans(spark, d)).select("file", F.col("line").cast("long").alias("line"), F.col("sym_id").cast("long").alias("sym_id"), "name")
+
+
+# resolution
+
+
+@query(f"WITH {SYM_SQL}, {RAW_SQL}, {resolve_sql()} SELECT dst_name, dst_qualifier, src_ns, dst_ns, dst_id, confidence, rung, CAST(candidates AS BIGINT) AS candidates FROM res")
+def resolve_ladder(spark, d):
+    return resolve.resolve(views.raw_edges(spark, d), views.symbols(spark, d))
+
+
+@query(f"{GRAPH_SQL} SELECT kind, confidence, {COUNT} AS n FROM edge GROUP BY 1, 2")
+def resolve_confidence_histogram(spark, d):
+    return graph(spark, d).edges.groupBy("kind", "confidence").agg(F.count("*").alias("n"))
+
+
+LESS = "sym2 AS (SELECT * FROM sym WHERE file <> 'brand/Brand#2')"
+
+
+@query(f"WITH {SYM_SQL}, {RAW_SQL}, {LESS}, {resolve_sql('raw', 'sym2')}, {EDGE_SQL} SELECT dst_name, confidence, {COUNT} AS n FROM edge GROUP BY 1, 2")
+def reresolve_affected(spark, d):
+    """The graph after a file is gone, from the one before and only the names it defined."""
+    g = graph(spark, d)
+    touched = spark.createDataFrame([("brand/Brand#2",)], "path string")
+    after = g.symbols.filter("file <> 'brand/Brand#2'")
+    names = incremental.affected_names(g.symbols, after, touched)
+    return resolve.re_resolve(g.edges, after, names).groupBy("dst_name", "confidence").agg(F.count("*").alias("n"))
+
+
+PATHS = "(SELECT 'lib/' || source || '/m' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.php' ELSE '.ts' END AS path, CASE WHEN doc_id % 12 = 2 THEN 'App' ELSE '' END AS declared FROM documents)"
+
+
+@query(f"""SELECT path, CASE WHEN declared <> '' THEN declared WHEN path LIKE '%.go' OR path LIKE '%.php' THEN regexp_replace(path, '/[^/]*$', '')
+WHEN path LIKE '%.py' THEN replace(regexp_replace(path, '\\.py$', ''), '/', '.') ELSE path END AS namespace FROM {PATHS}""")
+def namespace_derivation(spark, d):
+    docs = table(spark, d, "documents")
+    end = F.when(F.col("doc_id") % 4 == 0, ".go").when(F.col("doc_id") % 4 == 1, ".py").when(F.col("doc_id") % 4 == 2, ".php").otherwise(".ts")
+    docs = docs.select(F.concat(F.lit("lib/"), "source", F.lit("/m"), "doc_id", end).alias("path"), F.when(F.col("doc_id") % 12 == 2, "App").otherwise("").alias("declared"))
+    return docs.select("path", exprs.derive_namespace("path", "declared").alias("namespace"))
+
+
+HINTS = "(SELECT DISTINCT p_brand || suffix AS ns, prefix || b.brand || ending AS hint FROM part, (SELECT DISTINCT p_brand AS brand FROM part) b, (VALUES (''), ('.ts'), ('/index.js')) s(suffix), (VALUES ('', ''), ('dep/', ''), ('dep.', ''), ('', '/sub'), ('', '\\sub')) h(prefix, ending))"
+
+
+def hints(spark: SparkSession, d: str) -> DataFrame:
+    brands = table(spark, d, "part").select("p_brand").distinct()
+    endings = spark.createDataFrame([("",), (".ts",), ("/index.js",)], "suffix string")
+    shapes = spark.createDataFrame([("", ""), ("dep/", ""), ("dep.", ""), ("", "/sub"), ("", "\\sub")], "prefix string, ending string")
+    # the brands are a short closed list
+    ns = brands.crossJoin(F.broadcast(endings)).select(F.concat("p_brand", "suffix").alias("ns"))
+    hint = brands.crossJoin(F.broadcast(shapes)).select(F.concat("prefix", "p_brand", "ending").alias("hint"))
+    return ns.crossJoin(F.broadcast(hint))
+
+
+@query(f"SELECT ns, hint FROM {HINTS} WHERE {ns_match_sql('ns', 'hint')}")
+def ns_match(spark, d):
+    return hints(spark, d).filter(exprs.ns_match("ns", "hint"))
+
+
+@query(f"SELECT ns, hint FROM {HINTS} WHERE ns <> '' AND (ns = hint OR (starts_with(hint, ns) AND substr(hint, length(ns) + 1, 1) IN ('/', '.', '\\')))")
+def ns_prefix(spark, d):
+    return hints(spark, d).filter(exprs.ns_prefix("ns", "hint"))
+
+
+@query(f"{GRAPH_SQL} SELECT e.src_file, s.name AS src_name, s.parent AS src_parent, e.dst_name, e.dst_qualifier, e.dst_ns, e.kind, e.line FROM edge e JOIN sym s ON s.sym_id = e.src_id WHERE e.dst_id = 0 AND e.src_id <> 0")
+def unresolved_edges(spark, d):
+    return verbs.unresolved_edges(graph(spark, d))
+
+
+@query(f"{GRAPH_SQL} SELECT e.src_file, s.name AS src_name, e.dst_name, e.kind, e.line, t.namespace AS target_ns FROM edge e JOIN sym s ON s.sym_id = e.src_id JOIN sym t ON t.sym_id = e.dst_id AND t.tier = 1")
+def tier_one_edges(spark, d):
+    return verbs.tier_one_edges(graph(spark, d))
+
+
+# incremental maintenance
+
+TREE_SQL = """a AS (SELECT source || '/' || doc_id AS path, sha256(text) AS hash, n_chars AS size, doc_id AS mtime FROM documents),
+b AS (SELECT source || '/' || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS hash, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS size, CASE WHEN doc_id % 5 = 0 THEN doc_id + 1 ELSE doc_id END AS mtime FROM documents WHERE doc_id % 11 <> 0)"""
+
+
+def trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    sha = lambda c: F.sha2(c.cast("binary"), 256).alias("hash")
+    path = F.concat_ws("/", "source", "doc_id").alias("path")
+    a = docs.select(path, sha(F.col("text")), F.col("n_chars").alias("size"), F.col("doc_id").alias("mtime"))
+    seven = F.col("doc_id") % 7 == 0
+    b = docs.filter("doc_id % 11 <> 0").select(path, sha(F.when(seven, F.concat("text", F.lit("x"))).otherwise(F.col("text"))), F.when(seven, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("mtime"))
+    return a, b
+
+
+@query(f"""WITH {TREE_SQL} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.size = b.size AND a.mtime = b.mtime THEN 'unchanged' WHEN a.hash = b.hash THEN 'refresh' ELSE 'changed' END AS state FROM b FULL JOIN a ON a.path = b.path""")
+def merkle_diff(spark, d):
+    a, b = trees(spark, d)
+    return incremental.merkle_diff(b, a)
+
+
+@query("WITH f AS (SELECT source || '/' || doc_id AS path, sha256(text) AS hash FROM documents) SELECT sha256(string_agg(path || chr(0) || hash || chr(10), '' ORDER BY path)) AS root FROM f")
+def merkle_root(spark, d):
+    return incremental.merkle_root(trees(spark, d)[0])
+
+
+@query("SELECT 'a' AS side, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'b', 0")
+def patch_equals_rebuild(spark, d):
+    """Differences between a graph whose files were taken out and patched in again, changed, and one built anew."""
+    own, raw = views.symbols(spark, d), views.raw_edges(spark, d)
+    new = own.withColumn("name", F.when(F.col("file") == "brand/Brand#2", F.concat("name", F.lit(" v2"))).otherwise(F.col("name")))
+    touched = spark.createDataFrame([("brand/Brand#2",), ("orders/1-URGENT",)], "path string")
+    files = ["brand/Brand#2", "orders/1-URGENT"]
+    old = verbs.CodeGraph(own, resolve.resolve_edges(raw, own))
+    patched = incremental.patch(old, new.filter(F.col("file").isin(files)), raw.filter(F.col("src_file").isin(files)), touched)
+    built = verbs.CodeGraph(new, resolve.resolve_edges(raw, new))
+    n = incremental.differences(patched, built).groupBy("side").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([("a",), ("b",)], "side string").join(n, "side", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"WITH {SYM_SQL} SELECT DISTINCT name FROM sym WHERE file IN ('brand/Brand#2', 'brand/Brand#3') UNION SELECT DISTINCT name || ' v2' FROM sym WHERE file = 'brand/Brand#3'")
+def affected_names(spark, d):
+    own = views.symbols(spark, d)
+    after = own.withColumn("name", F.when(F.col("file") == "brand/Brand#3", F.concat("name", F.lit(" v2"))).otherwise(F.col("name")))
+    return incremental.affected_names(own, after, spark.createDataFrame([("brand/Brand#2",), ("brand/Brand#3",)], "path string"))
+
+
+# text
+
+CAMEL = "SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS a, lower(split_part(p_name, ' ', 2)) AS b, CAST(p_partkey AS VARCHAR) AS c FROM part"
+
+
+def camel(spark: SparkSession, d: str) -> DataFrame:
+    cap = F.initcap(F.split("p_name", " ")[0])
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("HTTP"), cap, F.lit("_"), F.split("p_name", " ")[1], F.lit("V"), "p_partkey").alias("name"))
+
+
+@query(f"SELECT p_partkey, 'http ' || a || ' ' || b || ' v ' || c AS tokens FROM ({CAMEL})")
+def tokenize(spark, d):
+    return camel(spark, d).select("p_partkey", F.array_join(exprs.tokens("name"), " ").alias("tokens"))
+
+
+STEM_SQL = "CASE " + " ".join(f"WHEN ends_with(w, '{s}') AND length(w) >= {len(s) + 3} THEN left(w, length(w) - {len(s)})" for s in ("ing", "ers", "er", "ed", "es", "s")) + " ELSE w END"
+
+
+@query(f"SELECT DISTINCT w AS word, {STEM_SQL} AS stem FROM (SELECT unnest(string_split(p_name, ' ')) || e AS w FROM part, (VALUES (''), ('s'), ('ers'), ('ing'), ('ed')) v(e))")
+def stem(spark, d):
+    ends = spark.createDataFrame([("",), ("s",), ("ers",), ("ing",), ("ed",)], "e string")
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct().crossJoin(F.broadcast(ends)).select(F.concat("w", "e").alias("word")).distinct()
+    return words.select("word", exprs.stem("word").alias("stem"))
+
+
+FIND_SQL = f"""{GRAPH_SQL}, n AS (SELECT dst_id AS sym_id, count(*) AS callers FROM edge WHERE dst_id <> 0 GROUP BY 1),
+q AS (SELECT sym.*, coalesce(callers, 0) AS callers, string_split(name, ' ') AS t FROM sym LEFT JOIN n USING (sym_id)),
+m AS (SELECT *, CASE WHEN name = 'plate red' THEN 100 WHEN len(t) = 2 AND list_contains(t, 'plate') AND list_contains(t, 'r' || 'ed') THEN 90 WHEN starts_with(name, 'plate red') THEN 80
+  WHEN list_contains(t, 'plate') AND list_contains(t, 'red') THEN 70 WHEN regexp_matches(name, '.*p.*l.*a.*t.*e.* .*r.*e.*d') THEN 50 ELSE 0 END AS quality FROM q),
+s AS (SELECT *, round(quality * (1 + log10(1 + callers)) * CASE WHEN tier <> 0 THEN 0.6 ELSE 1.0 END * CASE WHEN kind = 'method' THEN 0.9 ELSE 1.0 END, 6) AS score FROM m WHERE quality > 0)
+SELECT sym_id, name, file, start_line, score, CASE quality WHEN 100 THEN 'exact' WHEN 90 THEN 'token-set' WHEN 80 THEN 'prefix' WHEN 70 THEN 'all-tokens' ELSE 'subsequence' END AS match FROM s ORDER BY score DESC, name, file, start_line, sym_id LIMIT 20"""
+
+
+@query(FIND_SQL)
+def find_ranked(spark, d):
+    return text.find(verbs.symbols_with_callers(graph(spark, d)), "plate red", limit=20)
+
+
+@query(f"WITH {DOC_SQL} SELECT file, line, trim(text) AS text FROM lines WHERE contains(text, 'License')")
+def grep_lines(spark, d):
+    return text.grep(views.doc_files(spark, d), "License").select("file", F.col("line").cast("long").alias("line"), "text")
+
+
+@query(f"""WITH {DOC_SQL}, p AS (SELECT file, line FROM lines WHERE regexp_matches(text, '\\b(?:token|License)\\b')),
+i AS (SELECT * FROM (SELECT p.file, p.line, s.sym_id, s.name, s.start_line, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line, sym_id) AS r FROM p JOIN spans s ON s.file = p.file AND start_line <= line AND line <= end_line) WHERE r = 1)
+SELECT file, sym_id, name, {COUNT} AS hits, CAST(min(line) AS BIGINT) AS first_line, bool_or(line = start_line) AS is_def, false AS is_test FROM i GROUP BY 1, 2, 3""")
+def grep_grouped(spark, d):
+    found = text.grep_grouped(views.doc_files(spark, d), views.doc_spans(spark, d), "token|License", word=True)
+    return found.withColumns({"first_line": F.col("first_line").cast("long"), "sym_id": F.col("sym_id").cast("long")})
+
+
+@query(f"""WITH {DOC_SQL}, h AS (SELECT w.word, w.place, file, line FROM lines, (VALUES ('password', 0), ('license', 1)) w(word, place) WHERE contains(lower(text), w.word)),
+i AS (SELECT * FROM (SELECT h.word, h.place, s.sym_id, row_number() OVER (PARTITION BY h.word, h.file, h.line ORDER BY end_line - start_line, start_line, sym_id) AS r FROM h JOIN spans s ON s.file = h.file AND start_line <= line AND line <= end_line) WHERE r = 1),
+raw AS (SELECT word, count(*) AS raw FROM h GROUP BY 1),
+o AS (SELECT * FROM (SELECT word, place, sym_id, hits, row_number() OVER (PARTITION BY word ORDER BY hits DESC, sym_id) AS r FROM (SELECT word, place, sym_id, count(*) AS hits FROM i GROUP BY 1, 2, 3)) JOIN raw USING (word) WHERE r <= 15 AND raw <= 100000),
+b AS (SELECT sym_id, sum(hits) AS hits, count(*) AS words, min(raw) AS raw, min((place, -hits)) AS f FROM o GROUP BY 1)
+SELECT sym_id, CAST(hits AS BIGINT) AS hits, CAST(words AS BIGINT) AS words, round(CASE WHEN words >= 2 THEN 1.5 ELSE 1.0 END * greatest(0.3, least(1.5, 2 / log10(10 + raw))), 6) AS conf,
+  row_number() OVER (ORDER BY words < 2, CASE WHEN words >= 2 THEN -hits ELSE 0 END, f, sym_id) - 1 AS rank FROM b""")
+def literal_lane(spark, d):
+    found = text.literal_lane(views.doc_files(spark, d), views.doc_spans(spark, d), "the password and license", n_symbols=1_000_000)
+    return found.select(F.col("sym_id").cast("long").alias("sym_id"), "hits", "words", "conf", F.col("rank").cast("long").alias("rank"))
+
+
+FAMILY_SQL = """own AS (SELECT DISTINCT lang AS family, doc_id AS id, w AS word FROM (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents) WHERE length(w) >= 3),
+words AS (SELECT family, word, count(*) AS df, any_value(size) AS size FROM own JOIN (SELECT lang AS family, count(DISTINCT doc_id) AS size FROM documents GROUP BY 1) USING (family) GROUP BY 1, 2)"""
+
+
+def families(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("lang").alias("family"), F.col("doc_id").alias("id"), "text")
+
+
+@query(f"WITH {FAMILY_SQL} SELECT family, word, CAST(df AS BIGINT) AS df, CAST(size AS BIGINT) AS size FROM words WHERE size >= 5 AND df >= 0.8 * size")
+def contrast_boilerplate(spark, d):
+    return text.boilerplate(text.family_words(families(spark, d))).select("family", "word", "df", "size")
+
+
+@query(f"WITH {FAMILY_SQL}, u AS (SELECT family, id, word, row_number() OVER (PARTITION BY family, id ORDER BY word) AS r FROM own JOIN words USING (family, word) WHERE df = 1 AND size >= 2) SELECT family, id, string_agg(word, ' ' ORDER BY word) AS words FROM u WHERE r <= 6 GROUP BY 1, 2")
+def distinctive_terms(spark, d):
+    docs = families(spark, d)
+    return text.distinctive(text.family_words(docs), docs)
+
+
+@query("SELECT doc_id, sha256('doc_' || doc_id || ' ' || lang || '. in ' || source) AS hash FROM documents")
+def card_hashes(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("doc_"), "doc_id", F.lit(" "), "lang", F.lit(". in "), "source").cast("binary"), 256).alias("hash"))
+
+
+# vectors
+
+Q8 = "list_transform(embedding, lambda x: CAST(trunc(greatest(least(CAST(x AS DOUBLE) * 127, 127), -127)) AS INTEGER))"
+Q8_SQL = f"v AS (SELECT vec_id AS id, {Q8} AS vec FROM embeddings)"
+DOT = "CAST(list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2])) AS DOUBLE)"
+NEAR_SQL = f"{Q8_SQL}, q AS (SELECT vec AS q FROM v WHERE id = 0), near AS (SELECT id, round({DOT.format(a='vec', b='q')} / sqrt({DOT.format(a='vec', b='vec')} * {DOT.format(a='q', b='q')}), 6) AS score FROM v, q ORDER BY score DESC, id LIMIT 50)"
+
+
+@query(f"WITH {Q8_SQL} SELECT id, array_to_string(vec, ',') AS vec FROM v")
+def quantize_int8(spark, d):
+    return retrieval.quantized(table(spark, d, "embeddings")).select("id", F.array_join(F.transform("vec", lambda x: x.cast("string")), ",").alias("vec"))
+
+
+def near(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
+    vec = retrieval.quantized(table(spark, d, "embeddings"))
+    return retrieval.top_k(vec, vec.filter("id = 0").select(F.col("vec").alias("q")), k)
+
+
+@query(f"WITH {NEAR_SQL} SELECT id, score FROM near")
+def topk_cosine(spark, d):
+    return near(spark, d)
+
+
+@query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+def missing_vecs(spark, d):
+    cards = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return retrieval.missing_vectors(cards, cards.filter("doc_id % 3 = 0").withColumn("model", F.lit("m")), "m")
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE doc_id % 3 = 0 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def prune_vecs(spark, d):
+    cards = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return retrieval.prune_vectors(cards.filter("doc_id % 3 = 0"), cards.filter("doc_id % 2 = 0")).select("doc_id", "hash")
+
+
+# ranking
+
+LEX_SQL = "lex AS (SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) - 1 AS rank FROM (SELECT * FROM embeddings ORDER BY label, vec_id LIMIT 50)), vecr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM near)"
+FUSE_SQL = f"{NEAR_SQL}, {LEX_SQL}, fused AS (SELECT id, sum(part) AS fused, string_agg(lane, '+' ORDER BY lane) AS lanes FROM (SELECT id, 1.0 / (60 + rank) AS part, 'lex' AS lane FROM lex UNION ALL SELECT id, 1.0 / (10 + rank), 'vec' FROM vecr) GROUP BY id)"
+
+
+def fused(spark: SparkSession, d: str) -> DataFrame:
+    lex = table(spark, d, "embeddings").orderBy("label", "vec_id").limit(50).select(F.col("vec_id").alias("id"), "label")
+    return retrieval.fuse(retrieval.ranks(lex, F.col("label"), F.col("id")), retrieval.ranks(near(spark, d), F.desc("score"), F.col("id")))
+
+
+@query(f"WITH {FUSE_SQL} SELECT id, round(fused, 6) AS fused, lanes FROM fused")
+def rrf_fusion(spark, d):
+    return fused(spark, d).withColumn("fused", F.round("fused", 6))
+
+
+@query(f"""{GRAPH_SQL}, n AS (SELECT dst_id AS sym_id, count(*) AS callers FROM edge WHERE dst_id <> 0 GROUP BY 1)
+SELECT sym_id, round((1 + log10(1 + coalesce(callers, 0))) * CASE WHEN tier <> 0 THEN 0.6 ELSE 1 END * CASE WHEN kind = 'method' THEN 0.9 ELSE 1 END, 6) AS boost, CAST(1.0 AS DOUBLE) AS penalty FROM sym LEFT JOIN n USING (sym_id)""")
+def graph_boost(spark, d):
+    return verbs.symbols_with_callers(graph(spark, d)).select("sym_id", F.round(exprs.graph_boost("callers", "tier", "kind"), 6).alias("boost"), exprs.file_penalty("file").alias("penalty"))
+
+
+GEO_SQL = f"""pairs AS (SELECT n_nationkey + {NATION} AS a, n_regionkey + {REGION} AS b, CAST(1.0 AS DOUBLE) AS w FROM nation UNION ALL SELECT s_suppkey + {SUPPLIER}, s_nationkey + {NATION}, CAST(2.0 AS DOUBLE) FROM supplier),
+und AS (SELECT a, b, sum(w) AS w FROM (SELECT * FROM pairs UNION ALL SELECT b, a, w FROM pairs) GROUP BY 1, 2), share AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM und),
+seed AS (SELECT r_regionkey + {REGION} AS id, (r_regionkey + 1) / (SELECT CAST(sum(r_regionkey + 1) AS DOUBLE) FROM region) AS r FROM region)"""
+STEPS = ", ".join([f"m{i} AS (SELECT id, sum(m) AS m FROM (SELECT b AS id, 0.85 * m * p AS m FROM m{i - 1} JOIN share ON id = a UNION ALL SELECT id, r * (0.15 + 0.85 * (SELECT coalesce(sum(m), 0) FROM m{i - 1} WHERE id NOT IN (SELECT a FROM share))) FROM seed) GROUP BY id)" for i in range(1, 13)])
+PPR_SQL = f"{GEO_SQL}, m0 AS (SELECT id, r AS m FROM seed), {STEPS}"
+
+
+def geo(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
+    pairs = nation.select((F.col("n_nationkey") + F.lit(NATION)).alias("a"), (F.col("n_regionkey") + F.lit(REGION)).alias("b"), F.lit(1.0).alias("w"))
+    pairs = pairs.unionByName(supplier.select((F.col("s_suppkey") + SUPPLIER).alias("a"), (F.col("s_nationkey") + F.lit(NATION)).alias("b"), F.lit(2.0).alias("w")))
+    return pairs, table(spark, d, "region").select((F.col("r_regionkey") + F.lit(REGION)).alias("id"), (F.col("r_regionkey") + 1).cast("double").alias("score"))
+
+
+@query(f"WITH {PPR_SQL} SELECT id, round(m, 9) AS mass FROM m12")
+def ppr_diffusion(spark, d):
+    return graphs.diffuse(*geo(spark, d)).withColumn("mass", F.round("mass", 9))
+
+
+BLEND_SQL = f"""WITH {FUSE_SQL}, g AS (SELECT vec_id AS id, CAST(label AS DOUBLE) + 1 AS mass FROM embeddings WHERE vec_id % 10 = 0),
+both_ AS (SELECT coalesce(f.id, g.id) AS id, coalesce(fused, 0) AS fused, coalesce(mass, 0) AS mass, coalesce(lanes, 'graph') AS lanes FROM fused f FULL JOIN g ON f.id = g.id)
+SELECT id, round(0.7 * fused / (SELECT max(fused) FROM both_) + 0.3 * mass / (SELECT max(mass) FROM both_) + CASE WHEN id = 20 THEN 1000 WHEN id = 40 THEN 900 ELSE 0 END, 6) AS score, lanes FROM both_"""
+
+
+@query(BLEND_SQL)
+def blend_and_pins(spark, d):
+    mass = table(spark, d, "embeddings").filter("vec_id % 10 = 0").select(F.col("vec_id").alias("id"), (F.col("label") + 1.0).alias("mass"))
+    pins = spark.createDataFrame([(20, 1000.0), (20, 900.0), (40, 900.0), (-5, 900.0)], "id long, boost double")
+    return retrieval.pin(retrieval.blend(fused(spark, d), mass), pins).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT DISTINCT o_custkey AS id, o_custkey - o_custkey % 10 AS component FROM orders UNION SELECT o_custkey - o_custkey % 10, o_custkey - o_custkey % 10 FROM orders UNION SELECT o_orderkey + 1000000000000, o_custkey - o_custkey % 10 FROM orders")
+def connected_components(spark, d):
+    orders = table(spark, d, "orders")
+    pairs = orders.select((F.col("o_orderkey") + 1_000_000_000_000).alias("a"), F.col("o_custkey").alias("b"))
+    pairs = pairs.unionByName(orders.select(F.col("o_custkey").alias("a"), (F.col("o_custkey") - F.col("o_custkey") % 10).alias("b")))
+    return graphs.connected_components(pairs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+
+
+@query("""WITH s AS (SELECT vec_id AS id, 'lib/' || label || '/f' || vec_id AS file, CAST(vec_id % 7 AS DOUBLE) AS heat, CAST(vec_id % 11 AS DOUBLE) AS mass, vec_id % 13 AS callers, label AS component, round(1.0 / (1 + vec_id), 6) AS score FROM embeddings)
+SELECT component, CAST(n AS BIGINT) AS members, best, id AS entry, file AS entry_file FROM (SELECT *, count(*) OVER (PARTITION BY component) AS n, max(score) OVER (PARTITION BY component) AS best, row_number() OVER (PARTITION BY component ORDER BY heat DESC, mass DESC, callers DESC, id) AS r FROM s) WHERE r = 1""")
+def cluster_entries(spark, d):
+    e = table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    rows = e.select("id", F.concat(F.lit("lib/"), "label", F.lit("/f"), "id").alias("file"), (F.col("id") % 7).cast("double").alias("heat"), (F.col("id") % 11).cast("double").alias("mass"), (F.col("id") % 13).alias("callers"), F.round(1.0 / (1 + F.col("id")), 6).alias("score"))
+    return retrieval.cluster_entries(rows, e.select("id", F.col("label").alias("component")))
+
+
+@query("""WITH s AS (SELECT s_nationkey AS component, 'lib/n' || s_nationkey || '/f' || s_suppkey AS file, s_suppkey FROM supplier), w AS (SELECT component, t, count(*) AS n FROM (SELECT component, 'supplier' AS t FROM s UNION ALL SELECT component, 't' || s_suppkey % 3 FROM s) GROUP BY 1, 2)
+SELECT component, 'lib/n' || component AS dir, (SELECT t FROM w WHERE w.component = c.component ORDER BY n DESC, t LIMIT 1) AS token FROM (SELECT DISTINCT component FROM s) c""")
+def cluster_labels(spark, d):
+    s = table(spark, d, "supplier")
+    return retrieval.cluster_labels(s.select(F.col("s_nationkey").alias("component"), F.concat(F.lit("lib/n"), "s_nationkey", F.lit("/f"), "s_suppkey").alias("file"), F.array(F.lit("supplier"), F.concat(F.lit("t"), F.col("s_suppkey") % 3)).alias("tokens")))
+
+
+@query(f"WITH {GEO_SQL}, one AS (SELECT b AS id FROM und WHERE a = {REGION} UNION SELECT {REGION}) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM und WHERE a IN (SELECT id FROM one)")
+def neighborhood_2hop(spark, d):
+    pairs, _ = geo(spark, d)
+    return graphs.two_hops(pairs.select("a", "b"), spark.createDataFrame([(REGION,)], "id long"))
+
+
+@query(None)
+def neighborhood_capped(spark, d):
+    return graphs.neighborhood(graph(spark, d), [ORDER + 1, ORDER + 2], most_nodes=40, most_degree=8)
+
+
+# graph output
+
+
+@query(f"""{GRAPH_SQL} SELECT DISTINCT 'sym:' || qname AS id FROM (SELECT '{ANCHOR}' AS qname UNION ALL SELECT qname FROM ({CALLERS} WHERE e.dst_name = '{ANCHOR}') UNION ALL SELECT {QNAME.format(p='def_parent', n='dst_name')} FROM ({CALLEES} AND s.name = '{ANCHOR}'))""")
+def graph_neighborhood(spark, d):
+    return graphs.neighborhood_graph(graph(spark, d), ANCHOR)[0].select("id")
+
+
+FULL_SQL = f"{GRAPH_SQL}, calls AS (SELECT e.* FROM edge e JOIN sym a ON a.sym_id = e.src_id AND a.tier = 0 JOIN sym b ON b.sym_id = e.dst_id AND b.tier = 0 WHERE e.kind = 'calls' AND e.src_id <> e.dst_id)"
+
+
+@query(f"{FULL_SQL} SELECT 'sym#' || sym_id AS id, {QNAME.format(p='parent', n='name')} AS label, regexp_replace(file, '/[^/]*$', '') AS \"group\" FROM sym WHERE sym_id IN (SELECT src_id FROM calls UNION SELECT dst_id FROM calls)")
+def graph_full_nodes(spark, d):
+    return graphs.full_graph(graph(spark, d))[0]
+
+
+@query(f"{FULL_SQL} SELECT 'sym#' || src_id AS source, 'sym#' || dst_id AS target, kind, confidence FROM calls")
+def graph_full_edges(spark, d):
+    return graphs.full_graph(graph(spark, d))[1]
+
+
+# dependency maps
+
+MAP_SQL = "a AS (SELECT 'dep/' || p_brand || '/' || p_partkey AS path, p_brand AS namespace, 'v1' AS version, sha256(p_name) AS maphash, p_partkey AS size FROM part WHERE p_partkey % 2 = 0), b AS (SELECT 'dep/' || p_brand || '/' || p_partkey AS path, p_brand AS namespace, 'v2' AS version, sha256(p_name) AS maphash, p_partkey AS size FROM part WHERE p_partkey % 3 = 0)"
+
+
+def maps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part = table(spark, d, "part")
+    one = lambda n, v: part.filter(F.col("p_partkey") % n == 0).select(F.concat(F.col("p_brand"), F.lit("/"), "p_partkey").alias("path"), F.col("p_brand").alias("namespace"), F.lit(v).alias("version"), F.sha2(F.col("p_name").cast("binary"), 256).alias("maphash"), F.col("p_partkey").alias("size"))
+    return one(2, "v1").withColumn("path", F.concat(F.lit("dep/"), "path")), one(3, "v2")
+
+
+@query(f"WITH {MAP_SQL} SELECT * FROM a UNION ALL SELECT * FROM b WHERE path NOT IN (SELECT path FROM a)")
+def attach_map(spark, d):
+    return depmaps.attach(*maps(spark, d), prefix="dep/")
+
+
+@query(f"WITH {MAP_SQL} SELECT path, CASE WHEN size % 5 = 0 THEN 'modified' WHEN size % 7 = 0 THEN 'refresh' ELSE 'same' END AS state FROM a WHERE size % 11 <> 0")
+def overlay_modified(spark, d):
+    a, _ = maps(spark, d)
+    files = a.withColumns({"curhash": F.col("maphash"), "mtime": F.col("size")})
+    disk = a.filter("size % 11 <> 0").select("path", F.when(F.col("size") % 5 == 0, "other").otherwise(F.col("maphash")).alias("hash"), "size", F.when((F.col("size") % 5 == 0) | (F.col("size") % 7 == 0), F.col("size") + 1).otherwise(F.col("size")).alias("mtime"))
+    return depmaps.verify(files, disk)
+
+
+@query(f"""{GRAPH_SQL} SELECT e.dst_name, d.file AS def_file, CASE WHEN d.tier = 1 THEN d.namespace || '@v1' ELSE '' END AS dep, coalesce(d.tier = 1 AND d.namespace = 'dep/Brand#3', false) AS modified FROM edge e JOIN sym d ON d.sym_id = e.dst_id WHERE e.src_file = 'orders/1-URGENT' AND e.kind = 'calls'""")
+def dep_provenance(spark, d):
+    g = graph(spark, d)
+    files = g.symbols.filter("tier = 1").select(F.col("file").alias("path"), "namespace").distinct().withColumns({"version": F.lit("v1"), "modified": F.col("namespace") == "dep/Brand#3"})
+    hits = g.edges.filter("src_file = 'orders/1-URGENT' AND kind = 'calls'").join(g.symbols.select(F.col("sym_id").alias("dst_id"), F.col("file").alias("def_file")), "dst_id")
+    return depmaps.provenance(hits, files).select("dst_name", "def_file", "dep", "modified")
+
+
+# runtime evidence
+
+FRAME_SQL = "frames AS (SELECT user_id || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS stack, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS pos, CASE WHEN event_type <> 'error' THEN event_type END AS key, user_id % 5 + 1 AS n FROM events)"
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    day = F.to_date("ts")
+    w = Window.partitionBy("user_id", day).orderBy("ts", "event_id")
+    return table(spark, d, "events").select(F.concat_ws("/", F.col("user_id").cast("string"), day.cast("string")).alias("stack"), F.row_number().over(w).alias("pos"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("key"), (F.col("user_id") % 5 + 1).alias("n"))
+
+
+@query(f"WITH {FRAME_SQL}, x AS (SELECT *, lag(key) OVER w AS src, lag(pos) OVER w AS before FROM frames WHERE key IS NOT NULL WINDOW w AS (PARTITION BY stack ORDER BY pos)) SELECT src AS src_key, key AS dst_key, pos - before > 1 AS indirect, CAST(sum(n) AS BIGINT) AS weight FROM x WHERE src IS NOT NULL AND src <> key GROUP BY 1, 2, 3")
+def profile_edges(spark, d):
+    return profile.evidence_edges(frames(spark, d))
+
+
+@query(f"""WITH {FRAME_SQL}, o AS (SELECT * FROM frames WHERE key IS NOT NULL), t AS (SELECT key, sum(n) AS total FROM (SELECT DISTINCT stack, key, n FROM o) GROUP BY 1), e AS (SELECT stack, arg_min(key, pos) AS f, arg_max(key, pos) AS l, any_value(n) AS n FROM o GROUP BY 1)
+SELECT key, CAST(coalesce((SELECT sum(n) FROM e WHERE l = key), 0) AS BIGINT) AS leaf, CAST(total AS BIGINT) AS total, CAST(coalesce((SELECT sum(n) FROM e WHERE f = key), 0) AS BIGINT) AS entry FROM t""")
+def profile_heat(spark, d):
+    return profile.heat(frames(spark, d))
+
+
+@query("SELECT event_type AS key, CAST(sum(user_id) AS BIGINT) AS weight FROM events GROUP BY 1")
+def obs_upsert_add(spark, d):
+    """Halves of the events, added up one after the other."""
+    e = table(spark, d, "events")
+    half = lambda k: e.filter(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("key")).agg(F.sum("user_id").alias("weight"))
+    return incremental.upsert_add(half(0), half(1), ["key"], ["weight"])
+
+
+@query("SELECT source || '/' || doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS hash FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0")
+def ledger_idempotent(spark, d):
+    """Files of a second round that the ledger of the first has not seen with this content."""
+    docs = table(spark, d, "documents")
+    path, sha = F.concat_ws("/", "source", "doc_id").alias("path"), lambda c: F.sha2(c.cast("binary"), 256).alias("hash")
+    seen = docs.filter("doc_id % 11 <> 0").select(path, sha(F.col("text")))
+    return profile.unseen(docs.select(path, sha(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")))), seen)
+
+
+@query("SELECT CAST(max(event_id) AS BIGINT) AS latest, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS commits FROM events")
+def obs_provenance(spark, d):
+    return profile.provenance(table(spark, d, "events").select(F.col("event_id").alias("end"), F.col("event_type").alias("commit_id")))
+
+
+# workspace
+
+WS_SQL = """mem AS (SELECT n_name AS id, n_nationkey AS ord, 'geo/' || n_regionkey || '/' || n_name AS ns FROM nation),
+defs AS (SELECT DISTINCT n_name AS member, 'f/' || p_partkey AS file, p_name || ' ' || p_size AS name, p_type AS parent, CAST(p_partkey AS INTEGER) AS line FROM part JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 1 JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_partkey % 4 = 0),
+ask AS (SELECT p_partkey AS edge_key, n_name AS consumer, p_name || ' ' || p_size AS dst_name, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS dst_qualifier, CASE WHEN p_partkey % 2 = 0 THEN 'geo/' || (p_partkey % 25) % 5 || '/NATION_' || p_partkey % 25 || '/sub' ELSE '' END AS dst_ns FROM part JOIN nation ON n_nationkey = (p_partkey + p_size) % 25)"""
+
+
+def workspace_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nation, part, line, supp = (table(spark, d, t) for t in ("nation", "part", "lineitem", "supplier"))
+    members = nation.select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("ord"), F.array(F.concat(F.lit("geo/"), "n_regionkey", F.lit("/"), "n_name")).alias("namespaces"), F.array(F.concat(F.lit("NATION_"), (F.col("n_nationkey") + 1) % 25)).alias("deps"))
+    name = F.concat_ws(" ", "p_name", "p_size")
+    sold = line.filter("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
+    defs = part.filter("p_partkey % 4 = 0").join(sold, F.col("p_partkey") == F.col("l_partkey")).join(supp, F.col("s_suppkey") == F.col("l_suppkey")).join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    defs = defs.select(F.col("n_name").alias("member"), F.concat(F.lit("f/"), "p_partkey").alias("file"), name.alias("name"), F.col("p_type").alias("parent"), F.col("p_partkey").cast("int").alias("line")).distinct()
+    k = F.col("p_partkey")
+    hint = F.concat(F.lit("geo/"), (k % 25) % 5, F.lit("/NATION_"), k % 25, F.lit("/sub"))
+    ask = part.join(nation, F.col("n_nationkey") == (k + F.col("p_size")) % 25).select(k.alias("edge_key"), F.col("n_name").alias("consumer"), name.alias("dst_name"), F.when(k % 3 == 0, F.col("p_type")).otherwise("").alias("dst_qualifier"), F.when(k % 2 == 0, hint).otherwise("").alias("dst_ns"))
+    return members, defs, ask
+
+
+LADDER_SQL = f"""WITH {WS_SQL}, f AS (SELECT edge_key, member, CASE WHEN dst_qualifier <> '' AND parent = dst_qualifier THEN 0 ELSE 1 END AS k, file, line FROM ask JOIN defs ON name = dst_name AND member <> consumer),
+pm AS (SELECT edge_key, member, count(*) AS n, arg_min(file, (line, file)) AS file FROM (SELECT *, min(k) OVER (PARTITION BY edge_key, member) AS mk FROM f) WHERE k = mk GROUP BY 1, 2),
+o AS (SELECT edge_key, sum(n) AS total, count(*) FILTER (WHERE n = 1) AS singles, min(member) FILTER (WHERE n = 1) AS single FROM pm GROUP BY 1),
+cl AS (SELECT edge_key, count(*) AS owners, min(id) AS owner FROM ask JOIN mem ON id <> consumer AND dst_ns <> '' AND (ns = dst_ns OR (starts_with(dst_ns, ns) AND substr(dst_ns, length(ns) + 1, 1) IN ('/', '.', '\\'))) GROUP BY 1),
+r AS (SELECT ask.edge_key, coalesce(owners = 1 AND w.n = 1, false) AS a, coalesce(singles = 1, false) AS b, coalesce(total, 0) AS total, owner, single FROM ask LEFT JOIN cl USING (edge_key) LEFT JOIN o USING (edge_key) LEFT JOIN pm w ON w.edge_key = ask.edge_key AND w.member = cl.owner)
+SELECT r.edge_key, CASE WHEN a THEN 'cross_repo_import' WHEN b THEN 'cross_repo_name' WHEN total >= 2 THEN 'ambiguous' ELSE 'none' END AS outcome, CASE WHEN a THEN 'exact' WHEN b THEN 'inferred' ELSE '' END AS confidence,
+  CASE WHEN a THEN owner WHEN b THEN single ELSE '' END AS to_member, coalesce(pm.file, '') AS to_file, CAST(total AS BIGINT) AS candidate_count
+FROM r LEFT JOIN pm ON pm.edge_key = r.edge_key AND pm.member = CASE WHEN a THEN owner WHEN b THEN single END"""
+
+
+@query(LADDER_SQL)
+def cross_ladder(spark, d):
+    members, defs, ask = workspace_tables(spark, d)
+    return workspace.cross_ladder(ask, members, defs)
+
+
+@query(f"""WITH {WS_SQL}, c AS (SELECT edge_key, member, file, name, line, m.ord, member = 'NATION_' || (con.ord + 1) % 25 AS named FROM ask JOIN defs ON name = dst_name AND member <> consumer JOIN mem m ON m.id = member JOIN mem con ON con.id = consumer)
+SELECT edge_key, {COUNT} AS candidate_count, string_agg(member || ':' || file, ',' ORDER BY NOT named, ord, file, line, name) AS candidates FROM c GROUP BY 1""")
+def ambiguity_candidates(spark, d):
+    members, defs, ask = workspace_tables(spark, d)
+    found = workspace.candidates(ask, members, defs)
+    return found.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["member"], c["file"])), ","))
+
+
+DEPNS = "SELECT 'NATION_' || s_suppkey % 25 AS member, 'geo/' || s_nationkey % 5 || '/NATION_' || s_nationkey AS namespace, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'v' || s_suppkey % 9 END AS version FROM supplier"
+
+
+@query(f"""WITH {WS_SQL}, df AS ({DEPNS}) SELECT member AS consumer, namespace, min(id) AS owner, coalesce(min(version) FILTER (WHERE version <> ''), '') AS suppressed_version FROM df JOIN mem ON id <> member AND ns = namespace GROUP BY 1, 2 HAVING count(DISTINCT id) = 1""")
+def suppressions(spark, d):
+    members, _, _ = workspace_tables(spark, d)
+    s = table(spark, d, "supplier")
+    files = s.select(F.concat(F.lit("NATION_"), F.col("s_suppkey") % 25).alias("member"), F.concat(F.lit("geo/"), F.col("s_nationkey") % 5, F.lit("/NATION_"), "s_nationkey").alias("namespace"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("v"), F.col("s_suppkey") % 9)).alias("version"))
+    return workspace.suppressions(files, members)
+
+
+@query("SELECT c_custkey AS edge_key, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN 'old' WHEN c_custkey % 2 = 0 OR c_custkey % 5 <> 0 THEN 'new' ELSE 'old' END AS src, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'exact' ELSE 'inferred' END AS confidence FROM customer")
+def strong_wins_upsert(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer")
+    old = c.select(k.alias("edge_key"), F.lit("old").alias("src"), F.when(k % 3 == 0, "exact").otherwise("inferred").alias("confidence"))
+    new = c.filter((k % 2 == 0) | (k % 5 != 0)).select(k.alias("edge_key"), F.lit("new").alias("src"), F.when(k % 2 == 0, "exact").otherwise("inferred").alias("confidence"))
+    return workspace.strong_wins(old, new, ["edge_key"])
+
+
+CROSS = "SELECT s_suppkey AS k, 'NATION_' || s_nationkey AS src_member, 'NATION_' || s_suppkey % 25 AS dst_member FROM supplier"
+
+
+def cross_edges(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat(F.lit("NATION_"), "s_nationkey").alias("src_member"), F.concat(F.lit("NATION_"), F.col("s_suppkey") % 25).alias("dst_member"))
+
+
+@query(f"WITH e AS ({CROSS}) SELECT * FROM e WHERE src_member <> 'NATION_3' AND dst_member <> 'NATION_3' UNION ALL SELECT k + 1000000, src_member, 'NATION_9' FROM e WHERE src_member = 'NATION_3'")
+def replace_member(spark, d):
+    e = cross_edges(spark, d)
+    new = e.filter("src_member = 'NATION_3'").select((F.col("k") + 1_000_000).alias("k"), "src_member", F.lit("NATION_9").alias("dst_member"))
+    return workspace.replace_member(e, new, "NATION_3")
+
+
+@query(f"WITH e AS ({CROSS}), m AS (SELECT n_name AS id FROM nation WHERE n_regionkey <> 2) SELECT * FROM e WHERE src_member IN (SELECT id FROM m) AND dst_member IN (SELECT id FROM m)")
+def prune_registry(spark, d):
+    return workspace.prune_registry(cross_edges(spark, d), table(spark, d, "nation").filter("n_regionkey <> 2").select(F.col("n_name").alias("id"))).select("k", "src_member", "dst_member")
+
+
+@query("SELECT n_name AS id, n_nationkey % 5 <> 0 AND (n_nationkey % 4 = 0 OR n_nationkey % 3 = 0) AS dirty, n_nationkey % 5 = 0 AND n_nationkey % 4 <> 0 AS stale, n_nationkey % 7 = 0 AS drifted FROM nation")
+def freshen_gate(spark, d):
+    n, k = table(spark, d, "nation"), F.col("n_nationkey")
+    members = n.select(F.col("n_name").alias("id"), F.array(F.lit("a"), F.lit("b"), F.lit("")).alias("namespaces"), F.array().cast("array<string>").alias("deps"))
+    roots = n.filter(k % 5 != 0).select(F.col("n_name").alias("id"), F.concat(F.lit("r"), k).alias("root"))
+    stamps = n.filter(k % 4 != 0).select(F.col("n_name").alias("id"), F.when(k % 3 == 0, "old").otherwise(F.concat(F.lit("r"), k)).alias("root"))
+    known = n.select(F.col("n_name").alias("id"), F.when(k % 7 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("namespaces"), F.array().cast("array<string>").alias("deps"))
+    return workspace.freshen_gate(members, roots, stamps, known)
+
+
+# evaluation
+
+CONF_SQL = "WITH l AS (SELECT d.lang AS grp, d.n_chars >= 1500 AS p, l.quality = 1 AS t FROM labels l JOIN documents d USING (doc_id)), n AS (SELECT grp, count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn FROM l WHERE p OR t GROUP BY 1), r AS (SELECT *, CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision FROM n)"
+
+
+@query(f"{CONF_SQL} SELECT grp, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(recall, 6) AS recall, round(precision, 6) AS precision, round(CASE WHEN recall + precision = 0 THEN 0 ELSE 2 * recall * precision / (recall + precision) END, 6) AS f1 FROM r")
+def precision_recall_f1(spark, d):
+    both = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("grp"), "n_chars"), "doc_id")
+    found = evaluate.confusion(both.filter("n_chars >= 1500"), both.filter("quality = 1"), ["doc_id"])
+    return found.select("grp", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
+
+
+@query(f"WITH {Q8_SQL}, q AS (SELECT id AS q, vec AS qv FROM v WHERE id % 25 = 0), s AS (SELECT q, id, {DOT.format(a='vec', b='qv')} AS dot FROM v, q WHERE id <> q), r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY dot DESC, id) AS rank FROM s) SELECT r.q, bool_or(a.label = b.label) AS hit FROM r JOIN embeddings a ON a.vec_id = r.q JOIN embeddings b ON b.vec_id = r.id WHERE rank <= 5 GROUP BY r.q")
+def hit_at_k(spark, d):
+    e = table(spark, d, "embeddings")
+    vec = retrieval.quantized(e).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
+    asked = vec.filter("id % 25 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"), F.col("label").alias("ql"))
+    good = vec.select("id", F.col("label").alias("l"))
+    ranked = retrieval.top_k_batch(vec.select("id", "vec"), asked.select("q", "qv"), 5).join(good, "id").join(asked.select("q", "ql"), "q").withColumn("good", F.col("l") == F.col("ql"))
+    return evaluate.hit_at_k(ranked, ranked.filter("good").select("q", "id"))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS grp, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+SELECT grp, min(v) FILTER (WHERE i = floor(0.5 * (n - 1)) + 1) AS p50, min(v) FILTER (WHERE i = floor(0.9 * (n - 1)) + 1) AS p90, max(v) AS most FROM r GROUP BY 1""")
+def percentile_summary(spark, d):
+    return evaluate.percentiles(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "grp"), "grp", "o_totalprice")
+
+
+@query("WITH m AS (SELECT user_id AS task, event_type AS arm, median(value) AS m FROM events GROUP BY 1, 2) SELECT x.task, round(x.m, 6) AS a, round(y.m, 6) AS b, round(y.m - x.m, 6) AS delta FROM m x JOIN m y ON x.task = y.task AND x.arm = 'click' AND y.arm = 'view'")
+def paired_median_delta(spark, d):
+    found = evaluate.paired_deltas(table(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_type").alias("arm"), "value"), "click", "view")
+    return found.select("task", *[F.round(c, 6).alias(c) for c in ("a", "b", "delta")])
+
+
+@query("""WITH c AS (SELECT label AS q, vec_id AS id, round(1.0 / (1 + vec_id), 9) AS score, vec_id % 4 AS family FROM embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY q, family ORDER BY score DESC, id) AS turn, max(score) OVER (PARTITION BY q, family) AS best FROM c)
+SELECT q, id, rank FROM (SELECT q, id, CAST(row_number() OVER (PARTITION BY q ORDER BY turn, best DESC, family, id) AS INTEGER) AS rank FROM t) WHERE rank <= 10""")
+def round_robin(spark, d):
+    e = table(spark, d, "embeddings")
+    return evaluate.round_robin(e.select(F.col("label").alias("q"), F.col("vec_id").alias("id"), F.round(1.0 / (1 + F.col("vec_id")), 9).alias("score"), (F.col("vec_id") % 4).alias("family")))
+
+
+@query(None)
+def mmr_rerank(spark, d):
+    e = table(spark, d, "embeddings")
+    return evaluate.mmr(e.select(F.col("label").alias("q"), F.col("vec_id").alias("id"), (1.0 / (1 + F.col("vec_id"))).alias("score"), F.col("embedding").alias("vec")))
+
+
+@query(None)
+def bootstrap_ci(spark, d):
+    return evaluate.bootstrap_ci(table(spark, d, "events").select(F.col("event_id").alias("id"), "value"), replicates=50)
