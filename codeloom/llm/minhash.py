@@ -5,8 +5,7 @@ permutation of its own and a value in [rank, rank + 1); a place keeps the least
 value. A set stops at the rank no place of it can still gain from. Equal sets
 are one node from then on. Nodes that agree on all values of a band share a
 bucket. A bucket is never expanded into all its pairs: its nodes are compared
-with one leader, twice, with different leaders; the components of the links
-found so far settle most buckets; and in those that still hold several
+with two leaders; the components of the links found so far settle most buckets; and in those that still hold several
 components, only nodes of different components are compared, block by block,
 on full sets. So every pair that shares a band and may still join two
 components is decided exactly.
@@ -140,7 +139,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def cell_links(cells: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between left and right nodes of different components within each cell, as many as unite them. cells: key, i, j, right, node, component, set; a cell's rows stand together."""
+    """Pairs (u, v) of components that a link between left and right nodes of a cell unites, no more than that takes. cells: key, i, j, right, node, component, set; a cell's rows stand together."""
 
     def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         left = [r for r in rows if not r[3]]
@@ -171,7 +170,7 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
                 a, b = find(r[5]), find(right[t][5])
                 if a != b:
                     parent[a] = b
-                    yield r[4], right[t][4]
+                    yield r[5], right[t][5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -189,7 +188,7 @@ def cell_links(cells: DataFrame, percent: int) -> DataFrame:
     return cells.select("key", "i", "j", "right", "node", "component", "set").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, block: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, block: int = 512) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept.
 
     A text's set is that of its distinct shingles of `words` words (runs of
@@ -207,10 +206,10 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = checkpoint(sketch(texts, words, bands, rows).withColumn("node", F.xxhash64("digest")))
-    nodes = sketched.filter("digest is not null").groupBy("node", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bands")).alias("x"))
-    nodes = checkpoint(nodes.select("node", F.col("x.doc_id").alias("first"), F.col("x.bands").alias("bands")))
+    nodes = sketched.filter("digest is not null").groupBy("node", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "bands")).alias("x"))
+    nodes = checkpoint(nodes.select("node", F.col("x.doc_id").alias("first"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")))
     banded = nodes.select(F.explode("bands").alias("key"), "node")
-    full = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).filter("n > 1")
+    full = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
     buckets = checkpoint(banded.join(full, "key"))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "first"), "node")
     ids = wanted.select(F.col("first").alias("id")).filter("id is not null").distinct()
@@ -219,16 +218,15 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
         again = again.unionByName(texts.filter("id is null"))
     sets = full_sets(again.select("id", "text"), words).select(F.xxhash64("digest").alias("node"), "set")
     sets = checkpoint(sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("set").alias("set")))
-    # one leader after the other: the node whose id comes first is known to most of its copies, then another one
-    led = buckets.join(nodes.select("node", "first"), "node")
-    lead = led.groupBy("key").agg(F.min(F.struct("first", "node")).alias("x")).select("key", F.col("x.node").alias("lead"))
-    star = led.join(lead, "key").filter("node <> lead").select(F.col("node").alias("u"), F.col("lead").alias("v")).distinct()
-    links = checkpoint(verified(star, sets, percent))
-    label = components(links)
-    for leader in ("low", "high"):
-        pairs = lead_pairs(unsettled(buckets, label), leader)
-        links = checkpoint(links.unionByName(verified(pairs, sets, percent)))
-        label = components(links)
+    # two leaders a bucket: the node whose id comes first, which most of its copies are near to, and one that hashing picks; bands mostly agree on them
+    led = buckets.join(nodes.select("node", "first", "n"), "node")
+    lead = led.groupBy("key").agg(F.min(F.struct("first", "node", "n")).alias("lead"), F.max(F.struct("node", "n")).alias("high"))
+    lead = lead.select("key", F.array(F.struct("lead.node", "lead.n"), "high").alias("leads"))
+    star = led.join(lead, "key").select(F.col("node").alias("u"), F.col("n").alias("m"), F.explode("leads").alias("l")).filter("u <> l.node")
+    # sizes alone rule out many
+    star = star.filter(100 * F.least("m", "l.n") >= percent * F.greatest("m", "l.n"))
+    star = star.select(F.greatest("u", "l.node").alias("u"), F.least("u", "l.node").alias("v")).distinct()
+    label = components(verified(star, sets, percent))
     mixed = checkpoint(unsettled(buckets, label))
     sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("x"), F.sum("c").alias("all"))
@@ -239,11 +237,12 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     left = spread.filter("component <> main").select("key", i.alias("i"), F.explode(count("nj")).alias("j"), F.lit(False).alias("right"), "node", "component")
     right = spread.select("key", F.explode(count("ni")).alias("i"), j.alias("j"), F.lit(True).alias("right"), "node", "component")
     cells = left.unionByName(right).join(sets, "node").repartition(shuffle_width(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = links.unionByName(cell_links(cells, percent))
-    label = components(links)
-    named = label.join(nodes.select("node", "first"), "node")
+    # the links found now are between components, few of which are left to unite
+    united = components(cell_links(cells, percent)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = label.unionByName(united.select(F.col("component").alias("node"), "component")).distinct().join(united, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    named = named.join(nodes.select("node", "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = named.select("node", "component").join(least, "component").select("node", "component_id", F.lit(True).alias("grouped"))
+    of_node = named.select("node", "component").join(least, "component").select("node", "component_id", F.lit(True).alias("grouped")).dropDuplicates(["node"])
     firsts = nodes.select("node", "first").join(of_node, "node", "left").select("node", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", "node", "digest").withColumn("node", F.when(F.col("digest").isNotNull(), F.col("node")))
     out = out.join(firsts, "node", "left").withColumn("component_id", F.when(F.col("digest").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
@@ -257,12 +256,6 @@ def unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
     return now.join(mixed, "key")
 
 
-def lead_pairs(mixed: DataFrame, leader: str) -> DataFrame:
-    """Pairs of each node of a mixed bucket with the bucket's leader, if their components differ."""
-    lead = mixed.filter(F.col("node") == F.col(leader)).select("key", F.col("component").alias("of_lead"))
-    return mixed.join(lead, "key").filter("component <> of_lead").select(F.col("node").alias("u"), F.col(leader).alias("v")).distinct()
-
-
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
