@@ -127,13 +127,15 @@ class Group:
         self.length, self.bytes = length, 0
         self.rows: list[tuple] = []  # (document order, row, first start, bytes)
 
-    def add(self, document: tuple, row: int, at: int, text: bytes) -> None:
-        self.rows.append((document, row, at, text))
-        self.bytes += len(text)
+    def take(self, runs: list[tuple]) -> None:
+        """The different runs of one key. A single one has nothing to share: its starts differ in the anchor's offset, and so do their strings."""
+        if len(runs) > 1:
+            self.rows += runs
+            self.bytes += sum(len(r[3]) for r in runs)
 
     def removed(self) -> list[tuple[int, int, int]]:
         """(row, start, end) of what is covered by strings that start earlier elsewhere among the runs."""
-        if len(self.rows) < 2 and not any(len(r[3]) > self.length for r in self.rows):
+        if not self.rows:
             return []
         text, start, number = repeats([r[3] for r in self.rows], self.length)
         if not len(text):
@@ -237,19 +239,23 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
         def put(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(3)], names=["row", "start", "end"])
 
-        group, key, before = Group(length), None, None
+        group, held, key, before = Group(length), [], None, None
         for batch in batches:
             out = []
             for k, none, id_, row, at, own in zip(*[batch.column(c).to_pylist() for c in ("key", "none", "id", "row", "at", "bytes")], strict=True):
                 if k == key and own == before:
                     out.append((row, at, at + len(own)))  # equal bytes came first in another place
                     continue
-                if k != key and group.bytes >= block:
-                    out += group.removed()
-                    group = Group(length)
+                if k != key:
+                    group.take(held)
+                    held = []
+                    if group.bytes >= block:
+                        out += group.removed()
+                        group = Group(length)
                 key, before = k, own
-                group.add((none, id_ or 0, row), row, at, own)
+                held.append(((none, id_ or 0, row), row, at, own))
             yield put(out)
+        group.take(held)
         yield put(group.removed())
 
     spans = dealt.mapInArrow(expand, "row long, start long, end long")
