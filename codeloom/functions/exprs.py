@@ -85,8 +85,8 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    """Cosine of integer vectors; the sums are exact."""
-    return dot(a, b) / F.sqrt(dot(a, a).cast("double") * dot(b, b).cast("double"))
+    """Cosine of integer vectors, 0 if one is zero; the sums are exact."""
+    return F.coalesce(F.try_divide(dot(a, b).cast("double"), F.sqrt(dot(a, a).cast("double") * dot(b, b).cast("double"))), F.lit(0.0))
 
 
 def one_line(text: Column | str) -> Column:

@@ -51,7 +51,7 @@ def bootstrap_ci(values: DataFrame, *, replicates: int = 200, seed: int = 7, lev
         term /= k + 1
     for limit, k in reversed(steps):
         times = F.when(u < limit, k).otherwise(times)
-    means = reps.withColumn("c", times).groupBy("rep").agg((F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("m")).filter("m is not null")
+    means = reps.withColumn("c", times).groupBy("rep").agg(F.try_divide(F.sum(F.col("c") * F.col("value")), F.sum("c")).alias("m")).filter("m is not null")
     low = (1 - level) / 2
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", low).alias("low"), F.percentile("m", 1 - low).alias("high"))
 
