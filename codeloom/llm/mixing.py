@@ -77,7 +77,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> Da
     every = Window.partitionBy()
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(earlier), F.lit(0.0))
     shared = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(earlier), F.lit(0.0))
-    s = s.withColumn("level", left / shared).withColumn("place", F.row_number().over(by_ratio))
+    s = s.withColumn("level", F.try_divide(left, shared)).withColumn("place", F.row_number().over(by_ratio))
     fits = F.col("level") * F.col("weight") <= F.col("most")
     level = F.min_by(F.when(fits, F.col("level")), F.when(fits, F.col("place"))).over(every)
     return s.withColumn("target", F.coalesce(F.least(F.col("most"), level * F.col("weight")), F.lit(0.0))).select("source", "source_size", "units", "target")
@@ -137,7 +137,7 @@ def mixing_plan(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     facts = by_source.drop("__salt").distinct()
     few = small_enough(stats, source_rows)
     near = lambda df: F.broadcast(df) if few else df  # noqa: E731  one row a source
-    decided = decided.join(near(facts), ["__s", "__null"]).withColumn("whole", F.floor(F.col("target") / F.col("source_size")).cast("int"))
+    decided = decided.join(near(facts), ["__s", "__null"]).withColumn("whole", F.floor(F.try_divide("target", "source_size")).cast("int"))
     sure = alone.groupBy("__s", "__null").agg(F.sum(F.col("n") * F.col("size") * (F.col("whole") + F.col("k"))).alias("sure"))
     decided = decided.join(near(sure), ["__s", "__null"], "left").withColumn("sure", F.coalesce("sure", F.lit(0)))
     mass = F.col("n") * F.col("size")

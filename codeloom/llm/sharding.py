@@ -118,7 +118,7 @@ def shard_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     """
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     taken = {c.lower() for c in new}
-    docs = docs.select(*[c for c in docs.columns if c.lower() not in taken])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
     text = F.col(text_col)
     keyed = docs.withColumns({
         "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
@@ -168,7 +168,7 @@ def shard_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     starts = counts.select("shard", "__chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("shard", "__chunk").orderBy("__row", F.col(id_col), "size", "__group")
     out = placed.withColumn("__rank", F.row_number().over(within)).join(starts, ["shard", "__chunk"])
-    return out.select(*docs.columns, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
