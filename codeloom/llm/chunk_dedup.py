@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, table, text_bytes
+from .common import slices, stored, table, text_bytes
 
 GEAR = np.append(np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32), np.uint32(0))
 WINDOW = 32
@@ -97,7 +97,7 @@ def chunk_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select(F.xxhash64("id", "text").alias("row"), "id", "text")
-    chunks = checkpoint(chunk(rows, bits=bits, least=least, most=most))
+    chunks = stored(chunk(rows, bits=bits, least=least, most=most))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row", "start")
     # most digests occur once and go no further
     again = chunks.groupBy("digest").agg(F.count("*").alias("c")).filter("c > 1").select("digest")
