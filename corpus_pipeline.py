@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import stored, table
+from codeloom.llm.common import checkpoint, join_bounded, stored, table
 from codeloom.llm.decontaminate import decontaminate
 from codeloom.llm.minhash import near_duplicates
 from codeloom.llm.mixing import mix_documents
@@ -24,17 +24,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("predicted = 1").select(*COLUMNS)
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """df with its doc_id as a join key that may be null."""
+    return df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull()})
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for those whose doc_id is in gone; texts stay where they are if gone is of a checked size."""
+    return join_bounded(keyed(docs), keyed(gone).select("__id", "__none"), ["__id", "__none"], "left_anti").select(*COLUMNS)
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id; of rows that repeat it, one."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    first = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return first.dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-duplicates: that with the smallest id. An id that repeats stays with each of its texts once, if it stays with any; rows without an id share that fate."""
+    found = checkpoint(near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
+    left = without(docs.select(*COLUMNS), found.filter("NOT kept").select("doc_id"))
+    twice = found.filter("kept AND n > 1").select("doc_id")
+    if twice.isEmpty():
+        return left
+    again = join_bounded(keyed(left), keyed(twice).select("__id", "__none"), ["__id", "__none"], "left_semi").select(*COLUMNS)
+    return without(left, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.select(*COLUMNS).join(hit, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
+    return without(docs.select(*COLUMNS), checkpoint(hit))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
