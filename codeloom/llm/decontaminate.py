@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -175,7 +173,7 @@ def phrase_matches(index: DataFrame, phrases: list[tuple[int, str]], *, slop: in
 
 
 def covered(index: DataFrame, wanted: list[tuple[list[bytes], list[object]]]) -> DataFrame:
-    """For every document of the index: doc_id, its shard-wide row number within the task's shard, n_words, the hit positions' runs and the items met."""
+    """For every document of the index: doc_id, n_words, n_hit and the items met."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
