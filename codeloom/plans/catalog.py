@@ -565,8 +565,8 @@ def workspace_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
     nation, part, line, supp = (table(spark, d, t) for t in ("nation", "part", "lineitem", "supplier"))
     members = nation.select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("ord"), F.array(F.concat(F.lit("geo/"), "n_regionkey", F.lit("/"), "n_name")).alias("namespaces"), F.array(F.concat(F.lit("NATION_"), (F.col("n_nationkey") + 1) % 25)).alias("deps"))
     name = F.concat_ws(" ", "p_name", "p_size")
-    sold = line.filter("l_linenumber = 1").select("l_partkey", "l_suppkey").distinct()
-    defs = part.filter("p_partkey % 4 = 0").join(sold, F.col("p_partkey") == F.col("l_partkey")).join(supp, F.col("s_suppkey") == F.col("l_suppkey")).join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    sold = line.select("l_partkey", "l_suppkey").distinct()
+    defs = part.join(sold, F.col("p_partkey") == F.col("l_partkey")).join(supp, F.col("s_suppkey") == F.col("l_suppkey")).join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
     defs = defs.select(F.col("n_name").alias("member"), F.concat(F.lit("f/"), "p_partkey").alias("file"), name.alias("name"), F.col("p_type").alias("parent"), F.col("p_partkey").cast("int").alias("line")).distinct()
     k = F.col("p_partkey")
     hint = F.concat(F.lit("geo/"), (k % 25) % 5, F.lit("/NATION_"), k % 25, F.lit("/sub"))
