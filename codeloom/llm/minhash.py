@@ -81,7 +81,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty) and its band keys, for each row of (id, text)."""
+    """doc_id, n_shingles, digest of the set (null if empty), its band keys and the columns after text as they are, for each row of (id, text, ...)."""
+    rest = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -97,9 +98,10 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     pa.array(lengths, pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands), pa.int32()), pa.array(keys.reshape(-1))),
-                ], names=["doc_id", "n_shingles", "digest", "bands"])
+                    *[c.slice(lo, hi - lo) for c in batch.columns[2:]],
+                ], names=["doc_id", "n_shingles", "digest", "bands", *rest])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(run, "".join(["doc_id long, n_shingles long, digest binary, bands array<long>", *[f", {c} long" for c in rest]]))
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -204,8 +206,15 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     A pair of the least similarity shares no band with a probability of
     (1 - 0.75**rows)**bands, 5e-6; pairs that share one are compared exactly.
     """
+    found = groups(docs, text_col=text_col, id_col=id_col, words=words, percent=percent, bands=bands, rows=rows, block=block)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", carry: tuple[str, ...] = (), words: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, block: int = 512) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id as near_duplicates() has them, component (a number of the row's group, whatever its ids; null for an empty set) and the long columns of docs that carry names."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = checkpoint(sketch(texts, words, bands, rows).withColumn("node", F.xxhash64("digest")))
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
+    sketched = checkpoint(sketch(kept, words, bands, rows).withColumn("node", F.xxhash64("digest")))
     nodes = sketched.filter("digest is not null").groupBy("node", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "bands")).alias("x"))
     nodes = checkpoint(nodes.select("node", F.col("x.doc_id").alias("first"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")))
     banded = nodes.select(F.explode("bands").alias("key"), "node")
@@ -242,11 +251,11 @@ def near_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     named = label.unionByName(united.select(F.col("component").alias("node"), "component")).distinct().join(united, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     named = named.join(nodes.select("node", "first"), "node")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = named.select("node", "component").join(least, "component").select("node", "component_id", F.lit(True).alias("grouped")).dropDuplicates(["node"])
-    firsts = nodes.select("node", "first").join(of_node, "node", "left").select("node", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "node", "digest").withColumn("node", F.when(F.col("digest").isNotNull(), F.col("node")))
+    of_node = named.select("node", "component").join(least, "component").select("node", "component", "component_id", F.lit(True).alias("grouped")).dropDuplicates(["node"])
+    firsts = nodes.select("node", "first").join(of_node, "node", "left").select("node", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), F.coalesce("component", "node").alias("component"))
+    out = sketched.select("doc_id", "n_shingles", "node", "digest", *carry).withColumn("node", F.when(F.col("digest").isNotNull(), F.col("node")))
     out = out.join(firsts, "node", "left").withColumn("component_id", F.when(F.col("digest").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", "component", *carry)
 
 
 def unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import checkpoint, join_bounded, stored, table
 from codeloom.llm.decontaminate import decontaminate
-from codeloom.llm.minhash import near_duplicates
+from codeloom.llm.minhash import groups
 from codeloom.llm.mixing import mix_documents
 from codeloom.llm.quality import score_quality
 from codeloom.llm.sharding import shard_documents
@@ -24,31 +24,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("predicted = 1").select(*COLUMNS)
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """df with its doc_id as a join key that may be null."""
-    return df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull()})
+def keyed(df: DataFrame, text: Column) -> DataFrame:
+    """df with what tells its rows apart, as join keys that are never null: doc_id, which may be null, and a hash of the text."""
+    return df.withColumns({"__id": F.coalesce("doc_id", F.lit(0)), "__none": F.col("doc_id").isNull(), "__text": text})
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for those whose doc_id is in gone; texts stay where they are if gone is of a checked size."""
-    return join_bounded(keyed(docs), keyed(gone).select("__id", "__none"), ["__id", "__none"], "left_anti").select(*COLUMNS)
+KEYS = ["__id", "__none", "__text"]
+
+
+def rows_of(docs: DataFrame, some: DataFrame, how: str) -> DataFrame:
+    """Rows of docs by whether some (of KEYS) has them; texts stay where they are if some is of a checked size."""
+    return join_bounded(keyed(docs, F.xxhash64("text")), some.select(*KEYS), KEYS, how).select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest id. An id that repeats stays with each of its texts once, if it stays with any; rows without an id share that fate."""
-    found = checkpoint(near_duplicates(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")))
-    left = without(docs.select(*COLUMNS), found.filter("NOT kept").select("doc_id"))
-    twice = found.filter("kept AND n > 1").select("doc_id")
+    """One row of each group of near-duplicates: that with the smallest id, rows without an id last, and among equal ids that with the smallest hash of the text. Rows that share an id, or have none, are told apart by their texts; those with equal texts too are one."""
+    found = keyed(groups(docs.withColumn("__key", F.xxhash64("text")), carry=("__key",)), F.col("__key"))
+    found = checkpoint(found.groupBy(*KEYS).agg(F.min("component").alias("component"), F.count("*").alias("n")))
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("__none", "__id", "__text")).alias("x")).select("x.*")
+    gone = checkpoint(found.filter("component is not null").join(first, KEYS, "left_anti"))
+    left = rows_of(docs.select(*COLUMNS), gone, "left_anti")
+    twice = found.filter("n > 1").join(gone, KEYS, "left_anti")
     if twice.isEmpty():
         return left
-    again = join_bounded(keyed(left), keyed(twice).select("__id", "__none"), ["__id", "__none"], "left_semi").select(*COLUMNS)
-    return without(left, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    again = rows_of(left, twice, "left_semi")
+    return rows_of(left, twice, "left_anti").unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return without(docs.select(*COLUMNS), checkpoint(hit))
+    """Rows without a window of a benchmark item. The text alone decides, so hits are found and removed by its hash; ids may be null or repeat."""
+    texts = docs.withColumn("__text", F.xxhash64("text"))
+    hit = decontaminate(texts, table(spark, sf_dir, "benchmark"), id_col="__text").filter("n_hit > 0").select(F.col("doc_id").alias("__text")).distinct()
+    return join_bounded(texts, checkpoint(hit), ["__text"], "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,23 @@ def test_empty_corpus(spark, tmp_path):
     path = tables(spark, tmp_path, [], labels=spark.createDataFrame([], LABELS), benchmark=spark.createDataFrame([], "item_id long, text string"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty(spark), path).count() == 0
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    import random
+
+    rng = random.Random(7)
+    item, copied = prose(rng, 15), prose(rng, 80)
+    near = copied + " " + prose(rng, 2)
+    clean, other, alone = prose(rng, 40), prose(rng, 40), prose(rng, 40)
+    dirty = f"{prose(rng, 30)} {item}"
+    rows = [(None, t) for t in (clean, dirty, copied, near, clean, "")] + [(5, other), (5, dirty), (6, copied), (6, alone), (7, near), (8, alone)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    path = tables(spark, tmp_path, rows, benchmark=spark.createDataFrame([(1, item)], "item_id long, text string"))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    counted = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert counted(corpus_pipeline.decontamination(spark, docs, path)) == Counter((r[0], r[1]) for r in rows if r[1] != dirty)
+    assert counted(corpus_pipeline.near_duplicate(spark, docs, path)) == Counter([(None, clean), (None, ""), (5, other), (5, dirty), (6, copied), (6, alone)])
+    nameless = docs.filter("doc_id is null")
+    left = counted(corpus_pipeline.near_duplicate(spark, nameless, path))
+    assert sum(left.values()) == 4 and sum(left[None, t] for t in (copied, near)) == 1 and all(left[None, t] == 1 for t in (clean, dirty, ""))
