@@ -12,9 +12,9 @@ def attach(depfiles: DataFrame, new: DataFrame, prefix: str = "") -> DataFrame:
     return depfiles.unionByName(added)
 
 
-def verify(depfiles: DataFrame, disk: DataFrame, most: int = 25_000) -> DataFrame:
-    """(path, state): same, refresh, modified or restored, for files of the maps that are on disk (path, hash, size, mtime). More than `most` covered files are not looked at."""
-    if depfiles.limit(most + 1).count() > most:
+def verify(depfiles: DataFrame, disk: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, state): same, refresh, modified or restored, for files of the maps that are on disk (path, hash, size, mtime). With `most`, maps that cover more files are not looked at, as in interactive use."""
+    if most is not None and depfiles.limit(most + 1).count() > most:
         return depfiles.limit(0).select("path", F.lit("").alias("state"))
     d = disk.select("path", F.col("hash").alias("h"), F.col("size").alias("s"), F.col("mtime").alias("m"))
     state = F.when((F.col("s") == F.col("size")) & (F.col("m") == F.col("mtime")), "same").when(F.col("h") == F.col("curhash"), "refresh").when(F.col("h") == F.col("maphash"), "restored").otherwise("modified")

@@ -1,4 +1,6 @@
+from codeloom.operators import depmaps
 from codeloom.plans import catalog
+from pyspark.sql import functions as F
 
 
 def put(spark, path, name, rows, schema):
@@ -15,3 +17,11 @@ def test_workspace_takes_every_part_and_supplier(spark, tmp_path):
     assert {r["edge_key"]: (r["outcome"], r["to_member"], r["candidate_count"]) for r in found} == {5: ("ambiguous", "", 2), 7: ("cross_repo_name", "NATION_4", 1)}
     found = catalog.queries()["ambiguity_candidates"](spark, str(tmp_path)).collect()
     assert {r["edge_key"]: r["candidates"] for r in found} == {5: "NATION_3:f/5,NATION_4:f/5", 7: "NATION_4:f/7"}
+
+
+def test_overlay_looks_at_maps_of_any_size(spark):
+    k = F.col("id")
+    files = spark.range(25_002).select(k.cast("string").alias("path"), k.alias("size"), k.alias("mtime"), F.lit("a").alias("curhash"), F.lit("a").alias("maphash"))
+    disk = files.select("path", F.when(F.col("size") % 2 == 0, "a").otherwise("b").alias("hash"), "size", (F.col("mtime") + 1).alias("mtime"))
+    assert {r["state"]: r["count"] for r in depmaps.verify(files, disk).groupBy("state").count().collect()} == {"refresh": 12_501, "modified": 12_501}
+    assert depmaps.verify(files, disk, most=25_000).isEmpty()
