@@ -138,3 +138,14 @@ def test_chunks_resist_insertions():
     text = prose(rng, 800)
     a, b = ({c[2] for c in chunks_of(t)} for t in (text, text[:900] + "inserted" + text[900:]))
     assert len(a & b) > 0.9 * len(a)
+
+
+def test_chunk_query_takes_short_copies_and_passages(spark, tmp_path):
+    rng = random.Random(5)
+    short, passages = "one two three", [prose(rng, 14)[:80] for _ in range(20)]
+    rows = [(i, short, "en", "s", 1) for i in (1, 2)]
+    rows += [(10 * (k + 1) + i, f"{prose(rng, 20)} {p} {prose(rng, 20)}", "en", "s", 1) for k, p in enumerate(passages) for i in (1, 2)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in chunk_dedup.op3_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert (got[2]["spans"], got[2]["n_removed"], got[2]["duplicated"]) == (f"0:{len(short)}", len(short), True) and not got[1]["duplicated"]
+    assert any(got[10 * (k + 1) + 2]["duplicated"] for k in range(20)) and not any(got[10 * (k + 1) + 1]["duplicated"] for k in range(20))
