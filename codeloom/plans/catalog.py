@@ -307,7 +307,8 @@ b AS (SELECT sym_id, sum(hits) AS hits, count(*) AS words, min(raw) AS raw, min(
 SELECT sym_id, CAST(hits AS BIGINT) AS hits, CAST(words AS BIGINT) AS words, round(CASE WHEN words >= 2 THEN 1.5 ELSE 1.0 END * greatest(0.3, least(1.5, 2 / log10(10 + raw))), 6) AS conf,
   row_number() OVER (ORDER BY words < 2, CASE WHEN words >= 2 THEN -hits ELSE 0 END, f, sym_id) - 1 AS rank FROM b""")
 def literal_lane(spark, d):
-    found = text.literal_lane(views.doc_files(spark, d), views.doc_spans(spark, d), "the password and license", n_symbols=1_000_000)
+    spans = views.doc_spans(spark, d)
+    found = text.literal_lane(views.doc_files(spark, d), spans, "the password and license", n_symbols=spans.filter("tier = 0").count())
     return found.select(F.col("sym_id").cast("long").alias("sym_id"), "hits", "words", "conf", F.col("rank").cast("long").alias("rank"))
 
 

@@ -25,3 +25,13 @@ def test_overlay_looks_at_maps_of_any_size(spark):
     disk = files.select("path", F.when(F.col("size") % 2 == 0, "a").otherwise("b").alias("hash"), "size", (F.col("mtime") + 1).alias("mtime"))
     assert {r["state"]: r["count"] for r in depmaps.verify(files, disk).groupBy("state").count().collect()} == {"refresh": 12_501, "modified": 12_501}
     assert depmaps.verify(files, disk, most=25_000).isEmpty()
+
+
+def test_literal_lane_counts_symbols(spark, tmp_path):
+    schema = "doc_id long, text string, source string"
+    for name, lines in (("few", 40), ("many", 60)):
+        (tmp_path / name).mkdir()
+        put(spark, tmp_path / name, "documents", [(1, "\n".join(["a license"] * lines), "s")], schema)
+    # 13 symbols at most: a word of more than 50 lines says nothing
+    assert catalog.queries()["literal_lane"](spark, str(tmp_path / "few")).count() > 0
+    assert catalog.queries()["literal_lane"](spark, str(tmp_path / "many")).count() == 0
