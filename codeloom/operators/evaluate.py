@@ -39,7 +39,7 @@ def paired_deltas(runs: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(right, "task").withColumn("delta", F.col("b") - F.col("a"))
 
 
-def bootstrap_ci(values: DataFrame, *, replicates: int = 200, seed: int = 7, level: float = 0.95) -> DataFrame:
+def bootstrap_ci(values: DataFrame, *, replicates: int = 5000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Mean and percentile interval of value over resamples: each row counts in each replicate as often as a Poisson draw of its id's hash says, so no rows are gathered."""
     reps = values.select("id", "value", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     u = F.pmod(F.xxhash64("id", "rep", F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)

@@ -697,4 +697,4 @@ def mmr_rerank(spark, d):
 
 @query(None)
 def bootstrap_ci(spark, d):
-    return evaluate.bootstrap_ci(table(spark, d, "events").select(F.col("event_id").alias("id"), "value"), replicates=50)
+    return evaluate.bootstrap_ci(table(spark, d, "events").select(F.col("event_id").alias("id"), "value"))

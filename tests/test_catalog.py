@@ -35,3 +35,13 @@ def test_literal_lane_counts_symbols(spark, tmp_path):
     # 13 symbols at most: a word of more than 50 lines says nothing
     assert catalog.queries()["literal_lane"](spark, str(tmp_path / "few")).count() > 0
     assert catalog.queries()["literal_lane"](spark, str(tmp_path / "many")).count() == 0
+
+
+def test_bootstrap_interval_is_not_noise(spark, tmp_path):
+    put(spark, tmp_path, "events", [(i, float(i * 37 % 101)) for i in range(1000)], "event_id long, value double")
+    got = catalog.queries()["bootstrap_ci"](spark, str(tmp_path)).first()
+    values = [float(i * 37 % 101) for i in range(1000)]
+    mean = sum(values) / 1000
+    error = (sum((v - mean) ** 2 for v in values) / 1000 / 1000) ** 0.5
+    # percentiles of 5000 draws have a standard error of 0.04 of it
+    assert abs(got["low"] - (mean - 1.96 * error)) < 0.12 * error and abs(got["high"] - (mean + 1.96 * error)) < 0.12 * error
