@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dirname, qname
+from ..storage import cut
 from .verbs import CodeGraph, callees, callers
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the cluster's checkpoint folder or, where none is set, in one of our own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-"))
-    return df.checkpoint(eager=True)
-
-
 def undirected(pairs: DataFrame) -> DataFrame:
     """(a, b, w) in both directions, parallel edges summed, self-loops dropped."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))

@@ -5,50 +5,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ns_match
+from ..functions.exprs import MODULE_ENDINGS
 
 REQUEST = ("dst_name", "dst_qualifier", "src_ns", "dst_ns")
 
 
-def rung() -> Column:
-    """The first rung of the ladder that a candidate symbol of a request stands on; null if none."""
-    qualified = (F.col("dst_qualifier") != "") & (F.col("parent") == F.col("dst_qualifier"))
-    bound = ns_match("namespace", "dst_ns")
+def tails(path: Column) -> Column:
+    """What stands after each separator of a path, the path itself left out."""
+    marks = F.filter(F.sequence(F.lit(1), F.length(path)), lambda i: F.substring(path, i, F.lit(1)).isin("/", ".", "\\"))
+    return F.filter(F.transform(marks, lambda i: F.substring(path, i + 1, F.length(path))), lambda t: t != "")
+
+
+def counted(symbols: DataFrame, *key: str) -> DataFrame:
+    """Per key of symbols: how many are the project's (n0) and dependencies' (n1), and the first of each in the order in which rungs choose."""
+    by_file = lambda *head: F.struct(*head, "file", "start_line", "sym_id")
     own, dep = F.col("tier") == 0, F.col("tier") == 1
-    return (
-        F.when(qualified & own, 1)
-        .when(qualified & dep, 2)
-        .when(bound & own, 3)
-        .when(bound & dep, 4)
-        .when((F.col("src_ns") != "") & (F.col("namespace") == F.col("src_ns")) & own, 5)
-        .when(own, 6)
-        .when(dep, 7)
+    return symbols.groupBy(*key).agg(
+        F.count_if(own).alias("n0"),
+        F.count_if(dep).alias("n1"),
+        F.min(F.when(own, by_file())).alias("f0"),
+        F.min(F.when(own, by_file("namespace"))).alias("s0"),
+        F.min(F.when(dep, by_file("namespace"))).alias("s1"),
     )
 
 
+def bound(asked: DataFrame, of_space: DataFrame) -> DataFrame:
+    """Per (dst_name, dst_ns) of asked: what namespaces the hint means have of the name, in both tiers.
+
+    ns_match() as equalities: the hint is listed as itself, with each module
+    ending and by its tails, which are namespaces; and a namespace's tails,
+    added up first, are hints. A namespace that is met both ways counts once.
+    """
+    hint = F.col("dst_ns")
+    hints = asked.select("dst_name", "dst_ns").filter(hint != "").distinct()
+    ends_so = lambda n: F.exists(F.array(*map(F.lit, ("/", ".", "\\"))), lambda m: n.endswith(F.concat(m, hint)))
+    longer = F.filter(F.array(*[F.concat(hint, F.lit(e)) for e in MODULE_ENDINGS]), lambda n: ~ends_so(n))
+    listed = hints.withColumn("namespace", F.explode(F.array_distinct(F.concat(F.array(hint), longer, tails(hint)))))
+    there = listed.join(of_space, ["dst_name", "namespace"]).drop("namespace")
+    shorter = of_space.withColumn("dst_ns", F.explode(tails(F.col("namespace")))).groupBy("dst_name", "dst_ns").agg(*summed())
+    here = hints.join(shorter, ["dst_name", "dst_ns"])
+    return there.select(*here.columns).unionByName(here).groupBy("dst_name", "dst_ns").agg(*summed())
+
+
+def summed() -> list[Column]:
+    return [F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *[F.min(c).alias(c) for c in ("f0", "s0", "s1")]]
+
+
 def resolve(requests: DataFrame, symbols: DataFrame) -> DataFrame:
     """Per distinct request (dst_name, dst_qualifier, src_ns, dst_ns): dst_id (0 if unresolved), confidence, rung (0), candidates.
 
-    Requests are made distinct before they meet the symbols, so that a name
-    that many edges use is resolved once; a name that many symbols have only
-    meets its own requests. Each candidate keeps its lowest rung: counting at
-    the lowest rung present then counts that rung's whole set. One aggregation
-    picks rung, count and winner; no window sorts candidates.
+    Rungs: the qualifier's member in the project (1), in dependencies (2); a
+    namespace that the hint means in the project (3), in dependencies (4); the
+    source's own namespace (5); the name in the project (6), in dependencies
+    (7). Requests never meet symbols: these are counted once by (name, parent),
+    (name, namespace) and name, with the first of each, and every rung is an
+    equality join with at most one such row. So a name that thousands of
+    symbols and edges share costs its requests, not their product.
     """
     asked = requests.select(*REQUEST).distinct()
-    found = asked.join(symbols.withColumnRenamed("name", "dst_name"), "dst_name").withColumn("rung", rung()).filter("rung is not null")
-    by_namespace = F.when(F.col("rung").isin(1, 5, 6), "").otherwise(F.col("namespace"))
-    first = F.min(F.struct("rung", by_namespace.alias("ns"), "file", "start_line", "sym_id"))
-    # counts per rung, then the lowest: both steps combine on the map side
-    per_rung = found.groupBy(*REQUEST, "rung").agg(F.count("*").alias("n"), first.alias("first"))
-    picked = per_rung.groupBy(*REQUEST).agg(F.min(F.struct("rung", "n", "first")).alias("x"))
-    out = asked.join(picked, list(REQUEST), "left")
-    n = F.coalesce(F.col("x.n"), F.lit(0))
-    return out.select(
+    named = symbols.withColumnRenamed("name", "dst_name")
+    of_space = counted(named, "dst_name", "namespace")
+    of_parent = counted(named.filter("parent <> ''"), "dst_name", "parent").withColumnRenamed("parent", "dst_qualifier")
+    of_name = of_space.groupBy("dst_name").agg(*summed())
+    hinted = bound(asked, of_space)
+    near = of_space.filter("namespace <> ''").withColumnRenamed("namespace", "src_ns")
+    rungs = (("q", 0, "f0"), ("q", 1, "s1"), ("h", 0, "s0"), ("h", 1, "s1"), ("o", 0, "f0"), ("a", 0, "f0"), ("a", 1, "s1"))
+    wide = asked
+    for side, df, key in (("q", of_parent, ["dst_name", "dst_qualifier"]), ("h", hinted, ["dst_name", "dst_ns"]), ("o", near, ["dst_name", "src_ns"]), ("a", of_name, ["dst_name"])):
+        used = {c for s, t, f in rungs if s == side for c in (f"n{t}", f)}
+        slim = df.select(*key, *[(F.col(c) if c[0] == "n" else F.col(f"{c}.sym_id")).alias(f"{side}_{c}") for c in sorted(used)])
+        wide = wide.join(slim, key, "left")
+    n, at, chosen = F.lit(0).cast("long"), F.lit(0), F.lit(0).cast("long")
+    for number, (side, t, f) in reversed(list(enumerate(rungs, 1))):
+        there = F.col(f"{side}_n{t}") > 0
+        n = F.when(there, F.col(f"{side}_n{t}")).otherwise(n)
+        at, chosen = F.when(there, number).otherwise(at), F.when(there, F.col(f"{side}_{f}")).otherwise(chosen)
+    return wide.select(
         *REQUEST,
-        F.coalesce(F.col("x.first.sym_id"), F.lit(0)).alias("dst_id"),
+        chosen.alias("dst_id"),
         F.when(n == 0, "unresolved").when(n == 1, "unambiguous").otherwise("ambiguous").alias("confidence"),
-        F.coalesce(F.col("x.rung"), F.lit(0)).alias("rung"),
+        at.alias("rung"),
         n.alias("candidates"),
     )
 
@@ -64,10 +100,16 @@ def file_namespaces(symbols: DataFrame) -> DataFrame:
 
 
 def re_resolve(edges: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
-    """edges with those whose dst_name is in names (name) resolved anew; the others untouched."""
-    hit = edges.join(names.select(F.col("name").alias("dst_name")).distinct(), "dst_name", "left_semi")
-    rest = edges.join(names.select(F.col("name").alias("dst_name")).distinct(), "dst_name", "left_anti")
-    return rest.unionByName(resolve_edges(hit, symbols).select(*rest.columns))
+    """edges with those whose dst_name is in names (name) resolved anew; the others untouched. Only symbols of these names are counted."""
+    own = names.select(F.col("name").alias("dst_name")).distinct()
+    hit = edges.join(own, "dst_name", "left_semi")
+    rest = edges.join(own, "dst_name", "left_anti")
+    return rest.unionByName(resolve_some(hit, symbols, own).select(*rest.columns))
+
+
+def resolve_some(raw: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """resolve_edges() of edges whose names (dst_name) are few: other symbols are left out before anything is counted."""
+    return resolve_edges(raw, symbols.join(names.withColumnRenamed("dst_name", "name"), "name", "left_semi"))
 
 
 def pick_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
