@@ -29,7 +29,7 @@ def dirname(path: Column | str, root: str = "") -> Column:
 def derive_namespace(path: Column | str, declared: Column | str) -> Column:
     """What is declared, else the directory for .go and .php, the dotted module for .py, the path for others."""
     path, declared = column(path), column(declared)
-    module = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/", "."), r"\.__init__$", "")
+    module = F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), "/", ".")
     return F.when(F.coalesce(declared, F.lit("")) != "", declared).when(path.rlike(r"\.(go|php)$"), dirname(path, ".")).when(path.endswith(".py"), module).otherwise(path)
 
 

@@ -120,3 +120,8 @@ def distinctive_words(query: str, most: int) -> list[str]:
 def quoted_phrase(query: str) -> str:
     found = re.search(r"\"([^\"]+)\"|'([^']+)'|`([^`]+)`", query)
     return next((g for g in found.groups() if g), "") if found else ""
+
+
+def quoted(literal: str) -> str:
+    """A literal as a pattern, whatever it holds."""
+    return re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", literal)

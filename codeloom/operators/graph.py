@@ -62,47 +62,86 @@ def connected_components(pairs: DataFrame, nodes: DataFrame | None = None) -> Da
     return nodes.select("id").distinct().join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def admit(pairs: Iterator[tuple[int, int]], seeds: list[int], most_nodes: int, most_degree: int) -> list[tuple[int, int]]:
-    """Pairs in order that a node and degree limit lets in; seeds are in from the start."""
-    nodes, degree, seen, out = set(seeds), {}, set(), []
-    for a, b in pairs:
-        pair = min(a, b), max(a, b)
-        if a == b or pair in seen or max(degree.get(a, 0), degree.get(b, 0)) >= most_degree:
-            continue
-        fresh = {a, b} - nodes
-        if len(nodes) + len(fresh) > most_nodes:
-            continue
-        nodes |= fresh
-        seen.add(pair)
-        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-        out.append(pair)
-    return out
-
-
-def neighborhood(g: CodeGraph, seeds: list[int], most_nodes: int = 2000, most_degree: int = 64) -> DataFrame:
+class Admission:
+    """Which pairs a node and a degree limit let in, over all hops; seeds are in from the start."""
+
+    def __init__(self, seeds: list[int], most_nodes: int, most_degree: int) -> None:
+        self.nodes, self.degree, self.pairs = dict.fromkeys(seeds), {}, {}
+        self.most_nodes, self.most_degree = most_nodes, most_degree
+        self.saturated = 0  # nodes at the degree limit
+
+    def done(self) -> bool:
+        """Nothing more can come in: no node may join, and no two of those that are in have room."""
+        return len(self.nodes) >= self.most_nodes and len(self.nodes) - self.saturated < 2
+
+    def take(self, found: Iterator[tuple[int, int]]) -> list[int]:
+        """Takes pairs in order, as far as any may still come in; returns the nodes that are new."""
+        fresh = []
+        for a, b in found:
+            if self.done():
+                break
+            pair = min(a, b), max(a, b)
+            if a == b or pair in self.pairs or max(self.degree.get(a, 0), self.degree.get(b, 0)) >= self.most_degree:
+                continue
+            new = [x for x in (a, b) if x not in self.nodes]
+            if len(new) == 2 or len(self.nodes) + len(new) > self.most_nodes:
+                continue
+            self.pairs[pair] = None
+            for x in (a, b):
+                self.degree[x] = self.degree.get(x, 0) + 1
+                self.saturated += self.degree[x] == self.most_degree
+            self.nodes |= dict.fromkeys(new)
+            fresh += new
+        return fresh
+
+
+def neighborhood(g: CodeGraph, seeds: list[int], most_nodes: int = 2000, most_degree: int = 64, part: int = 400) -> DataFrame:
     """(a, b, hop): undirected pairs within two hops of a few seeds, over calls, extends and implements edges.
 
-    Which pairs the limits admit depends on the order of edges, so admission is
-    one pass over what the two hops reach, read in order and stopped when the
-    limits are met: it holds most_nodes * most_degree pairs at most.
+    Which pairs the limits admit depends on the order of edges: nodes are asked
+    for their edges in the order in which they came in, `part` at a time, each
+    time in the order of edge ids, and degrees count over both hops. Edges
+    stream through the driver a partition at a time, until nothing more can
+    come in; it holds most_nodes * most_degree pairs at most.
     """
     spark = g.edges.sparkSession
     edges = g.edges.filter("kind <> 'imports' AND dst_id <> 0 AND src_id <> 0 AND src_id <> dst_id").select("edge_id", F.col("src_id").alias("a"), F.col("dst_id").alias("b"))
-    out: list[tuple[int, int, int]] = []
-    frontier, seen = list(seeds), set()
+    state, frontier, out = Admission(list(dict.fromkeys(seeds)), most_nodes, most_degree), list(dict.fromkeys(seeds)), []
     for hop in (1, 2):
-        at = spark.createDataFrame([(i,) for i in frontier], "id long")
-        near = edges.join(F.broadcast(at), F.col("a") == F.col("id"), "left_semi").unionByName(edges.join(F.broadcast(at), F.col("b") == F.col("id"), "left_semi")).distinct()  # at has most_nodes rows at most
-        found = admit(((r["a"], r["b"]) for r in near.orderBy("edge_id").toLocalIterator()), list({*seeds, *(x for p in out for x in p[:2])}), most_nodes, most_degree)
-        fresh = [p for p in found if p not in seen]
-        out += [(*p, hop) for p in fresh]
-        seen |= set(fresh)
-        frontier = sorted({x for p in fresh for x in p} - set(frontier) - set(seeds))
-        if not frontier:
+        if not frontier or len(state.nodes) >= most_nodes:
             break
+        at = F.broadcast(spark.createDataFrame([(x, i // part) for i, x in enumerate(frontier)], "id long, part int"))  # most_nodes rows at most
+        near = edges.join(at, F.col("a") == F.col("id")).unionByName(edges.join(at, F.col("b") == F.col("id"))).select("part", "edge_id", "a", "b").distinct()
+        before = len(state.pairs)
+        frontier = state.take((r["a"], r["b"]) for r in near.orderBy("part", "edge_id").toLocalIterator())
+        out += [(*p, hop) for p in list(state.pairs)[before:]]
     return spark.createDataFrame(out, "a long, b long, hop int")
 
 
+def reached(observed: DataFrame, start: DataFrame) -> DataFrame:
+    """Those of observed edges (a, b, at, ...) that an ordered walk admits: in the order of `at`, an edge comes in if one of its ends is in, by start (id) or by an edge before it, and brings in the other.
+
+    A node comes in at the least `at` of an edge whose other end came in
+    before that edge's: shortest paths of a kind, by rounds of joins until
+    nothing changes.
+    """
+    own = cut(observed.filter("a <> b"))
+    both = own.select(F.col("a").alias("u"), F.col("b").alias("v"), "at").unionByName(own.select(F.col("b").alias("u"), F.col("a").alias("v"), "at"))
+    kind = dict(own.dtypes)["at"]
+    came = cut(start.select("id").distinct().withColumn("t", F.struct(F.lit(0).alias("later"), F.lit(None).cast(kind).alias("at"))))
+    state = None
+    while True:
+        steps = both.join(came, F.col("u") == F.col("id")).filter((F.col("t.later") == 0) | (F.col("t.at") < F.col("at")))
+        steps = steps.select(F.col("v").alias("id"), F.struct(F.lit(1).alias("later"), F.col("at")).alias("t"))
+        came = cut(came.unionByName(steps).groupBy("id").agg(F.min("t").alias("t")))
+        now = tuple(came.agg(F.count("*"), F.sum(F.xxhash64("id", "t").bitwiseAND(F.lit((1 << 40) - 1)))).first())
+        if now == state:
+            break
+        state = now
+    first = both.join(came, F.col("u") == F.col("id")).filter((F.col("t.later") == 0) | (F.col("t.at") < F.col("at"))).select("at").distinct()
+    return own.join(first, "at", "left_semi")
+
+
 def two_hops(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Undirected pairs (a, b) within two hops of the seeds (id), without limits: joins only."""
     both = pairs.filter("a <> b").unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

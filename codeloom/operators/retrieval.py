@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cosine, dot, quantize
+from ..functions.exprs import cosine, dot, file_penalty, quantize
 
 # How ranks of the lanes count, and how much usage counts.
 LEXICAL_K, VECTOR_K, LITERAL_K = 60, 10, 20
 GAMMA = 0.35
+ROLE_GAMMA = 0.25
 LAMBDA = 0.3
 
 
@@ -80,11 +81,38 @@ def cluster_entries(scored: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def cluster_labels(members: DataFrame) -> DataFrame:
-    """Per component of (component, file, tokens): the shared directory of its files and its most frequent token (the smaller on ties)."""
+    """Per component of (component, place, file, tokens): the prefix its files share, its most frequent token (the smaller on ties), and the label, which joins them.
+
+    The prefix is that of a fold over the members in order of place: a member's
+    directories are compared with what is left, whose last part always counts
+    as a file name and goes. So a single member keeps its whole path, and each
+    one after the second costs a part at least: after member k, d(k) is the
+    least of the parts shared with the first one by member i, less k - i.
+    """
     words = members.select("component", F.explode("tokens").alias("t")).groupBy("component", "t").agg(F.count("*").alias("n"))
     top = words.groupBy("component").agg(F.min_by("t", F.struct(-F.col("n"), "t")).alias("token"))
-    parts = members.groupBy("component").agg(F.min("file").alias("lo"), F.max("file").alias("hi"))
-    # what the smallest and the largest path share, all between share
-    a, b = F.split("lo", "/"), F.split("hi", "/")
-    shared = F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), F.struct(F.lit(True).alias("on"), F.array().cast("array<string>").alias("p")), lambda s, x: F.struct((s["on"] & (x["a"] == x["b"])).alias("on"), F.when(s["on"] & (x["a"] == x["b"]), F.concat(s["p"], F.array(x["a"]))).otherwise(s["p"]).alias("p")), lambda s: s["p"])
-    return parts.select("component", F.array_join(F.when(F.col("lo") == F.col("hi"), F.slice(a, 1, F.size(a) - 1)).otherwise(shared), "/").alias("dir")).join(top, "component", "left")
+    first = members.groupBy("component").agg(F.min_by("file", "place").alias("lead"), F.count("*").alias("k"))
+    placed = members.join(first, "component").withColumn("i", F.row_number().over(Window.partitionBy("component").orderBy("place")) - 1)
+    a, b = F.split("lead", "/"), F.split("file", "/")
+    most = F.least(F.size(a), F.size(b)) - 1
+    shared = F.coalesce(F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: F.when((i <= most) & (F.element_at(a, i) == F.element_at(b, i)), F.lit(None)).otherwise(i - 1)), lambda x: x.isNotNull())), most)
+    depth = F.min(F.when(F.col("i") > 0, shared - (F.col("k") - 1 - F.col("i"))))
+    found = placed.groupBy("component").agg(depth.cast("int").alias("d"), F.first("lead").alias("lead"))
+    prefix = F.when(F.col("d").isNull(), F.col("lead")).otherwise(F.array_join(F.slice(F.split("lead", "/"), 1, F.greatest("d", F.lit(0))), "/"))
+    out = found.select("component", prefix.alias("prefix")).join(top, "component", "left").withColumn("token", F.coalesce("token", F.lit("")))
+    label = F.when((F.col("prefix") != "") & (F.col("token") != ""), F.concat("prefix", F.lit(" \u00b7 "), "token")).when(F.col("prefix") != "", F.col("prefix")).otherwise(F.col("token"))
+    return out.withColumn("label", label)
+
+
+def role_votes(pairs: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, votes): distinct user-side files (those that the file penalty lowers) with an edge (a, b) to a symbol that is not user-side itself."""
+    own = symbols.select("sym_id", "file", (file_penalty("file") < 1).alias("user"))
+    src = own.select(F.col("sym_id").alias("a"), F.col("file").alias("src_file"), F.col("user").alias("src_user"))
+    dst = own.select(F.col("sym_id").alias("b"), F.col("user").alias("dst_user"))
+    hits = pairs.join(src.filter("src_user"), "a").join(dst.filter("NOT dst_user"), "b")
+    return hits.groupBy(F.col("b").alias("id")).agg(F.countDistinct("src_file").alias("votes"))
+
+
+def role_boost(scored: DataFrame, votes: DataFrame) -> DataFrame:
+    """scored (id, score, ...) with score raised by (1 + votes) to ROLE_GAMMA; off by default in search."""
+    return scored.join(votes, "id", "left").withColumn("score", F.col("score") * F.pow(1.0 + F.coalesce("votes", F.lit(0)), F.lit(ROLE_GAMMA))).drop("votes")

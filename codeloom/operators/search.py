@@ -34,13 +34,32 @@ def vector_lane(v: Vectors, query: str, k: int = LANE) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def search(g: CodeGraph, query: str, *, hints: list[str] | None = None, vectors: Vectors | None = None, files: DataFrame | None = None, heat: DataFrame | None = None, observed: DataFrame | None = None, error_text: str = "", limit: int = 20) -> tuple[DataFrame, DataFrame, str]:
+def live_ids(symbols: DataFrame) -> DataFrame:
+    """(key, id) of project symbols: the key that evidence is stored under, and the last symbol that has it."""
+    return symbols.filter("tier = 0").groupBy(F.concat_ws("|", "file", "parent", "name").alias("key")).agg(F.max("sym_id").alias("id"))
+
+
+def live_heat(heat: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, total, entry) of stored heat whose key a live symbol has."""
+    return heat.join(live_ids(symbols), "key").select("id", "total", "entry")
+
+
+def live_edges(observed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(a, b, weight, at) of stored run-time edges between live symbols; `at` is their order, that of their keys."""
+    ids = live_ids(symbols)
+    both = observed.join(ids.select(F.col("key").alias("src_key"), F.col("id").alias("a")), "src_key").join(ids.select(F.col("key").alias("dst_key"), F.col("id").alias("b")), "dst_key")
+    return both.select("a", "b", "weight", F.struct("src_key", "dst_key", "indirect").alias("at"))
+
+
+def search(g: CodeGraph, query: str, *, hints: list[str] | None = None, vectors: Vectors | None = None, files: DataFrame | None = None, heat: DataFrame | None = None, observed: DataFrame | None = None, error_text: str = "", roles: bool = False, limit: int = 20) -> tuple[DataFrame, DataFrame, str]:
     """(results, clusters, note) for a query in words.
 
     results: id, qname, file, start_line, score, lanes. Without vectors the
     note says that only words were matched. files (file, content) turn on the
-    literal lane if there is an error text. heat (id, total, entry) raises what
-    runs; observed (a, b, weight) adds run-time edges to the diffusion.
+    literal lane if there is an error text. heat (key, leaf, total, entry)
+    raises what runs; observed (src_key, dst_key, indirect, weight) adds
+    run-time edges to the diffusion; keys without a live symbol match nothing.
+    roles turns on the boost of what user-side files use.
     """
     pool = verbs.symbols_with_callers(g).cache()
     try:
@@ -55,7 +74,7 @@ def search(g: CodeGraph, query: str, *, hints: list[str] | None = None, vectors:
         if files is not None and error_text:
             literal = text.literal_lane(files, g.symbols, error_text, n_symbols=g.symbols.count()).select(F.col("sym_id").alias("id"), "rank", (F.col("conf") * 1.5).alias("conf"))
         fused = retrieval.fuse(lex, near, literal)
-        warm = heat if heat is not None else pool.limit(0).select(F.col("sym_id").alias("id"), F.lit(0).alias("total"), F.lit(0).alias("entry"))
+        warm = live_heat(heat, g.symbols) if heat is not None else pool.limit(0).select(F.col("sym_id").alias("id"), F.lit(0).alias("total"), F.lit(0).alias("entry"))
         facts = pool.select(F.col("sym_id").alias("id"), qname().alias("qname"), "name", "file", "start_line", "tier", "kind", "callers").join(warm, "id", "left").fillna(0, ["total", "entry"])
         boost = F.pow(graph_boost("callers", "tier", "kind") * (1 + F.log10(1 + F.col("total").cast("double"))), F.lit(retrieval.GAMMA))
         fused = fused.join(facts, "id").select("id", (F.col("fused") * boost * file_penalty("file")).alias("fused"), "lanes")
@@ -64,16 +83,18 @@ def search(g: CodeGraph, query: str, *, hints: list[str] | None = None, vectors:
         pairs = graph.neighborhood(g, [r["id"] for r in seeds.select("id").collect()]).select("a", "b", F.lit(1.0).alias("w"))
         if observed is not None:
             touched = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(seeds.select("id")).distinct()
-            seen = observed.join(touched.withColumnRenamed("id", "a"), "a", "left_semi").unionByName(observed.join(touched.withColumnRenamed("id", "b"), "b", "left_semi")).distinct()
+            seen = graph.reached(live_edges(observed, g.symbols), touched)
             pairs = pairs.unionByName(seen.select("a", "b", (1 + F.log10(1 + F.col("weight").cast("double"))).alias("w")))
         pairs = graph.cut(pairs)
         mass = graph.diffuse(pairs, seeds.select("id", F.col("fused").alias("score")))
         blended = retrieval.blend(fused, mass)
+        if roles:
+            blended = retrieval.role_boost(blended, retrieval.role_votes(pairs.select("a", "b"), g.symbols))
         low = query.lower()
         pins = facts.filter((F.lower("name") == low) | (F.lower("qname") == low)).select("id", F.lit(NAME_PIN).alias("boost"))
         phrase = naming.quoted_phrase(query)
         if files is not None and len(phrase) >= 8:
-            hits = text.grep(files, "\\Q" + phrase + "\\E").withColumn("id", F.concat_ws(":", "file", "line"))
+            hits = text.grep(files, naming.quoted(phrase)).withColumn("id", F.concat_ws(":", "file", "line"))
             inside = verbs.innermost(hits.select("id", "file", "line"), g.symbols.filter("tier = 0")).filter("sym_id is not null").select(F.col("sym_id").alias("id")).distinct()
             if inside.limit(4).count() <= 3:
                 pins = pins.unionByName(inside.select("id", F.lit(PHRASE_PIN).alias("boost")))
@@ -81,7 +102,7 @@ def search(g: CodeGraph, query: str, *, hints: list[str] | None = None, vectors:
         top = graph.cut(scored.orderBy(F.desc("score"), "name", "file", "start_line", "id").limit(limit))
         groups = graph.connected_components(pairs.select("a", "b"), top.select("id"))
         rows = top.join(mass, "id", "left").select("id", "score", "file", F.col("entry").alias("heat"), F.coalesce("mass", F.lit(0.0)).alias("mass"), "callers")
-        labels = retrieval.cluster_labels(top.join(groups, "id").select("component", "file", tokens("name").alias("tokens")))
+        labels = retrieval.cluster_labels(top.join(groups, "id").select("component", F.struct(-F.col("score"), "name", "file", "start_line", "id").alias("place"), "file", tokens("name").alias("tokens")))
         clusters = retrieval.cluster_entries(rows, groups).join(labels, "component", "left").orderBy(F.desc("best"), "entry_file")
         return top.select("id", "qname", "file", "start_line", "score", "lanes").orderBy(F.desc("score"), "file", "start_line"), clusters, "" if vectors else "lexical-only: no vectors"
     finally:

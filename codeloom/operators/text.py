@@ -22,7 +22,7 @@ def grep(files: DataFrame, pattern: str, word: bool = False) -> DataFrame:
 
 
 def grep_grouped(files: DataFrame, symbols: DataFrame, pattern: str, word: bool = False) -> DataFrame:
-    """Hits by file and innermost symbol: hits, first_line, is_def, is_test; the caller orders and limits."""
+    """Hits by file and innermost symbol: hits, first_line, is_def, is_test; grep_answer() orders and limits."""
     hits = grep(files, pattern, word)
     points = hits.withColumn("id", F.concat_ws(":", "file", "line"))
     found = innermost(points.select("id", "file", "line"), symbols).join(symbols.select("sym_id", "start_line"), "sym_id", "left")
@@ -30,6 +30,15 @@ def grep_grouped(files: DataFrame, symbols: DataFrame, pattern: str, word: bool
     return grouped.withColumn("is_test", F.col("file").contains("_test.") | F.col("file").contains("tests/"))
 
 
+#: Definitions first, tests last, then by hits.
+GREP_ORDER = (F.desc, "is_def"), (F.asc, "is_test"), (F.desc, "hits"), (F.asc, "file"), (F.asc, "first_line")
+
+
+def grep_answer(grouped: DataFrame, limit: int = 0) -> DataFrame:
+    """grep_grouped() in order; with a limit, its first rows."""
+    ordered = grouped.orderBy(*[way(c) for way, c in GREP_ORDER])
+    return ordered.limit(limit) if limit else ordered
+
 
 def match_quality(query: str, name: Column | str = "name") -> Column:
     """struct(score, match) of an identifier for a query; score 0 if it does not match."""
@@ -76,7 +85,7 @@ def literal_lane(files: DataFrame, symbols: DataFrame, query: str, *, n_symbols:
     most = max(50, n_symbols // 10)
     found = None
     for place, w in enumerate(chosen):
-        hits = grep(files, "(?i)\\Q" + w + "\\E").withColumn("id", F.concat_ws(":", "file", "line"))
+        hits = grep(files, "(?i)" + naming.quoted(w)).withColumn("id", F.concat_ws(":", "file", "line"))
         inside = innermost(hits.select("id", "file", "line"), symbols.filter("tier = 0")).filter("sym_id is not null AND NOT (contains(file, '_test.') OR contains(file, 'tests/'))")
         one = inside.groupBy("sym_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "sym_id").limit(per_word)
         raw = hits.agg(F.count("*").alias("raw"))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import qname
 from ..functions.naming import split_anchor
+from ..storage import cut
+from .depmaps import provenance
 
 
 @dataclass
@@ -17,6 +19,7 @@ class CodeGraph:
     edges: DataFrame
     depfiles: DataFrame | None = None
     lines: DataFrame | None = None
+    files: DataFrame | None = None
 
 
 def of_anchor(name: str, parent: str = "") -> Column:
@@ -70,9 +73,16 @@ def symbol_deps(g: CodeGraph, name: str, parent: str = "") -> DataFrame:
     return dep_rows(g, g.edges.filter(F.col("kind").isin("extends", "implements")).join(src, "src_id", "left_semi"))
 
 
+def has_file(g: CodeGraph, path: str) -> bool:
+    """Whether a file is indexed: by the table of files if the graph has it, else by what was found in it."""
+    if g.files is not None:
+        return not g.files.filter(F.col("path") == path).isEmpty()
+    return not g.symbols.filter((F.col("file") == path) & (F.col("tier") == 0)).isEmpty() or not g.edges.filter(F.col("src_file") == path).isEmpty()
+
+
 def deps(g: CodeGraph, anchor: str) -> DataFrame:
-    """A file's imports; for a symbol, what it extends and implements, and the imports of its first definition's file."""
-    if not g.edges.filter(F.col("src_file") == anchor).isEmpty():
+    """A file's imports (none, if it has none); for a symbol, what it extends and implements, and the imports of its first definition's file."""
+    if has_file(g, anchor):
         return file_imports(g, anchor).withColumn("section", F.lit("imports"))
     name, parent = split_anchor(anchor)
     first = definitions(g, name, parent).limit(1).select(F.col("file").alias("src_file"))
@@ -97,9 +107,28 @@ def impact(g: CodeGraph, name: str, parent: str = "") -> DataFrame:
 def median_called(g: CodeGraph, least: int) -> DataFrame:
     """The upper median, by number of edges, of called names without a slash that have `least` or more; names break ties."""
     n = g.edges.filter("kind = 'calls' AND NOT contains(dst_name, '/')").groupBy("dst_name").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    rows = F.array_sort(F.collect_list(F.struct("n", "dst_name")))
-    picked = n.agg(rows.alias("r")).filter("size(r) > 0").select(F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")).alias("x"))
-    return picked.select(F.col("x.dst_name").alias("name"), F.col("x.n").alias("n"))
+    n = cut(n)
+    # names by count: as many rows as there are different counts, not names
+    by_count = n.groupBy("n").agg(F.count("*").alias("c"))
+    running = by_count.withColumns({"upto": F.sum("c").over(Window.orderBy("n")), "all": F.sum("c").over(Window.partitionBy())})
+    place = F.floor(F.col("all") / 2) + 1
+    at = running.filter((F.col("upto") >= place) & (F.col("upto") - F.col("c") < place)).select("n", (place - (F.col("upto") - F.col("c"))).cast("int").alias("k")).first()
+    if at is None:
+        return n.select(F.col("dst_name").alias("name"), "n").limit(0)
+    tied = n.filter(F.col("n") == at["n"]).orderBy("dst_name")
+    return tied.offset(at["k"] - 1).limit(1).select(F.col("dst_name").alias("name"), "n")
+
+
+def neighbor_names(g: CodeGraph, top: int = 5) -> DataFrame:
+    """(sym_id, side, names): of each called or calling symbol, the `top` names of its callers and of its callees, by number of calls, then name."""
+    calls = g.edges.filter("kind = 'calls' AND dst_id <> 0 AND src_id <> 0")
+    name = g.symbols.select(F.col("sym_id").alias("other"), "name")
+    both = calls.select(F.col("dst_id").alias("sym_id"), F.col("src_id").alias("other"), F.lit("callers").alias("side")).unionByName(calls.select(F.col("src_id").alias("sym_id"), F.col("dst_id").alias("other"), F.lit("callees").alias("side")))
+    # counted by id before names are joined: a hot symbol's calls are one row for each other end
+    n = both.groupBy("sym_id", "side", "other").agg(F.count("*").alias("n")).join(name, "other").groupBy("sym_id", "side", "name").agg(F.sum("n").alias("n"))
+    first = Window.partitionBy("sym_id", "side").orderBy(F.desc("n"), "name")
+    kept = n.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= top)
+    return kept.groupBy("sym_id", "side").agg(F.array_sort(F.collect_list(F.struct("r", "name"))).alias("x")).select("sym_id", "side", F.col("x.name").alias("names"))
 
 
 def caller_counts(g: CodeGraph) -> DataFrame:
@@ -136,17 +165,47 @@ def innermost(points: DataFrame, spans: DataFrame, block: int = 256) -> DataFram
     return points.join(best, "id", "left").select("id", "file", "line", F.col("x.sym_id").alias("sym_id"), F.col("x.name").alias("name"))
 
 
+ORDER = ("src_file", "src_name", "src_parent", "dst_name", "kind", "line", "dst_qualifier", "dst_ns", "edge_id")
+
+
 def unresolved_edges(g: CodeGraph) -> DataFrame:
+    """Edges without a target that have a source symbol, in a total order."""
     src = g.symbols.select(F.col("sym_id").alias("src_id"), F.col("name").alias("src_name"), F.col("parent").alias("src_parent"))
-    return g.edges.filter("dst_id = 0 AND src_id <> 0").join(src, "src_id").select("src_file", "src_name", "src_parent", "dst_name", "dst_qualifier", "dst_ns", "kind", "line")
+    return g.edges.filter("dst_id = 0 AND src_id <> 0").join(src, "src_id").orderBy(*ORDER).select("src_file", "src_name", "src_parent", "dst_name", "dst_qualifier", "dst_ns", "kind", "line")
 
 
 def tier_one_edges(g: CodeGraph) -> DataFrame:
-    src = g.symbols.select(F.col("sym_id").alias("src_id"), F.col("name").alias("src_name"))
+    """Edges into dependencies, in the same order."""
+    src = g.symbols.select(F.col("sym_id").alias("src_id"), F.col("name").alias("src_name"), F.col("parent").alias("src_parent"))
     dst = g.symbols.filter("tier = 1").select(F.col("sym_id").alias("dst_id"), F.col("namespace").alias("target_ns"))
-    return g.edges.join(dst, "dst_id").join(src, "src_id").select("src_file", "src_name", "dst_name", "kind", "line", "target_ns")
+    return g.edges.join(dst, "dst_id").join(src, "src_id").orderBy(*ORDER).select("src_file", "src_name", "dst_name", "kind", "line", "target_ns")
+
 
+def limited(df: DataFrame, limit: int, *order: Column | str) -> tuple[list[Row], int]:
+    """The first rows of an answer and its total, in one run of the plan."""
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(*order).limit(limit).collect()
+    return rows, seen.get["n"]
 
-def limited(df: DataFrame, limit: int, *order: Column | str) -> tuple[DataFrame, int]:
-    """The first rows of an answer and its total."""
-    return df.orderBy(*order).limit(limit) if order else df.limit(limit), df.count()
+
+@dataclass
+class ImpactAnswer:
+    """Sections of an impact answer: their first rows, and their totals."""
+
+    definitions: list[Row]
+    callers: list[Row]
+    dependents: list[Row]
+    callees: list[Row]
+    callers_total: int
+    dependents_total: int
+    callees_total: int
+
+
+def impact_answer(g: CodeGraph, name: str, parent: str = "", limit: int = 20) -> ImpactAnswer:
+    own = limited(callers(g, name, parent), limit, "file", "line", "qname")
+    used = limited(dependents(g, name), limit, "kind", "file", "line", "qname")
+    down = callees(g, name, parent)
+    if g.depfiles is not None:
+        down = provenance(down, g.depfiles)
+    calls = limited(down, limit, "line", "dst_name", "def_file", "def_line")
+    return ImpactAnswer(definitions(g, name, parent).collect(), own[0], used[0], calls[0], own[1], used[1], calls[1])

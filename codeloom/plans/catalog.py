@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import depmaps, evaluate, incremental, profile, resolve, retrieval, text, verbs, workspace
+from ..operators import depmaps, evaluate, incremental, nav, profile, resolve, retrieval, search, text, verbs, workspace
 from ..operators import graph as graphs
+from ..schema import EDGES
 from . import views
 from .views import DOC_SQL, EDGE_SQL, GRAPH_SQL, NATION, ORDER, QNAME, RAW_SQL, REGION, SUPPLIER, SYM_SQL, graph, ns_match_sql, resolve_sql, table
 
@@ -97,14 +98,6 @@ def referencing_files(spark, d):
     return verbs.referencing_files(verbs.CodeGraph(None, views.raw_edges(spark, d)), ANCHOR)
 
 
-@query(f"""{GRAPH_SQL} SELECT 'definition' AS section, file, {COUNT} AS n FROM sym WHERE name = '{ANCHOR}' GROUP BY file
-UNION ALL SELECT 'caller', file, count(*) FROM ({CALLERS} WHERE e.dst_name = '{ANCHOR}') GROUP BY file""")
-def nav_union(spark, d):
-    g = graph(spark, d)
-    one = lambda df, s: df.groupBy("file").agg(F.count("*").alias("n")).select(F.lit(s).alias("section"), "file", "n")
-    return one(verbs.definitions(g, ANCHOR), "definition").unionByName(one(verbs.callers(g, ANCHOR), "caller"))
-
-
 @query(f"WITH {RAW_SQL}, n AS (SELECT dst_name AS name, {COUNT} AS n FROM raw WHERE kind = 'calls' AND NOT contains(dst_name, '/') GROUP BY 1 HAVING count(*) >= 3) SELECT name, n FROM (SELECT *, row_number() OVER (ORDER BY n, name) AS r, count(*) OVER () AS c FROM n) WHERE r = c // 2 + 1")
 def median_called(spark, d):
     return verbs.median_called(verbs.CodeGraph(None, views.raw_edges(spark, d)), 3)
@@ -129,6 +122,13 @@ def innermost_span(spark, d):
     return verbs.innermost(points.select("id", "file", "line"), views.doc_spans(spark, d)).select("file", F.col("line").cast("long").alias("line"), F.col("sym_id").cast("long").alias("sym_id"), "name")
 
 
+@query(f"""{GRAPH_SQL}, c AS (SELECT * FROM edge WHERE kind = 'calls' AND dst_id <> 0 AND src_id <> 0),
+n AS (SELECT e.dst_id AS sym_id, 'callers' AS side, s.name, count(*) AS n FROM c e JOIN sym s ON s.sym_id = e.src_id GROUP BY 1, 3 UNION ALL SELECT e.src_id, 'callees', s.name, count(*) FROM c e JOIN sym s ON s.sym_id = e.dst_id GROUP BY 1, 3)
+SELECT sym_id, side, string_agg(name, ',' ORDER BY r) AS names FROM (SELECT *, row_number() OVER (PARTITION BY sym_id, side ORDER BY n DESC, name) AS r FROM n) WHERE r <= 5 GROUP BY 1, 2""")
+def neighbor_names(spark, d):
+    return verbs.neighbor_names(graph(spark, d)).withColumn("names", F.array_join("names", ","))
+
+
 # resolution
 
 
@@ -155,14 +155,14 @@ def reresolve_affected(spark, d):
     return resolve.re_resolve(g.edges, after, names).groupBy("dst_name", "confidence").agg(F.count("*").alias("n"))
 
 
-PATHS = "(SELECT 'lib/' || source || '/m' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.go' WHEN 1 THEN '.py' WHEN 2 THEN '.php' ELSE '.ts' END AS path, CASE WHEN doc_id % 12 = 2 THEN 'App' ELSE '' END AS declared FROM documents)"
+PATHS = "(SELECT 'lib/' || source || '/m' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.go' WHEN 1 THEN CASE WHEN doc_id % 8 = 1 THEN '/__init__.py' ELSE '.py' END WHEN 2 THEN '.php' ELSE '.ts' END AS path, CASE WHEN doc_id % 12 = 2 THEN 'App' ELSE '' END AS declared FROM documents)"
 
 
 @query(f"""SELECT path, CASE WHEN declared <> '' THEN declared WHEN path LIKE '%.go' OR path LIKE '%.php' THEN regexp_replace(path, '/[^/]*$', '')
 WHEN path LIKE '%.py' THEN replace(regexp_replace(path, '\\.py$', ''), '/', '.') ELSE path END AS namespace FROM {PATHS}""")
 def namespace_derivation(spark, d):
     docs = table(spark, d, "documents")
-    end = F.when(F.col("doc_id") % 4 == 0, ".go").when(F.col("doc_id") % 4 == 1, ".py").when(F.col("doc_id") % 4 == 2, ".php").otherwise(".ts")
+    end = F.when(F.col("doc_id") % 4 == 0, ".go").when(F.col("doc_id") % 8 == 1, "/__init__.py").when(F.col("doc_id") % 4 == 1, ".py").when(F.col("doc_id") % 4 == 2, ".php").otherwise(".ts")
     docs = docs.select(F.concat(F.lit("lib/"), "source", F.lit("/m"), "doc_id", end).alias("path"), F.when(F.col("doc_id") % 12 == 2, "App").otherwise("").alias("declared"))
     return docs.select("path", exprs.derive_namespace("path", "declared").alias("namespace"))
 
@@ -273,15 +273,17 @@ def stem(spark, d):
     return words.select("word", exprs.stem("word").alias("stem"))
 
 
-FIND_SQL = f"""{GRAPH_SQL}, n AS (SELECT dst_id AS sym_id, count(*) AS callers FROM edge WHERE dst_id <> 0 GROUP BY 1),
+def find_sql(a: str, b: str) -> str:
+    letters = ".*".join(a) + ".* .*" + ".*".join(b)
+    return f"""n AS (SELECT dst_id AS sym_id, count(*) AS callers FROM edge WHERE dst_id <> 0 GROUP BY 1),
 q AS (SELECT sym.*, coalesce(callers, 0) AS callers, string_split(name, ' ') AS t FROM sym LEFT JOIN n USING (sym_id)),
-m AS (SELECT *, CASE WHEN name = 'plate red' THEN 100 WHEN len(t) = 2 AND list_contains(t, 'plate') AND list_contains(t, 'r' || 'ed') THEN 90 WHEN starts_with(name, 'plate red') THEN 80
-  WHEN list_contains(t, 'plate') AND list_contains(t, 'red') THEN 70 WHEN regexp_matches(name, '.*p.*l.*a.*t.*e.* .*r.*e.*d') THEN 50 ELSE 0 END AS quality FROM q),
-s AS (SELECT *, round(quality * (1 + log10(1 + callers)) * CASE WHEN tier <> 0 THEN 0.6 ELSE 1.0 END * CASE WHEN kind = 'method' THEN 0.9 ELSE 1.0 END, 6) AS score FROM m WHERE quality > 0)
-SELECT sym_id, name, file, start_line, score, CASE quality WHEN 100 THEN 'exact' WHEN 90 THEN 'token-set' WHEN 80 THEN 'prefix' WHEN 70 THEN 'all-tokens' ELSE 'subsequence' END AS match FROM s ORDER BY score DESC, name, file, start_line, sym_id LIMIT 20"""
+m AS (SELECT *, CASE WHEN name = '{a} {b}' THEN 100 WHEN len(t) = 2 AND list_contains(t, '{a}') AND list_contains(t, '{b}') THEN 90 WHEN starts_with(name, '{a} {b}') THEN 80
+  WHEN list_contains(t, '{a}') AND list_contains(t, '{b}') THEN 70 WHEN regexp_matches(name, '.*{letters}') THEN 50 ELSE 0 END AS quality FROM q),
+s AS (SELECT *, round(quality * (1 + log10(1 + callers)) * CASE WHEN tier <> 0 THEN 0.6 ELSE 1.0 END * CASE WHEN kind = 'method' THEN 0.9 ELSE 1.0 END, 6) AS score FROM m WHERE quality > 0),
+found AS (SELECT sym_id, name, file, start_line, score, CASE quality WHEN 100 THEN 'exact' WHEN 90 THEN 'token-set' WHEN 80 THEN 'prefix' WHEN 70 THEN 'all-tokens' ELSE 'subsequence' END AS match FROM s ORDER BY score DESC, name, file, start_line, sym_id LIMIT 20)"""
 
 
-@query(FIND_SQL)
+@query(f"{GRAPH_SQL}, {find_sql('plate', 'red')} SELECT * FROM found")
 def find_ranked(spark, d):
     return text.find(verbs.symbols_with_callers(graph(spark, d)), "plate red", limit=20)
 
@@ -291,18 +293,38 @@ def grep_lines(spark, d):
     return text.grep(views.doc_files(spark, d), "License").select("file", F.col("line").cast("long").alias("line"), "text")
 
 
-@query(f"""WITH {DOC_SQL}, p AS (SELECT file, line FROM lines WHERE regexp_matches(text, '\\b(?:token|License)\\b')),
-i AS (SELECT * FROM (SELECT p.file, p.line, s.sym_id, s.name, s.start_line, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line, sym_id) AS r FROM p JOIN spans s ON s.file = p.file AND start_line <= line AND line <= end_line) WHERE r = 1)
-SELECT file, sym_id, name, {COUNT} AS hits, CAST(min(line) AS BIGINT) AS first_line, bool_or(line = start_line) AS is_def, false AS is_test FROM i GROUP BY 1, 2, 3""")
-def grep_grouped(spark, d):
-    found = text.grep_grouped(views.doc_files(spark, d), views.doc_spans(spark, d), "token|License", word=True)
+GREP_SQL = f"""WITH {DOC_SQL}, p AS (SELECT file, line FROM lines WHERE regexp_matches(text, '\\b(?:token|License)\\b')),
+i AS (SELECT * FROM (SELECT p.file, p.line, s.sym_id, s.name, s.start_line, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line, sym_id) AS r FROM p JOIN spans s ON s.file = p.file AND start_line <= line AND line <= end_line) WHERE r = 1),
+grouped AS (SELECT file, sym_id, name, {COUNT} AS hits, CAST(min(line) AS BIGINT) AS first_line, bool_or(line = start_line) AS is_def FROM i GROUP BY 1, 2, 3),
+marked AS (SELECT CASE sym_id // 100000 % 3 WHEN 1 THEN replace(file, '/', '_test.') WHEN 2 THEN 'tests/' || file ELSE file END AS file, sym_id, name, hits, first_line, is_def, sym_id // 100000 % 3 IN (1, 2) AS is_test FROM grouped)"""
+
+
+def marked(df: DataFrame) -> DataFrame:
+    """Two thirds of the documents' files as tests."""
+    k = F.floor(F.col("sym_id") / 100_000 if "sym_id" in df.columns else F.col("doc_id")) % 3
+    return df.withColumn("file", F.when(k == 1, F.replace("file", F.lit("/"), F.lit("_test."))).when(k == 2, F.concat(F.lit("tests/"), "file")).otherwise(F.col("file")))
+
+
+def grouped(spark: SparkSession, d: str) -> DataFrame:
+    found = text.grep_grouped(marked(views.doc_files(spark, d)), marked(views.doc_spans(spark, d)), "token|License", word=True)
     return found.withColumns({"first_line": F.col("first_line").cast("long"), "sym_id": F.col("sym_id").cast("long")})
 
 
+@query(f"{GREP_SQL} SELECT * FROM marked")
+def grep_grouped(spark, d):
+    return grouped(spark, d)
+
+
+@query(f"{GREP_SQL} SELECT CAST(place AS BIGINT) AS place, file, sym_id, hits FROM (SELECT *, row_number() OVER (ORDER BY is_def DESC, is_test, hits DESC, file, first_line) AS place FROM marked) WHERE place <= 25")
+def grep_order(spark, d):
+    rows = text.grep_answer(grouped(spark, d), 25).select("file", "sym_id", "hits").collect()
+    return spark.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], "place long, file string, sym_id long, hits long")
+
+
 @query(f"""WITH {DOC_SQL}, h AS (SELECT w.word, w.place, file, line FROM lines, (VALUES ('password', 0), ('license', 1)) w(word, place) WHERE contains(lower(text), w.word)),
 i AS (SELECT * FROM (SELECT h.word, h.place, s.sym_id, row_number() OVER (PARTITION BY h.word, h.file, h.line ORDER BY end_line - start_line, start_line, sym_id) AS r FROM h JOIN spans s ON s.file = h.file AND start_line <= line AND line <= end_line) WHERE r = 1),
 raw AS (SELECT word, count(*) AS raw FROM h GROUP BY 1),
-o AS (SELECT * FROM (SELECT word, place, sym_id, hits, row_number() OVER (PARTITION BY word ORDER BY hits DESC, sym_id) AS r FROM (SELECT word, place, sym_id, count(*) AS hits FROM i GROUP BY 1, 2, 3)) JOIN raw USING (word) WHERE r <= 15 AND raw <= 100000),
+o AS (SELECT * FROM (SELECT word, place, sym_id, hits, row_number() OVER (PARTITION BY word ORDER BY hits DESC, sym_id) AS r FROM (SELECT word, place, sym_id, count(*) AS hits FROM i GROUP BY 1, 2, 3)) JOIN raw USING (word) WHERE r <= 15 AND raw <= (SELECT greatest(50, count(*) // 10) FROM spans)),
 b AS (SELECT sym_id, sum(hits) AS hits, count(*) AS words, min(raw) AS raw, min((place, -hits)) AS f FROM o GROUP BY 1)
 SELECT sym_id, CAST(hits AS BIGINT) AS hits, CAST(words AS BIGINT) AS words, round(CASE WHEN words >= 2 THEN 1.5 ELSE 1.0 END * greatest(0.3, least(1.5, 2 / log10(10 + raw))), 6) AS conf,
   row_number() OVER (ORDER BY words < 2, CASE WHEN words >= 2 THEN -hits ELSE 0 END, f, sym_id) - 1 AS rank FROM b""")
@@ -336,6 +358,38 @@ def card_hashes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("doc_"), "doc_id", F.lit(" "), "lang", F.lit(". in "), "source").cast("binary"), 256).alias("hash"))
 
 
+NAV_SQL = f"""{GRAPH_SQL}, {DOC_SQL.strip()}, {find_sql('red', 'plate')},
+d AS (SELECT row_number() OVER (ORDER BY file, start_line, name, sym_id) - 1 AS place, * FROM sym WHERE name = '{ANCHOR}'),
+mt AS (SELECT row_number() OVER (ORDER BY score DESC, name, file, start_line, sym_id) - 1 AS place, * FROM found),
+c AS (SELECT row_number() OVER (ORDER BY file, line, qname) - 1 AS place, * FROM ({CALLERS} WHERE e.dst_name = '{ANCHOR}')),
+gf AS (SELECT DISTINCT file FROM lines WHERE regexp_matches(text, '\\b{ANCHOR}\\b')),
+f AS (SELECT file, min(place) AS place FROM mt GROUP BY 1)
+SELECT 'definition' AS section, place, file, CAST(start_line AS BIGINT) AS line, name AS label FROM d
+UNION ALL SELECT 'match', place, file, start_line, match FROM mt
+UNION ALL SELECT 'caller', place, file, line, qname FROM c WHERE place < 20
+UNION ALL SELECT 'file', row_number() OVER (ORDER BY place) - 1, file, 0, '' FROM f
+UNION ALL SELECT 'callers_total', (SELECT count(*) FROM c), '', 0, ''
+UNION ALL SELECT 'files_total', (SELECT count(*) FROM f) + (SELECT count(*) FROM gf WHERE file NOT IN (SELECT file FROM f)), '', 0, ''"""
+
+
+@query(NAV_SQL, name="nav")
+def nav_verb(spark, d):
+    return nav.nav_rows(graph(spark, d), views.doc_files(spark, d), ANCHOR)
+
+
+@query(f"""WITH {DOC_SQL}, p AS (SELECT file, line FROM lines WHERE regexp_matches(text, '\\bLicense\\b')),
+i AS (SELECT * FROM (SELECT p.file, p.line, s.sym_id, s.name, s.start_line, row_number() OVER (PARTITION BY p.file, p.line ORDER BY end_line - start_line, start_line, sym_id) AS r FROM p JOIN spans s ON s.file = p.file AND start_line <= line AND line <= end_line) WHERE r = 1),
+g AS (SELECT *, row_number() OVER (ORDER BY is_def DESC, hits DESC, file, first_line) - 1 AS place FROM (SELECT file, sym_id, name, count(*) AS hits, min(line) AS first_line, bool_or(line = start_line) AS is_def FROM i GROUP BY 1, 2, 3)),
+f AS (SELECT file, row_number() OVER (ORDER BY min(place)) - 1 AS place FROM g GROUP BY 1)
+SELECT 'caller' AS section, place, file, CAST(first_line AS BIGINT) AS line, name AS label FROM g WHERE place < 20 UNION ALL SELECT 'file', place, file, 0, '' FROM f WHERE place < 20
+UNION ALL SELECT 'callers_total', (SELECT count(*) FROM g), '', CAST((SELECT count(*) FROM g) > 0 AS BIGINT), '' UNION ALL SELECT 'files_total', (SELECT count(*) FROM f), '', 0, ''""")
+def nav_from_text(spark, d):
+    """An anchor that only texts have: the symbols around its hits stand in for callers."""
+    empty = F.lit("")
+    spans = views.doc_spans(spark, d).withColumns({"parent": empty, "namespace": empty, "kind": F.lit("func"), "signature": empty, "sym_id": F.col("sym_id").cast("long")})
+    return nav.nav_rows(verbs.CodeGraph(spans, spark.createDataFrame([], EDGES)), views.doc_files(spark, d), "License")
+
+
 # vectors
 
 Q8 = "list_transform(embedding, lambda x: CAST(trunc(greatest(least(CAST(x AS DOUBLE) * 127, 127), -127)) AS INTEGER))"
@@ -387,10 +441,17 @@ def rrf_fusion(spark, d):
     return fused(spark, d).withColumn("fused", F.round("fused", 6))
 
 
+def penalised(file: str):
+    """The file's path in places of which three of five lower a score."""
+    k = F.col("sym_id") % 5
+    return F.when(k == 1, F.concat(file, F.lit("_test.go"))).when(k == 2, F.concat(F.lit("examples/"), file)).when(k == 3, F.concat(F.lit("a/tests/"), file)).when(k == 4, F.concat(F.lit("sampled/"), file)).otherwise(F.col(file))
+
+
 @query(f"""{GRAPH_SQL}, n AS (SELECT dst_id AS sym_id, count(*) AS callers FROM edge WHERE dst_id <> 0 GROUP BY 1)
-SELECT sym_id, round((1 + log10(1 + coalesce(callers, 0))) * CASE WHEN tier <> 0 THEN 0.6 ELSE 1 END * CASE WHEN kind = 'method' THEN 0.9 ELSE 1 END, 6) AS boost, CAST(1.0 AS DOUBLE) AS penalty FROM sym LEFT JOIN n USING (sym_id)""")
+SELECT sym_id, round((1 + log10(1 + coalesce(callers, 0))) * CASE WHEN tier <> 0 THEN 0.6 ELSE 1 END * CASE WHEN kind = 'method' THEN 0.9 ELSE 1 END, 6) AS boost,
+  CAST(CASE WHEN sym_id % 5 IN (1, 2, 3) THEN 0.7 ELSE 1.0 END AS DOUBLE) AS penalty FROM sym LEFT JOIN n USING (sym_id)""")
 def graph_boost(spark, d):
-    return verbs.symbols_with_callers(graph(spark, d)).select("sym_id", F.round(exprs.graph_boost("callers", "tier", "kind"), 6).alias("boost"), exprs.file_penalty("file").alias("penalty"))
+    return verbs.symbols_with_callers(graph(spark, d)).select("sym_id", F.round(exprs.graph_boost("callers", "tier", "kind"), 6).alias("boost"), exprs.file_penalty(penalised("file")).alias("penalty"))
 
 
 GEO_SQL = f"""pairs AS (SELECT n_nationkey + {NATION} AS a, n_regionkey + {REGION} AS b, CAST(1.0 AS DOUBLE) AS w FROM nation UNION ALL SELECT s_suppkey + {SUPPLIER}, s_nationkey + {NATION}, CAST(2.0 AS DOUBLE) FROM supplier),
@@ -440,11 +501,23 @@ def cluster_entries(spark, d):
     return retrieval.cluster_entries(rows, e.select("id", F.col("label").alias("component")))
 
 
-@query("""WITH s AS (SELECT s_nationkey AS component, 'lib/n' || s_nationkey || '/f' || s_suppkey AS file, s_suppkey FROM supplier), w AS (SELECT component, t, count(*) AS n FROM (SELECT component, 'supplier' AS t FROM s UNION ALL SELECT component, 't' || s_suppkey % 3 FROM s) GROUP BY 1, 2)
-SELECT component, 'lib/n' || component AS dir, (SELECT t FROM w WHERE w.component = c.component ORDER BY n DESC, t LIMIT 1) AS token FROM (SELECT DISTINCT component FROM s) c""")
+# the prefix member by member: what is left and the next file, each without its last part, as far as they agree
+SHARED = "array_to_string(string_split(a, '/')[1 : len(list_filter(range(1, least(len(string_split(a, '/')), len(string_split(b, '/')))), lambda i: string_split(a, '/')[1:i] = string_split(b, '/')[1:i]))], '/')"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey // 3 AS component, s_suppkey AS place, 'lib/a/b/c/n' || s_suppkey % 2 || '/f' || s_suppkey AS file, ['supplier', 't' || s_suppkey % 3] AS tokens FROM supplier
+  UNION ALL SELECT 1000000 + n_regionkey, n_nationkey, 'geo/r' || n_regionkey || '/x/y/z/n' || n_nationkey, ['t' || n_nationkey % 2] FROM nation),
+w AS (SELECT component, t, count(*) AS n FROM (SELECT component, unnest(tokens) AS t FROM s) GROUP BY 1, 2),
+p AS (SELECT component, list_reduce(list(file ORDER BY place), lambda a, b: {SHARED}) AS prefix FROM s GROUP BY 1),
+x AS (SELECT component, prefix, (SELECT t FROM w WHERE w.component = p.component ORDER BY n DESC, t LIMIT 1) AS token FROM p)
+SELECT component, prefix, token, CASE WHEN prefix <> '' THEN prefix || ' · ' || token ELSE token END AS label FROM x""")
 def cluster_labels(spark, d):
-    s = table(spark, d, "supplier")
-    return retrieval.cluster_labels(s.select(F.col("s_nationkey").alias("component"), F.concat(F.lit("lib/n"), "s_nationkey", F.lit("/f"), "s_suppkey").alias("file"), F.array(F.lit("supplier"), F.concat(F.lit("t"), F.col("s_suppkey") % 3)).alias("tokens")))
+    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
+    k = F.col("s_suppkey")
+    one = s.select(F.floor(k / 3).cast("long").alias("component"), k.cast("long").alias("place"), F.concat(F.lit("lib/a/b/c/n"), k % 2, F.lit("/f"), k).alias("file"), F.array(F.lit("supplier"), F.concat(F.lit("t"), k % 3)).alias("tokens"))
+    k = F.col("n_nationkey")
+    two = n.select((F.col("n_regionkey") + 1_000_000).cast("long").alias("component"), k.cast("long").alias("place"), F.concat(F.lit("geo/r"), "n_regionkey", F.lit("/x/y/z/n"), k).alias("file"), F.array(F.concat(F.lit("t"), k % 2)).alias("tokens"))
+    return retrieval.cluster_labels(one.unionByName(two))
 
 
 @query(f"WITH {GEO_SQL}, one AS (SELECT b AS id FROM und WHERE a = {REGION} UNION SELECT {REGION}) SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM und WHERE a IN (SELECT id FROM one)")
@@ -458,6 +531,35 @@ def neighborhood_capped(spark, d):
     return graphs.neighborhood(graph(spark, d), [ORDER + 1, ORDER + 2], most_nodes=40, most_degree=8)
 
 
+KEYED = "sym_id % 2 = 0 AND tier = 0"
+
+
+@query(f"""WITH {SYM_SQL}, k AS (SELECT file || '|' || parent || '|' || name AS key, max(sym_id) AS id FROM sym WHERE tier = 0 GROUP BY 1),
+h AS (SELECT file || '|' || parent || '|' || name AS key, count(*) AS total, min(start_line) AS entry FROM sym WHERE {KEYED} GROUP BY 1 UNION ALL SELECT 'gone|x|y', 1, 1) SELECT id, total, CAST(entry AS BIGINT) AS entry FROM h JOIN k USING (key)""")
+def live_heat(spark, d):
+    own = views.symbols(spark, d)
+    heat = own.filter(KEYED).groupBy(F.concat_ws("|", "file", "parent", "name").alias("key")).agg(F.count("*").alias("total"), F.min("start_line").cast("long").alias("entry"))
+    gone = spark.createDataFrame([("gone|x|y", 1, 1)], "key string, total long, entry long")
+    return search.live_heat(heat.unionByName(gone), own)
+
+
+@query(f"""{GRAPH_SQL}, f AS (SELECT sym_id, sym_id % 5 IN (1, 2, 3) AS low, CASE sym_id % 5 WHEN 1 THEN file || '_test.go' WHEN 2 THEN 'examples/' || file WHEN 3 THEN 'a/tests/' || file ELSE file END AS file FROM sym)
+SELECT dst_id AS id, count(DISTINCT s.file) AS votes FROM edge JOIN f s ON s.sym_id = src_id AND s.low JOIN f t ON t.sym_id = dst_id AND NOT t.low WHERE kind = 'calls' GROUP BY 1""")
+def role_votes(spark, d):
+    g = graph(spark, d)
+    return retrieval.role_votes(g.edges.filter("kind = 'calls' AND src_id <> 0 AND dst_id <> 0").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")), g.symbols.withColumn("file", penalised("file")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS "at", o_custkey AS a, o_custkey % 97 + 1000000 AS b FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, o_custkey % 97 + 1000000, o_custkey % 89 + 2000000 FROM orders WHERE o_orderkey % 3 = 1),
+r AS (SELECT CAST(1000000 AS BIGINT) AS id, CAST(-1 AS BIGINT) AS t UNION SELECT CASE WHEN a = id THEN b ELSE a END, "at" FROM r JOIN e ON (a = id OR b = id) AND t < "at")
+SELECT DISTINCT "at", a, b FROM e JOIN r ON (a = id OR b = id) AND "at" > t""")
+def observed_walk(spark, d):
+    o, c = table(spark, d, "orders"), F.col("o_custkey")
+    mid = (c % 97 + 1_000_000).cast("long")
+    e = o.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("at"), c.alias("a"), mid.alias("b")).unionByName(o.filter("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("at"), mid.alias("a"), (c % 89 + 2_000_000).cast("long").alias("b")))
+    return graphs.reached(e, spark.createDataFrame([(1_000_000,)], "id long")).select("at", "a", "b")
+
+
 # graph output
 
 
@@ -558,7 +660,7 @@ def obs_provenance(spark, d):
 # workspace
 
 WS_SQL = """mem AS (SELECT n_name AS id, n_nationkey AS ord, 'geo/' || n_regionkey || '/' || n_name AS ns FROM nation),
-defs AS (SELECT DISTINCT n_name AS member, 'f/' || p_partkey AS file, p_name || ' ' || p_size AS name, p_type AS parent, CAST(p_partkey AS INTEGER) AS line FROM part JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 1 JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE p_partkey % 4 = 0),
+defs AS (SELECT DISTINCT n_name AS member, 'f/' || p_partkey AS file, p_name || ' ' || p_size AS name, p_type AS parent, CAST(p_partkey AS INTEGER) AS line FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
 ask AS (SELECT p_partkey AS edge_key, n_name AS consumer, p_name || ' ' || p_size AS dst_name, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS dst_qualifier, CASE WHEN p_partkey % 2 = 0 THEN 'geo/' || (p_partkey % 25) % 5 || '/NATION_' || p_partkey % 25 || '/sub' ELSE '' END AS dst_ns FROM part JOIN nation ON n_nationkey = (p_partkey + p_size) % 25)"""
 
 
@@ -638,13 +740,14 @@ def prune_registry(spark, d):
     return workspace.prune_registry(cross_edges(spark, d), table(spark, d, "nation").filter("n_regionkey <> 2").select(F.col("n_name").alias("id"))).select("k", "src_member", "dst_member")
 
 
-@query("SELECT n_name AS id, n_nationkey % 5 <> 0 AND (n_nationkey % 4 = 0 OR n_nationkey % 3 = 0) AS dirty, n_nationkey % 5 = 0 AND n_nationkey % 4 <> 0 AS stale, n_nationkey % 7 = 0 AS drifted FROM nation")
+@query("SELECT n_name AS id, n_nationkey % 5 <> 0 AND (n_nationkey % 4 = 0 OR n_nationkey % 3 = 0) AS dirty, n_nationkey % 5 = 0 AND n_nationkey % 4 <> 0 AS stale, n_nationkey % 7 IN (0, 1) OR n_nationkey % 11 = 5 AS drifted FROM nation")
 def freshen_gate(spark, d):
     n, k = table(spark, d, "nation"), F.col("n_nationkey")
-    members = n.select(F.col("n_name").alias("id"), F.array(F.lit("a"), F.lit("b"), F.lit("")).alias("namespaces"), F.array().cast("array<string>").alias("deps"))
+    listed = lambda *x: F.array(*map(F.lit, x))
+    members = n.select(F.col("n_name").alias("id"), k.alias("ord"), listed("a", "b", "", "a").alias("namespaces"), F.array().cast("array<string>").alias("deps"))
     roots = n.filter(k % 5 != 0).select(F.col("n_name").alias("id"), F.concat(F.lit("r"), k).alias("root"))
     stamps = n.filter(k % 4 != 0).select(F.col("n_name").alias("id"), F.when(k % 3 == 0, "old").otherwise(F.concat(F.lit("r"), k)).alias("root"))
-    known = n.select(F.col("n_name").alias("id"), F.when(k % 7 == 0, F.array(F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("a"))).alias("namespaces"), F.array().cast("array<string>").alias("deps"))
+    known = n.select(F.col("n_name").alias("id"), F.when(k % 11 == 5, k + 1).otherwise(k).alias("ord"), F.when(k % 7 == 0, listed("b")).when(k % 7 == 1, listed("b", "a", "")).otherwise(listed("a", "b", "")).alias("namespaces"), F.lit(None).cast("array<string>").alias("deps"))
     return workspace.freshen_gate(members, roots, stamps, known)
 
 
@@ -689,7 +792,13 @@ def round_robin(spark, d):
     return evaluate.round_robin(e.select(F.col("label").alias("q"), F.col("vec_id").alias("id"), F.round(1.0 / (1 + F.col("vec_id")), 9).alias("score"), (F.col("vec_id") % 4).alias("family")))
 
 
-@query(None)
+DOT_F = "list_sum(list_transform(list_zip(x.vec, y.vec), lambda p: CAST(p[1] AS DOUBLE) * p[2]))"
+MMR = [f"""s{i} AS (SELECT q, arg_max(id, (gain, score, -id)) AS id FROM (SELECT q, id, score, 0.7 * score - 0.3 * greatest(near, 0) AS gain FROM c{i}) GROUP BY q),
+c{i + 1} AS (SELECT x.q, x.id, x.score, x.vec, greatest(x.near, {DOT_F}) AS near FROM c{i} x JOIN s{i} USING (q) JOIN c y ON y.q = x.q AND y.id = s{i}.id WHERE x.id <> s{i}.id)""" for i in range(1, 11)]
+MMR_SQL = "WITH c AS (SELECT label AS q, vec_id AS id, 1.0 / (1 + vec_id) AS score, embedding AS vec FROM embeddings), c1 AS (SELECT *, CAST(-1 AS DOUBLE) AS near FROM c), " + ", ".join(MMR) + " " + " UNION ALL ".join(f"SELECT q, id, {i} AS rank FROM s{i}" for i in range(1, 11))
+
+
+@query(MMR_SQL)
 def mmr_rerank(spark, d):
     e = table(spark, d, "embeddings")
     return evaluate.mmr(e.select(F.col("label").alias("q"), F.col("vec_id").alias("id"), (1.0 / (1 + F.col("vec_id"))).alias("score"), F.col("embedding").alias("vec")))

@@ -50,13 +50,13 @@ def sniffed(head: Column) -> Column:
 
 
 def language(path: Column, head: Column, associations: dict[str, str] | None = None) -> Column:
-    """By association globs (in their order; of the base name if they have no slash), then extension, then content."""
+    """By association globs (in their order; of the base name if they have no slash), then extension, then, whatever the name, content."""
     out, name = F.when(F.lit(False), ""), F.element_at(F.split(path, "/"), -1)
     for pattern, lang in sorted((associations or {}).items()):
         out = out.when((path if "/" in pattern else name).rlike(glob_to_regex(pattern)), lang)
     for lang, endings in EXTENSIONS.items():
         out = out.when(path.rlike(rf"\.({'|'.join(endings)})$"), lang)
-    return out.when(~name.contains("."), sniffed(head))
+    return out.otherwise(sniffed(head))
 
 
 def scan(spark: SparkSession, root: str, filter_: Filter | None = None, associations: dict[str, str] | None = None) -> DataFrame:

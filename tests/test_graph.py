@@ -1,8 +1,9 @@
 import itertools
+import random
 
-from codeloom.operators import graph, incremental, resolve, retrieval, text, verbs, workspace
+from codeloom.operators import graph, incremental, nav, resolve, retrieval, text, verbs, workspace
 from codeloom.operators.verbs import CodeGraph
-from codeloom.schema import SYMBOLS
+from codeloom.schema import EDGES, SYMBOLS
 from pyspark.sql import functions as F
 
 RAW = "edge_id long, src_id long, dst_name string, dst_qualifier string, dst_ns string, src_ns string, kind string, line int, src_file string"
@@ -113,7 +114,78 @@ def test_components_and_admission(spark):
     assert got == {500: 500}
     got = {r["id"]: r["component"] for r in graph.connected_components(chain).collect()}
     assert set(got.values()) == {0, 100} and len(got) == 43
-    assert graph.admit(iter([(1, 2), (2, 1), (1, 3), (1, 4), (5, 6)]), [1], 3, 2) == [(1, 2), (1, 3)]
+    state = graph.Admission([1], 3, 2)
+    assert state.take(iter([(1, 2), (2, 1), (1, 3), (1, 4), (5, 6)])) == [2, 3] and list(state.pairs) == [(1, 2), (1, 3)]
+
+
+def walked(edges, seeds, most_nodes, most_degree, part):
+    """Two hops as the rules say them, one edge at a time, with one state."""
+    nodes, degree, seen, frontier = set(seeds), {}, [], list(seeds)
+    for _ in range(2):
+        if not frontier or len(nodes) >= most_nodes:
+            break
+        fresh = []
+        for at in range(0, len(frontier), part):
+            own = set(frontier[at : at + part])
+            for a, b in edges:
+                if a == b or not own & {a, b} or (min(a, b), max(a, b)) in seen or degree.get(a, 0) >= most_degree or degree.get(b, 0) >= most_degree:
+                    continue
+                new = {a, b} - nodes
+                if len(nodes) + len(new) > most_nodes:
+                    continue
+                seen.append((min(a, b), max(a, b)))
+                for x in (a, b):
+                    degree[x] = degree.get(x, 0) + 1
+                    if x in new:
+                        nodes.add(x)
+                        fresh.append(x)
+        frontier = fresh
+    return seen
+
+
+def test_neighborhood_keeps_its_state_over_hops(spark):
+    rng = random.Random(4)
+    for most_nodes, most_degree, part in ((1000, 1, 400), (12, 3, 2), (40, 2, 3), (1000, 64, 5)):
+        edges = [(rng.randint(1, 30), rng.randint(1, 30)) for _ in range(120)]
+        df = spark.createDataFrame([(i, a, b, "x", "", "", "calls", "unambiguous", 1, "f") for i, (a, b) in enumerate(edges)], EDGES)
+        got = graph.neighborhood(CodeGraph(df.limit(0).select(), df), [3, 7, 3], most_nodes, most_degree, part).collect()
+        assert [(r["a"], r["b"]) for r in got] == walked(edges, [3, 7], most_nodes, most_degree, part)
+    line = spark.createDataFrame([(1, 1, 2, "x", "", "", "calls", "unambiguous", 1, "f"), (2, 2, 3, "x", "", "", "calls", "unambiguous", 1, "f")], EDGES)
+    assert [tuple(r) for r in graph.neighborhood(CodeGraph(line, line), [1], most_degree=1).collect()] == [(1, 2, 1)]
+
+
+def test_observed_edges_bring_in_their_ends(spark):
+    rng = random.Random(8)
+    for _ in range(3):
+        edges = [(rng.randint(1, 40), rng.randint(1, 40)) for _ in range(60)]
+        inside, want = {1, 2}, []
+        for i, (a, b) in enumerate(edges):
+            if a != b and (a in inside or b in inside):
+                inside |= {a, b}
+                want.append(i)
+        df = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(edges)], "a long, b long, at long")
+        assert sorted(r["at"] for r in graph.reached(df, spark.createDataFrame([(1,), (2,)], "id long")).collect()) == want
+
+
+def test_labels_fold_member_by_member(spark):
+    rows = [(1, i, f, ["x"]) for i, f in enumerate(["a/b/f", "a/b/g", "a/b/h"])] + [(2, 0, "a/b/only.go", ["y", "x", "y"]), (3, 0, "p/q", []), (3, 1, "r/s", [])]
+    got = {r["component"]: r["label"] for r in retrieval.cluster_labels(spark.createDataFrame(rows, "component long, place long, file string, tokens array<string>")).collect()}
+    assert got == {1: "a \u00b7 x", 2: "a/b/only.go \u00b7 y", 3: ""}
+
+
+def test_answers_with_order_and_total(spark):
+    g = small(spark)
+    rows, total = verbs.limited(verbs.callers(g, "Target"), 2, "file", "line")
+    assert [(r["file"], r["line"]) for r in rows] == [("a.go", 6), ("b.go", 4)] and total == 3
+    a = verbs.impact_answer(g, "Target", limit=1)
+    assert (len(a.callers), a.callers_total, a.dependents_total, a.callees_total, len(a.definitions)) == (1, 3, 1, 0, 1)
+    files = spark.createDataFrame([("a.go", "x\nTarget\nfunc Target"), ("c.go", "Mention"), ("z_test.go", "Mention Mention\nMention")], "file string, content string")
+    found = nav.nav(g, files, "Target")
+    assert [r["file"] for r in found.definitions] == ["a.go"] and found.callers_total == 3 and not found.callers_from_grep and found.files == ["a.go"]
+    found = nav.nav(g, files, "Mention")
+    assert found.callers_from_grep and [(r["file"], r["line"]) for r in found.callers] == [("c.go", 1), ("z_test.go", 1)] and found.files == ["c.go", "z_test.go"]
+    own = CodeGraph(g.symbols, g.edges, files=spark.createDataFrame([("empty.go",)], "path string"))
+    assert verbs.has_file(own, "empty.go") and verbs.deps(own, "empty.go").count() == 0 and not verbs.has_file(g, "empty.go")
 
 
 def test_find_and_grep(spark):

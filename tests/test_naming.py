@@ -57,7 +57,7 @@ def test_namespaces(spark, ns, hint, match, prefix):
 
 
 def test_scalars(spark):
-    rows = [("a/b.go", "", "a"), ("b.go", "", "."), ("a/b.py", "", "a.b"), ("a/b.ts", "", "a/b.ts"), ("x.pyi", "", "x.pyi"), ("a.php", "App", "App")]
+    rows = [("a/b.go", "", "a"), ("b.go", "", "."), ("a/b.py", "", "a.b"), ("a/__init__.py", "", "a.__init__"), ("a/b.ts", "", "a/b.ts"), ("x.pyi", "", "x.pyi"), ("a.php", "App", "App")]
     df = spark.createDataFrame(rows, "p string, d string, want string").select("want", exprs.derive_namespace("p", "d").alias("ns"))
     assert all(r["want"] == r["ns"] for r in df.collect())
     df = spark.createDataFrame([("a_test.go", 0.7), ("x/tests/y.py", 0.7), ("demo/x.go", 0.7), ("src/demos.go", 1.0), ("a/testing.go", 0.7)], "f string, want double").select("want", exprs.file_penalty("f").alias("p"))
