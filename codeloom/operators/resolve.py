@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MODULE_ENDINGS
+from ..storage import bounded
 
 REQUEST = ("dst_name", "dst_qualifier", "src_ns", "dst_ns")
 
@@ -101,7 +102,7 @@ def file_namespaces(symbols: DataFrame) -> DataFrame:
 
 def re_resolve(edges: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
     """edges with those whose dst_name is in names (name) resolved anew; the others untouched. Only symbols of these names are counted."""
-    own = names.select(F.col("name").alias("dst_name")).distinct()
+    own = bounded(names.select(F.col("name").alias("dst_name")).distinct())
     hit = edges.join(own, "dst_name", "left_semi")
     rest = edges.join(own, "dst_name", "left_anti")
     return rest.unionByName(resolve_some(hit, symbols, own).select(*rest.columns))
@@ -109,7 +110,7 @@ def re_resolve(edges: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFr
 
 def resolve_some(raw: DataFrame, symbols: DataFrame, names: DataFrame) -> DataFrame:
     """resolve_edges() of edges whose names (dst_name) are few: other symbols are left out before anything is counted."""
-    return resolve_edges(raw, symbols.join(names.withColumnRenamed("dst_name", "name"), "name", "left_semi"))
+    return resolve_edges(raw, symbols.withColumnRenamed("name", "dst_name").join(names, "dst_name", "left_semi").withColumnRenamed("dst_name", "name"))
 
 
 def pick_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
