@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 A document's features are the n-grams it has, each worth the log ratio of its
-share in toxic and in other labelled documents. N-grams whose shares do not
-differ significantly are worth nothing, so that a long clean text does not add
-up chance. A logistic regression weighs the others.
+share in toxic and in other labelled documents, times the logarithm of its
+count. Ratios shrink by what their counts leave in doubt, so that a long clean
+text does not add up chance. A logistic regression weighs them.
 """
 
 from __future__ import annotations
@@ -44,20 +44,27 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield hashed[whole].astype(np.int64), doc[: len(packed)][whole]
 
 
-def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, hash) pairs, of hashes whose `wanted` is not 0."""
+def present(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, hash) pairs, of hashes whose `wanted` is not 0, and how often each text has the n-gram."""
     n, pairs = len(offsets) - 1, []
     for hashed, doc in grams(data, offsets):
         if wanted is not None:
             own = wanted[hashed] != 0
             hashed, doc = hashed[own], doc[own]
         pairs.append((doc.astype(np.int64) << BITS) | hashed)
-    both = np.unique(np.concatenate(pairs)) if n else np.zeros(0, np.int64)
-    return both >> BITS, both & ((1 << BITS) - 1)
+    both, many = np.unique(np.concatenate(pairs), return_counts=True) if n else (np.zeros(0, np.int64),) * 2
+    return both >> BITS, both & ((1 << BITS) - 1), many
 
 
-def significant(sample: DataFrame, least_z: float, least_docs: int, most: int) -> dict[int, float]:
-    """Log-count ratios of the n-grams whose shares differ; at most `most`, by z."""
+def log_ratios(sample: DataFrame, doubt: float) -> dict[int, float]:
+    """The n-grams' log-count ratios, each shrunk by what its own counts leave in doubt.
+
+    Counts of documents are smoothed by one document that is split like the
+    labels, so that an n-gram never seen has ratio 0. A ratio r with standard
+    error e shrinks to r * max(0, 1 - doubt * (e / r)**2), the positive-part
+    James-Stein rule: n-grams that the labels hardly tell apart fade out, with
+    no limit on the number of those that stay.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, any_ = np.zeros((2, 1 << BITS), np.int32), False
@@ -66,7 +73,7 @@ def significant(sample: DataFrame, least_z: float, least_docs: int, most: int) -
             y = batch.column(1).to_numpy(zero_copy_only=False)
             offsets, data, _ = text_bytes(batch.column(2))
             for lo, hi in slices(offsets, 1 << 20):
-                doc, hashed = present(data, offsets[lo : hi + 1])
+                doc, hashed, _ = present(data, offsets[lo : hi + 1])
                 for k in (0, 1):
                     docs[k] += int((y[lo:hi] == k).sum())
                     np.add.at(counts[k], hashed[y[lo:hi][doc] == k], 1)
@@ -80,32 +87,39 @@ def significant(sample: DataFrame, least_z: float, least_docs: int, most: int) -
         if not total or not total[1] or not total[2]:
             return {}
         n0, n1 = float(total[1]), float(total[2])
-        share = (F.col("n0") + F.col("n1")) / (n0 + n1)
-        z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n0 + 1 / n1))
-        ratio = F.log((F.col("n1") + 1) / (n1 + 2)) - F.log((F.col("n0") + 1) / (n0 + 2))
-        kept = sums.filter((F.col("h") >= 0) & (F.col("n0") + F.col("n1") >= least_docs)).withColumn("z", F.abs(z)).filter(F.col("z") >= least_z)
-        return {r[0]: r[1] for r in kept.orderBy(F.desc("z"), "h").limit(most).select("h", ratio).collect()}
+        share = n1 / (n0 + n1)
+        a0, a1 = F.col("n0") + (1 - share), F.col("n1") + share
+        ratio = F.log(a1 / (n1 + share)) - F.log(a0 / (n0 + 1 - share))
+        error2 = F.greatest(1 / a0 + 1 / a1 - 1 / n0 - 1 / n1, F.lit(1e-9))
+        rows = sums.filter("h >= 0").select("h", ratio.alias("r"), error2.alias("e2"))
+        kept = rows.filter(F.col("r") * F.col("r") > doubt * F.col("e2")).select("h", F.col("r") - doubt * F.col("e2") / F.col("r"))
+        return {r[0]: r[1] for r in kept.collect()}  # hashes of n-grams: at most 2**BITS, whatever the corpus
     finally:
         sums.unpersist()
 
 
-def regression(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on sparse rows by Adam over all rows, from weights that trust the ratios a little."""
+def regression(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, n_features: int, *, steps: int = 200, rate: float = 0.05, decay: float = 1e-4, batch: int = 4096) -> tuple[np.ndarray, float]:
+    """Logistic regression on sparse rows, which stand in a random order, by Adam over one batch of rows after another, from weights that trust the ratios a little."""
+    parts = []
+    for at in range(0, len(y), batch):
+        lo, hi = np.searchsorted(doc, [at, at + batch])
+        parts.append((doc[lo:hi] - at, feature[lo:hi], value[lo:hi], y[at : at + batch]))
     w = np.append(np.full(n_features, 0.1), -1.0)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        logits = np.bincount(doc, w[feature] * value, len(y)) + w[-1]
-        d = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(feature, d[doc] * value, n_features) + decay * w[:-1], d.sum())
+        own, at, x, t = parts[step % len(parts)]
+        logits = np.bincount(own, w[at] * x, len(t)) + w[-1]
+        d = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - t) / len(t)
+        g = np.append(np.bincount(at, d[own] * x, n_features) + decay * w[:-1], d.sum())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g**2
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def toxicity_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", fit_rows: int = 16_000, least_z: float = 5.0, least_docs: int = 8, most: int = 8192):
+def toxicity_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", fit_rows: int = 16_000, doubt: float = 9.0):
     """A function from a text column to its score, fitted on at most fit_rows labelled documents, none of which is held out."""
     sample = labelled(docs, labels, text_col, id_col, label, fit_rows)
-    ratios = significant(sample, least_z, least_docs, most)
+    ratios = log_ratios(sample, doubt)
     order = np.array(sorted(ratios), np.int64)
 
     def lookup(values: np.ndarray, kind: type) -> np.ndarray:
@@ -118,18 +132,19 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text
         for batch in batches:
             offsets, data, _ = text_bytes(batch.column(2))
             for lo, hi in slices(offsets, 1 << 20):
-                doc, hashed = present(data, offsets[lo : hi + 1], place)
-                own = [(place[hashed[doc == i]] - 1).astype(np.int32).tobytes() for i in range(hi - lo)]
+                doc, hashed, many = present(data, offsets[lo : hi + 1], place)
+                cut = np.searchsorted(doc, np.arange(hi - lo + 1))
+                own = [np.stack([place[hashed[cut[i] : cut[i + 1]]] - 1, many[cut[i] : cut[i + 1]]]).astype(np.int32).tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), batch.column(1).slice(lo, hi - lo), pa.array(own, pa.binary())], names=["id", "y", "f"])
 
     rows = sample.mapInArrow(features, "id long, y int, f binary").orderBy(F.xxhash64("id"), "id", "f").limit(fit_rows).collect()
     y = np.array([r[1] for r in rows], np.float64)
     if len(order):
-        each = [np.frombuffer(r[2], np.int32) for r in rows]
-        doc = np.repeat(np.arange(len(rows)), [len(e) for e in each])
-        feature = np.concatenate(each)
+        each = [np.frombuffer(r[2], np.int32).reshape(2, -1) for r in rows]
+        doc = np.repeat(np.arange(len(rows)), [e.shape[1] for e in each])
+        feature, many = np.concatenate(each, axis=1)
         ratio = np.array([ratios[h] for h in order.tolist()])
-        w, bias = regression(doc, feature, ratio[feature], y, len(order))
+        w, bias = regression(doc, feature, ratio[feature] * np.log2(1.0 + many), y, len(order))
         weights = w * ratio
     else:
         share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
@@ -141,8 +156,8 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text
             offsets, data, _ = text_bytes(texts)
             logits = np.full(len(texts), bias)
             for lo, hi in slices(offsets, 1 << 20):
-                doc, hashed = present(data, offsets[lo : hi + 1], dense)
-                logits[lo:hi] += np.bincount(doc, dense[hashed].astype(np.float64), hi - lo)
+                doc, hashed, many = present(data, offsets[lo : hi + 1], dense)
+                logits[lo:hi] += np.bincount(doc, dense[hashed] * np.log2(1.0 + many), hi - lo)
             yield pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))), pa.float64())
 
     udf = F.arrow_udf(score, "double")
