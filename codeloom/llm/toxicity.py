@@ -116,7 +116,7 @@ def regression(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.nd
     return w[:-1], float(w[-1])
 
 
-def toxicity_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", fit_rows: int = 16_000, doubt: float = 9.0):
+def toxicity_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", fit_rows: int = 8000, doubt: float = 9.0):
     """A function from a text column to its score, fitted on at most fit_rows labelled documents, none of which is held out."""
     sample = labelled(docs, labels, text_col, id_col, label, fit_rows)
     ratios = log_ratios(sample, doubt)
@@ -134,17 +134,19 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text
             for lo, hi in slices(offsets, 1 << 20):
                 doc, hashed, many = present(data, offsets[lo : hi + 1], place)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1))
-                own = [np.stack([place[hashed[cut[i] : cut[i + 1]]] - 1, many[cut[i] : cut[i + 1]]]).astype(np.int32).tobytes() for i in range(hi - lo)]
+                own = [(place[hashed[cut[i] : cut[i + 1]]] - 1).astype(np.int32).tobytes() + many[cut[i] : cut[i + 1]].clip(max=(1 << 16) - 1).astype(np.uint16).tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).cast(pa.int64()), batch.column(1).slice(lo, hi - lo), pa.array(own, pa.binary())], names=["id", "y", "f"])
 
     rows = sample.mapInArrow(features, "id long, y int, f binary").orderBy(F.xxhash64("id"), "id", "f").limit(fit_rows).collect()
     y = np.array([r[1] for r in rows], np.float64)
     if len(order):
-        each = [np.frombuffer(r[2], np.int32).reshape(2, -1) for r in rows]
-        doc = np.repeat(np.arange(len(rows)), [e.shape[1] for e in each])
-        feature, many = np.concatenate(each, axis=1)
+        sizes = [len(r[2]) // 6 for r in rows]  # an int32 and a uint16 each
+        doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        feature = np.concatenate([np.frombuffer(r[2], np.int32, n) for r, n in zip(rows, sizes, strict=True)])
+        many = np.concatenate([np.frombuffer(r[2], np.uint16, n, 4 * n) for r, n in zip(rows, sizes, strict=True)])
+        del rows
         ratio = np.array([ratios[h] for h in order.tolist()])
-        w, bias = regression(doc, feature, ratio[feature] * np.log2(1.0 + many), y, len(order))
+        w, bias = regression(doc, feature, ratio.astype(np.float32)[feature] * np.log2(np.float32(1) + many), y, len(order))
         weights = w * ratio
     else:
         share = min(max(float(y.mean()) if len(y) else 0.5, 0.01), 0.99)
