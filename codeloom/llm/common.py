@@ -60,6 +60,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def fresh(df: DataFrame, *names: str) -> dict[str, str]:
+    """Names of columns that df does not have, like those given."""
+    taken, out = {c.lower() for c in df.columns}, {}
+    for name in names:
+        own = f"__{name}"
+        while own.lower() in taken:
+            own = "_" + own
+        out[name] = own
+    return out
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than are needed to tell."""
     return df.limit(rows + 1).count() <= rows

@@ -1,10 +1,13 @@
 import hashlib
+import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from codeloom.llm import quality, secrets, toxicity
@@ -97,6 +100,65 @@ def base(text):
     return sorted(out)
 
 
+def plain_battery(token):
+    """The battery, number by number."""
+    cdf = lambda z: 1 / (1 + math.exp(-(1.5976 * z + 0.07056 * z**3)))
+    clip = lambda z: max(-8.0, min(8.0, z))
+    two = lambda z: max(2 * (1 - cdf(min(abs(z), 8))), 1e-12)
+    core = token.rstrip("=")
+    chars, far, letters = next((e for e in secrets.ENCODINGS if core and set(core) <= set(e[0])), secrets.ENCODINGS[-1])
+    v, size = np.array([max(chars.find(c), 0) for c in core or "0"], float), len(chars)
+    n, free = len(v), size - 1
+    chi = size / n * (np.unique(v, return_counts=True)[1] ** 2).sum() - n
+    uniform = max(1 - cdf(clip((chi - free) / math.sqrt(2 * free))), 1e-12)
+    written = cdf(clip((chi - free - n * far) / math.sqrt(2 * (free + 2 * n * far))))
+    up = v >= size / 2
+    expected = 1 + 2 * up.sum() * (~up).sum() / n
+    spread = math.sqrt(max((expected - 1) * (expected - 2) / max(n - 1, 1), 1e-9))
+    runs = two((1 + (up[1:] != up[:-1]).sum() - expected) / spread) if 0 < up.sum() < n else 1e-12
+    d = v - v.mean()
+    serial = two((d[1:] * d[:-1]).sum() / (d**2).sum() * math.sqrt(n)) if (d**2).sum() > 0 else 1e-12
+    half = -sum(map(math.log, (uniform, runs, serial)))
+    random_ = max(math.exp(-half) * (1 + half + half**2 / 2), 1e-30)
+    return n, min(1.0, written * letters ** sum(not c.isdigit() for c in core) / random_)
+
+
+def plain_random(text, rate=0.05):
+    """Tokens that overlap no base span, by step-up over their weighted p values."""
+    tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text)]
+    tokens = [t for t in tokens if not any(a < t[1] and t[0] < b for a, _, b in base(text))]
+    tested = [(*plain_battery(t[2]), *t) for t in tokens]
+    if not tested:
+        return []
+    mean = sum(t[0] for t in tested) / len(tested)
+    ps = sorted(t[1] * mean / t[0] for t in tested)
+    most = max((p for i, p in enumerate(ps) if p <= rate * (i + 1) / len(ps)), default=-1)
+    return sorted(t[2:] for t in tested if t[1] * mean / t[0] <= most)
+
+
+def test_random_spans_match_plain_battery(spark):
+    rng = random.Random(9)
+    pick = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    alphabets = [e[0] for e in secrets.ENCODINGS] + ["ab", "0", "the of and "]
+    rows = []
+    for i in range(150):
+        parts = [pick(rng.choice(alphabets), rng.randint(1, 60)) for _ in range(rng.randint(0, 12))]
+        parts += rng.choice([[], ["password=" + pick(alphabets[5], 30)], ["my_token=" + pick("abc", 25) + ".tail" + pick(alphabets[5], 30)], ["AKIA" + pick(alphabets[3], 30)], [" " + pick(alphabets[5], 30)]])
+        rng.shuffle(parts)
+        rows.append((i, rng.choice([" ", "\n", "é "]).join(parts)))
+    found = {r["doc_id"]: [(s["start"], s["end"], s["value"]) for s in r["secrets"] if s["kind"] == "random"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert all(found[i] == plain_random(t) for i, t in rows) and sum(map(len, found.values())) > 100
+
+
+def test_very_many_matches(spark):
+    text = " ".join(f"token=abcdefgh{i}" for i in range(32_000)) + " end"
+    began = time.time()
+    row = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
+    took = time.time() - began
+    assert [(s["start"], s["end"]) for s in row["base"]] == [(m.start(), m.end()) for m in re.finditer(r"\S+=\S+", text)]
+    assert took < 20
+
+
 def test_secrets(spark, tmp_path):
     rng = random.Random(6)
     key = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(a) for _ in range(n))
