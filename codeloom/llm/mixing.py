@@ -8,8 +8,9 @@ fraction is 0 or 1; the other goes on with what is left. Documents of a source
 meet in blocks of bounded size, each folded into at most one document that is
 still fractional; the left-over documents of the blocks meet in blocks again,
 and so on: a reduction tree of logarithmic depth. A source's words then miss
-its target by less than one document, and turning a fitting document or two
-makes up for most of that. Only DataFrame functions are used.
+its target by less than one document, which is drawn like the others; turning a
+fitting document, or trading one for another, makes up for that. Only DataFrame
+functions are used.
 """
 
 from __future__ import annotations
@@ -83,7 +84,44 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> Da
     return s.withColumn("target", F.coalesce(F.least(F.col("most"), level * F.col("weight")), F.lit(0.0))).select("source", "source_size", "units", "target")
 
 
-def mixing_plan(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, block: int = 128, seed: int = 11, repairs: int = 2, source_rows: int = 10_000) -> DataFrame:
+def repaired(decided: DataFrame, miss: DataFrame, rounds: int) -> DataFrame | None:
+    """Documents to turn (__s, __null, id, size, turns), or None: each round turns, in every source, the one document, or takes one off and puts one on, that leaves the smallest miss, as long as that helps.
+
+    Candidates are two documents for each number of words that a source's
+    documents have, on either side, so what the rounds read grows with the
+    number of different sizes, not with the documents.
+    """
+    key = ["__s", "__null"]
+    pick = F.struct(F.xxhash64("id", F.lit("turn")).alias("h"), "id", "size")
+    pool = decided.groupBy(*key, (F.col("n") * F.col("size")).alias("mass"), "k").agg(F.array_distinct(F.array(F.min(pick), F.max(pick))).alias("x"))
+    pool = checkpoint(pool.select(*key, "mass", "k", F.explode("x").alias("x")).select(*key, "mass", "k", "x.*"))
+    done = None
+    for _ in range(rounds):
+        now = pool.join(miss, key)
+        item = F.struct("id", "size", "mass", "h")
+        nothing = F.lit(None).cast("struct<id:bigint,size:bigint,mass:bigint,h:bigint>")
+        single = now.select(*key, F.abs(F.col("miss") + F.when(F.col("k") == 0, F.col("mass")).otherwise(-F.col("mass"))).alias("left"), F.when(F.col("k") == 1, item).otherwise(nothing).alias("off"), F.when(F.col("k") == 0, item).otherwise(nothing).alias("on"))
+        # taking one off asks for another whose words are its own less the miss: the nearest on either side
+        wanted = now.withColumn("at", F.when(F.col("k") == 1, F.col("mass") - F.col("miss")).otherwise(F.col("mass").cast("double")))
+        by_size = Window.partitionBy(*key).orderBy("at", "k", "h", "id", "size")
+        other = F.when(F.col("k") == 0, item)
+        beside = wanted.withColumns({"below": F.last(other, True).over(by_size.rowsBetween(Window.unboundedPreceding, 0)), "above": F.first(other, True).over(by_size.rowsBetween(0, Window.unboundedFollowing))}).filter("k = 1")
+        pairs = [beside.filter(F.col(c).isNotNull()).select(*key, F.abs(F.col(f"{c}.mass") - F.col("at")).alias("left"), item.alias("off"), F.col(c).alias("on")) for c in ("below", "above")]
+        best = single.unionByName(pairs[0]).unionByName(pairs[1]).groupBy(*key).agg(F.min_by(F.struct("left", "off", "on"), F.struct("left", "off.h", "on.h", "off.id", "on.id")).alias("b"))
+        better = checkpoint(best.join(miss, key).filter(F.col("b.left") < F.abs("miss") - 1e-6).select(*key, "b.off", "b.on"))
+        if better.isEmpty():
+            break
+        moved = better.select(*key, F.explode(F.filter(F.array("off", "on"), lambda x: x.isNotNull())).alias("x")).select(*key, F.col("x.id").alias("id"), F.col("x.size").alias("size"), F.lit(1).alias("turn"))
+        done = moved if done is None else done.unionByName(moved)
+        change = better.select(*key, (F.coalesce("on.mass", F.lit(0)) - F.coalesce("off.mass", F.lit(0))).alias("change"))
+        miss = checkpoint(miss.join(change, key, "left").select(*key, (F.col("miss") + F.coalesce("change", F.lit(0))).alias("miss")))
+        turning = moved.select(*[F.col(c).alias(f"t_{c}") for c in (*key, "id", "size", "turn")])
+        same = (F.col("__s") == F.col("t___s")) & (F.col("__null") == F.col("t___null")) & F.col("id").eqNullSafe(F.col("t_id")) & (F.col("size") == F.col("t_size"))
+        pool = checkpoint(pool.join(turning, same, "left").select(*key, "mass", F.when(F.col("t_turn").isNull(), F.col("k")).otherwise(1 - F.col("k")).alias("k"), "h", "id", "size"))
+    return done and done.groupBy(*key, "id", "size").agg(F.sum("turn").alias("turns"))
+
+
+def mixing_plan(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), cap: float = 3.0, block: int = 128, seed: int = 11, repairs: int = 8, source_rows: int = 10_000) -> DataFrame:
     """Per distinct (id, source, size) of docs: n (rows that share it), source_size, target, copies.
 
     size is the number of words (runs of anything but space and tab to carriage
@@ -94,9 +132,11 @@ def mixing_plan(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     size) are taken together, as often as each other. Draws are hashes of ids,
     so reruns and other partitionings agree. An empty table gives no rows.
 
-    repairs: after the rounding, which may miss by part of the last document,
-    the one document of a source whose turning leaves the smallest miss is
-    turned, so often, if that helps.
+    repairs: the rounding keeps each document's expected copies and misses a
+    target by less than one document. Then, at most so often and as long as
+    that brings a source nearer to its target, one document of it is turned, or
+    one taken off and one put on: a few documents a source trade what is
+    expected of them for the target.
 
     source_rows: the per-source table is broadcast only if it has no more rows
     than this; a larger one is joined by source and salt.
@@ -131,24 +171,25 @@ def mixing_plan(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
         if blocks <= 1:
             break
         blocks = -(-blocks // block)
-    # one document a source is still fractional; the nearer side keeps the miss below half of it
-    done.append(level.select("__s", "__null", F.struct(F.col("e.id"), F.col("e.size"), F.col("e.n"), F.when(F.col("e.p") >= 0.5, 1).otherwise(0).alias("k")).alias("d")))
+    # one document a source is still fractional: drawn like all others, so that what is expected of it stays
+    last = F.when(unit_draw(F.col("e.id"), F.col("e.size"), F.lit(seed), F.lit("last")) < F.col("e.p"), 1).otherwise(0)
+    done.append(level.select("__s", "__null", F.struct(F.col("e.id"), F.col("e.size"), F.col("e.n"), last.alias("k")).alias("d")))
     decided = checkpoint(reduce(DataFrame.unionByName, done).select("__s", "__null", "d.*"))
     facts = by_source.drop("__salt").distinct()
     few = small_enough(stats, source_rows)
     near = lambda df: F.broadcast(df) if few else df  # noqa: E731  one row a source
     decided = decided.join(near(facts), ["__s", "__null"]).withColumn("whole", F.floor(F.try_divide("target", "source_size")).cast("int"))
-    sure = alone.groupBy("__s", "__null").agg(F.sum(F.col("n") * F.col("size") * (F.col("whole") + F.col("k"))).alias("sure"))
-    decided = decided.join(near(sure), ["__s", "__null"], "left").withColumn("sure", F.coalesce("sure", F.lit(0)))
-    mass = F.col("n") * F.col("size")
-    for _ in range(repairs):
-        miss = decided.groupBy("__s", "__null").agg((F.sum(mass * (F.col("whole") + F.col("k"))) + F.first("sure") - F.first("target")).alias("miss"))
-        turned = decided.join(near(miss), ["__s", "__null"]).withColumn("left", F.abs(F.col("miss") + F.when(F.col("k") == 0, mass).otherwise(-mass)))
-        best = turned.filter(F.col("left") < F.abs("miss")).groupBy("__s", "__null").agg(F.min(F.struct("left", F.xxhash64("id").alias("h"), "id", "size")).alias("b"))
-        best = checkpoint(best.select("__s", "__null", F.col("b.id").alias("turn_id"), F.col("b.size").alias("turn_size"), F.lit(True).alias("any")))
-        decided = decided.join(near(best), ["__s", "__null"], "left")
-        turn = F.col("any").isNotNull() & F.col("id").eqNullSafe(F.col("turn_id")) & (F.col("size") == F.col("turn_size"))
-        decided = decided.withColumn("k", F.when(turn, 1 - F.col("k")).otherwise(F.col("k"))).drop("turn_id", "turn_size", "any")
+    taken = F.col("n") * F.col("size") * (F.col("whole") + F.col("k"))
+    sums = decided.groupBy("__s", "__null").agg(F.sum(taken).alias("drawn"), F.first("target").alias("target"))
+    sure = alone.groupBy("__s", "__null").agg(F.sum(taken).alias("sure"))
+    miss = sums.join(sure, ["__s", "__null"], "left").select("__s", "__null", (F.col("drawn") + F.coalesce("sure", F.lit(0)) - F.col("target")).alias("miss"))
+    turned = repaired(decided, checkpoint(miss), repairs)
+    if turned is not None:
+        # at most 2 * repairs rows a source
+        turned = near(turned.select("__s", "__null", F.col("id").alias("turn_id"), F.col("size").alias("turn_size"), "turns"))
+        same = (F.col("id").eqNullSafe(F.col("turn_id"))) & (F.col("size") == F.col("turn_size"))
+        decided = decided.alias("d").join(turned.alias("t"), (F.col("d.__s") == F.col("t.__s")) & (F.col("d.__null") == F.col("t.__null")) & same, "left")
+        decided = decided.select("d.*", "turns").withColumn("k", F.when(F.coalesce("turns", F.lit(0)) % 2 == 1, 1 - F.col("k")).otherwise(F.col("k")))
     both = [df.select("id", F.when(~F.col("__null"), F.col("__s")).alias("source"), "size", "n", "source_size", "target", (F.col("whole") + F.col("k")).alias("copies")) for df in (alone, decided)]
     return both[0].unionByName(both[1])
 
