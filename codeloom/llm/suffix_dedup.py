@@ -33,6 +33,8 @@ TABLE = mix64(np.arange(256, dtype=np.uint64))
 BASE = 0x9E3779B97F4A7C15
 #: Texts beyond this are looked at in pieces that overlap.
 PIECE = 4 << 20
+#: Runs that a task remembers to tell which of its later ones they cover.
+KNOWN = 200_000
 
 
 def anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -157,6 +159,26 @@ class Group:
         return [(self.rows[t][1], self.rows[t][2] + a, self.rows[t][2] + b + self.length) for t, a, b in zip(text[lo].tolist(), start[lo].tolist(), start[hi].tolist(), strict=True)]
 
 
+def merged(found: DataFrame) -> DataFrame:
+    """(row, spans): the maximal runs that the spans of each row (starts, ends: in any order) make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi, sizes = [], [], [0]
+            for starts, ends in zip(batch.column(1), batch.column(2), strict=True):
+                a, b = (x.values.to_numpy(zero_copy_only=False) for x in (starts, ends))
+                order = np.argsort(a, kind="stable")
+                a, reach = a[order], np.maximum.accumulate(b[order])
+                begin = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+                lo.append(a[begin])
+                hi.append(reach[np.append(begin[1:], len(a)) - 1])
+                sizes.append(sizes[-1] + len(begin))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (lo, hi)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["row", "spans"])
+
+    return found.select("row", "starts", "ends").mapInArrow(run, "row long, spans array<struct<start:bigint,end:bigint>>")
+
+
 def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = 100, often: tuple[int, int] = (1000, 20_000), block: int = 1 << 16) -> DataFrame:
     """(doc_id, row, n_bytes, sha256 of the whole text, whole: covered altogether, spans) for each row of docs.
 
@@ -168,8 +190,9 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     come last. Empty tables give no rows; other columns are not read.
 
     often: anchors with more occurrences than the first bound are split by 8
-    ranges of offsets, with more than the second by every offset. block: bytes
-    of one transform, or those of one key's runs.
+    ranges of offsets, with more than the second by every offset: different
+    runs of one key are no more than the second. block: bytes of one transform,
+    or those of one key's runs.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("row", F.xxhash64("id", "text"))
@@ -202,6 +225,8 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     steps = (length - GRAM + 1, 9, 1)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of a task's runs with equal key and bytes, those behind the first seen so far are covered by it: no bytes of theirs travel, and none to the key's task
+        firsts: dict[tuple[int, int], tuple] = {}
         for batch in batches:
             ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             offsets, data, _ = text_bytes(batch.column(2))
@@ -211,6 +236,18 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
                 by = np.argsort(grams_)
                 grams_, levels = grams_[by], levels[by]
                 body, out = data[offsets[i] : offsets[i + 1]], []
+                last, id_, row = ids[i] is None, ids[i] or 0, hashes[i]
+
+                def put(key: int, at: int, own: bytes) -> None:
+                    mark, order = (key, xxhash.xxh3_64_intdigest(own)), (last, id_, row, at)
+                    before = firsts.get(mark)
+                    if before is not None and before < order:
+                        out.append((xxhash.xxh3_64_intdigest(f"{row} {at}".encode()) - (1 << 63), at, None, len(own)))
+                        return
+                    if before is not None or len(firsts) < KNOWN:
+                        firsts[mark] = order
+                    out.append((key, at, own, len(own)))
+
                 for a, b in pieces(len(body), length):
                     own = body[a:b].tobytes()
                     begin, many, place, h = anchors(body[a:b], length)
@@ -219,20 +256,20 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
                     for r in np.flatnonzero(grams_[where] == h).tolist():
                         step, s, e, p = steps[levels[where[r]]], int(begin[r]), int(begin[r] + many[r]), int(place[r])
                         if step == steps[0]:
-                            out.append((int(h[r]), a + s, own[s : e + length - 1]))
+                            put(int(h[r]), a + s, own[s : e + length - 1])
                             continue
                         # a part has the starts with offsets of the anchor from part * step on; the key covers what those strings share
                         for part in range((p - e + 1) // step, (p - s) // step + 1):
                             u, v = max(s, p - part * step - step + 1), min(e, p - part * step + 1)
                             core = own[max(0, p - part * step) : p - part * step - step + 1 + length]
                             key = xxhash.xxh3_64_intdigest(core, part + 1) - (1 << 63)
-                            out.append((key, a + u, own[u : v + length - 1]))
+                            put(key, a + u, own[u : v + length - 1])
                 yield pa.RecordBatch.from_arrays([
                     pa.array([o[0] for o in out], pa.int64()), pa.array([ids[i]] * len(out), pa.int64()), pa.array([hashes[i]] * len(out), pa.int64()),
-                    pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()),
-                ], names=["key", "id", "row", "at", "bytes"])
+                    pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.int32()),
+                ], names=["key", "id", "row", "at", "bytes", "size"])
 
-    cut = some.join(listed, "row").select("id", "row", "text", "grams", "levels").mapInArrow(runs, "key long, id long, row long, at long, bytes binary")
+    cut = some.join(listed, "row").select("id", "row", "text", "grams", "levels").mapInArrow(runs, "key long, id long, row long, at long, bytes binary, size int")
     dealt = cut.withColumn("none", F.col("id").isNull()).repartition(shuffle_width(docs), "key").sortWithinPartitions("key", "bytes", "none", "id", "row", "at")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +279,10 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
         group, held, key, before = Group(length), [], None, None
         for batch in batches:
             out = []
-            for k, none, id_, row, at, own in zip(*[batch.column(c).to_pylist() for c in ("key", "none", "id", "row", "at", "bytes")], strict=True):
+            for k, none, id_, row, at, own, size in zip(*[batch.column(c).to_pylist() for c in ("key", "none", "id", "row", "at", "bytes", "size")], strict=True):
+                if own is None:
+                    out.append((row, at, at + size))
+                    continue
                 if k == key and own == before:
                     out.append((row, at, at + len(own)))  # equal bytes came first in another place
                     continue
@@ -259,11 +299,8 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
         yield put(group.removed())
 
     spans = dealt.mapInArrow(expand, "row long, start long, end long")
-    ordered = F.array_sort(F.collect_set(F.struct("start", "end")))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    last = lambda a: F.element_at(a, -1)
-    merged = F.aggregate(ordered, none, lambda a, x: F.when((F.size(a) > 0) & (last(a)["end"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
-    spans = spans.groupBy("row").agg(merged.alias("spans"))
+    spans = merged(spans.groupBy("row").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
     out = facts.join(first.withColumn("first", F.lit(True)), "row", "left").join(spans, "row", "left")
     whole = (F.col("n_bytes") >= length) & F.col("first").isNull()
     one = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))

@@ -66,3 +66,20 @@ def test_query_digests_and_repeated_rows(spark, tmp_path):
 
 def test_empty(spark):
     assert suffix_dedup.repeated_strings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_beyond_a_piece_and_few_known_runs(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    monkeypatch.setattr(suffix_dedup, "KNOWN", 3)
+    rows = documents()
+    long_ = " ".join(t or "" for _, t in rows if t and len(t) < 400)
+    rows += [(900, long_ + "x" * 3000), (50, long_[2000:6000] + "ab" * 800)]
+    found = {r["doc_id"]: r for r in suffix_dedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string"), often=(3, 6), block=2000).collect()}
+    expected = brute(rows, 100)
+    for i, (doc, _) in enumerate(rows):
+        assert {p for s in found[doc]["spans"] for p in range(s["start"], s["end"])} == expected[i], doc
+
+
+def test_merged_runs(spark):
+    df = spark.createDataFrame([(1, [5, 0, 4, 20], [9, 5, 6, 21]), (2, [3], [4])], "row long, starts array<long>, ends array<long>")
+    assert {r["row"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.merged(df).collect()} == {1: [(0, 9), (20, 21)], 2: [(3, 4)]}
