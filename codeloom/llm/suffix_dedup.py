@@ -270,7 +270,7 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
                 ], names=["key", "id", "row", "at", "bytes", "size"])
 
     cut = some.join(listed, "row").select("id", "row", "text", "grams", "levels").mapInArrow(runs, "key long, id long, row long, at long, bytes binary, size int")
-    dealt = cut.withColumn("none", F.col("id").isNull()).repartition(shuffle_width(docs), "key").sortWithinPartitions("key", "bytes", "none", "id", "row", "at")
+    dealt = cut.select("key", F.col("id").isNull().alias("none"), "id", "row", "at", "bytes", "size").repartition(shuffle_width(docs), "key").sortWithinPartitions("key", "bytes", "none", "id", "row", "at")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def put(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -278,11 +278,16 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
 
         group, held, key, before = Group(length), [], None, None
         for batch in batches:
-            out = []
-            for k, none, id_, row, at, own, size in zip(*[batch.column(c).to_pylist() for c in ("key", "none", "id", "row", "at", "bytes", "size")], strict=True):
-                if own is None:
-                    out.append((row, at, at + size))
-                    continue
+            known = batch.column(batch.schema.get_field_index("bytes")).is_null().to_numpy(zero_copy_only=False)
+            if known.any():
+                row, at, size = (batch.column(c).to_numpy(zero_copy_only=False)[known] for c in ("row", "at", "size"))
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int64()), pa.array(at + size, pa.int64())], names=["row", "start", "end"])
+                batch = batch.filter(pa.array(~known))
+            # a key with one run shares nothing; the first and the last key of a batch may go on in another
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            change = np.concatenate([[False], keys[1:] != keys[:-1], [False]])
+            batch, out = batch.filter(pa.array(~(change[:-1] & change[1:]))), []
+            for k, none, id_, row, at, own in zip(*[batch.column(c).to_pylist() for c in ("key", "none", "id", "row", "at", "bytes")], strict=True):
                 if k == key and own == before:
                     out.append((row, at, at + len(own)))  # equal bytes came first in another place
                     continue
