@@ -218,8 +218,9 @@ def groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", c
     nodes = sketched.filter("digest is not null").groupBy("node", "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n_shingles", "bands")).alias("x"))
     nodes = checkpoint(nodes.select("node", F.col("x.doc_id").alias("first"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")))
     banded = nodes.select(F.explode("bands").alias("key"), "node")
-    full = banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    buckets = checkpoint(banded.join(full, "key"))
+    # what is known of a key is worked out first and joined as a table of its own: broadcast while it is small, else with shuffles of which Spark may split a hot key's
+    full = checkpoint(banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    buckets = checkpoint(join_bounded(banded, full, ["key"]))
     wanted = buckets.select("node").distinct().join(nodes.select("node", "first"), "node")
     ids = wanted.select(F.col("first").alias("id")).filter("id is not null").distinct()
     again = join_bounded(texts.filter("id is not null"), ids, ["id"])
@@ -230,8 +231,8 @@ def groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", c
     # two leaders a bucket: the node whose id comes first, which most of its copies are near to, and one that hashing picks; bands mostly agree on them
     led = buckets.join(nodes.select("node", "first", "n"), "node")
     lead = led.groupBy("key").agg(F.min(F.struct("first", "node", "n")).alias("lead"), F.max(F.struct("node", "n")).alias("high"))
-    lead = lead.select("key", F.array(F.struct("lead.node", "lead.n"), "high").alias("leads"))
-    star = led.join(lead, "key").select(F.col("node").alias("u"), F.col("n").alias("m"), F.explode("leads").alias("l")).filter("u <> l.node")
+    lead = checkpoint(lead.select("key", F.array(F.struct("lead.node", "lead.n"), "high").alias("leads")))
+    star = join_bounded(led, lead, ["key"]).select(F.col("node").alias("u"), F.col("n").alias("m"), F.explode("leads").alias("l")).filter("u <> l.node")
     # sizes alone rule out many
     star = star.filter(100 * F.least("m", "l.n") >= percent * F.greatest("m", "l.n"))
     star = star.select(F.greatest("u", "l.node").alias("u"), F.least("u", "l.node").alias("v")).distinct()
@@ -240,7 +241,7 @@ def groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", c
     sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("x"), F.sum("c").alias("all"))
     main = main.select("key", F.col("x.component").alias("main"), F.ceil(F.col("all") / block).cast("int").alias("nj"), F.ceil((F.col("all") - F.col("x.c")) / block).cast("int").alias("ni"))
-    spread = mixed.join(main, "key").withColumn("h", F.xxhash64("node", "key"))
+    spread = join_bounded(mixed, checkpoint(main), ["key"]).withColumn("h", F.xxhash64("node", "key"))
     i, j = F.pmod("h", "ni").cast("int"), F.pmod("h", "nj").cast("int")
     count = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     left = spread.filter("component <> main").select("key", i.alias("i"), F.explode(count("nj")).alias("j"), F.lit(False).alias("right"), "node", "component")
@@ -260,9 +261,9 @@ def groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", c
 
 def unsettled(buckets: DataFrame, label: DataFrame) -> DataFrame:
     """Rows of buckets, with their nodes' components, of those buckets that hold several components."""
-    now = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    return now.join(mixed, "key")
+    now = checkpoint(buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = checkpoint(now.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key"))
+    return join_bounded(now, mixed, ["key"])
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
