@@ -255,7 +255,8 @@ def groups(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", c
     of_node = named.select("node", "component").join(least, "component").select("node", "component", "component_id", F.lit(True).alias("grouped")).dropDuplicates(["node"])
     firsts = nodes.select("node", "first").join(of_node, "node", "left").select("node", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"), F.coalesce("component", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "node", "digest", *carry).withColumn("node", F.when(F.col("digest").isNotNull(), F.col("node")))
-    out = out.join(firsts, "node", "left").withColumn("component_id", F.when(F.col("digest").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
+    # all copies of a text have one node: its rows must not wait for the joins above
+    out = join_bounded(out, checkpoint(firsts), ["node"], "left").withColumn("component_id", F.when(F.col("digest").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", "component", *carry)
 
 
