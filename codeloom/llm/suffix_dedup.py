@@ -285,6 +285,8 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
                 batch = batch.filter(pa.array(~known))
             # a key with one run shares nothing; the first and the last key of a batch may go on in another
             keys = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(keys):
+                continue
             change = np.concatenate([[False], keys[1:] != keys[:-1], [False]])
             batch, out = batch.filter(pa.array(~(change[:-1] & change[1:]))), []
             for k, none, id_, row, at, own in zip(*[batch.column(c).to_pylist() for c in ("key", "none", "id", "row", "at", "bytes")], strict=True):

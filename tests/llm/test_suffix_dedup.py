@@ -83,3 +83,10 @@ def test_texts_beyond_a_piece_and_few_known_runs(spark, monkeypatch):
 def test_merged_runs(spark):
     df = spark.createDataFrame([(1, [5, 0, 4, 20], [9, 5, 6, 21]), (2, [3], [4])], "row long, starts array<long>, ends array<long>")
     assert {r["row"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.merged(df).collect()} == {1: [(0, 9), (20, 21)], 2: [(3, 4)]}
+
+
+def test_many_copies_in_one_task(spark):
+    # all runs but the first are known to be covered: a batch may hold nothing else
+    rows = [(i, "start " + "word of a passage " * 12 + f" {i}") for i in range(3000)]
+    got = {r["doc_id"]: len(r["spans"]) for r in suffix_dedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert all(got[i] == 1 for i in range(1, 3000))
