@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table, text_bytes
+from .common import merged, slices, stored, table, text_bytes
 
 GEAR = np.append(np.random.default_rng(2024).integers(0, 1 << 32, 256, dtype=np.uint32), np.uint32(0))
 WINDOW = 32
@@ -82,14 +82,15 @@ def chunk(docs: DataFrame, *, bits: int = 5, least: int = 24, most: int = 512) -
     return docs.mapInArrow(run, "row long, id long, digest binary, start int, n int")
 
 
-def chunk_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", bits: int = 5, least: int = 24, most: int = 512, min_run: int = 100, whole: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_chunks, n_removed, n_spans, spans, duplicated (n_removed > 0).
+def chunk_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", bits: int = 5, least: int = 24, most: int = 512, min_run: int = 0, whole: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_chunks, n_removed, n_spans, n_short, spans, duplicated (n_removed > 0).
 
     A chunk is a duplicate if an equal one stands in a row with a smaller id,
     or earlier in its own text. spans are the maximal runs of adjacent
     duplicate chunks, as struct(start, end) in bytes of the UTF-8 text, that
-    have min_run bytes or more; shorter ones, which chance gives common words,
-    stay, unless `whole` is set and they are all of the text. Chunks have `least` to `most` bytes, about least + 2**bits on
+    have min_run bytes or more (all, by default); shorter ones, which chance
+    gives common words, stay and are counted in n_short, in bytes, unless
+    `whole` is set and they are all of the text. Chunks have `least` to `most` bytes, about least + 2**bits on
     average. Rows that repeat an id are told apart by an order of their texts'
     hashes; rows that repeat an id and a text are one document: all or none of
     them keep a chunk. Null ids come last. Null and empty texts have no chunks.
@@ -104,21 +105,17 @@ def chunk_duplicates(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     shared = chunks.join(again, "digest")
     first = shared.groupBy("digest").agg(F.min(order).alias("first"))
     later = shared.join(first, "digest").filter(F.col("first") < order).select("row", "id", "start", "n").distinct()
-    runs = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] == x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), x["end"].alias("end"))))).otherwise(F.concat(a, F.array(x))),
-    )
-    runs = later.groupBy("row").agg(runs.alias("spans"))
+    runs = merged(later.groupBy("row").agg(F.collect_list(F.col("start").cast("long")).alias("starts"), F.collect_list((F.col("start") + F.col("n")).cast("long")).alias("ends")))
     counts = chunks.groupBy("row").agg((F.count("*") / F.count_if(F.col("start") == 0)).cast("long").alias("n_chunks"))
     out = rows.select("row", F.col("id").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     out = out.join(counts, "row", "left").join(runs, "row", "left")
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     taken = lambda r: (r["end"] - r["start"] >= min_run) | (F.lit(whole) & (r["end"] - r["start"] == F.col("n_bytes")))
+    length = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]))
+    out = out.withColumn("n_short", length(F.coalesce(F.filter("spans", lambda r: ~taken(r)), none)))
     out = out.withColumns({"spans": F.coalesce(F.filter("spans", taken), none), "n_chunks": F.coalesce("n_chunks", F.lit(0)).cast("long")})
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]))
-    out = out.withColumns({"n_removed": removed, "n_spans": F.size("spans").cast("long")})
-    return out.select("doc_id", "n_bytes", "n_chunks", "n_removed", "n_spans", "spans", (F.col("n_removed") > 0).alias("duplicated"))
+    out = out.withColumns({"n_removed": length(F.col("spans")), "n_spans": F.size("spans").cast("long")})
+    return out.select("doc_id", "n_bytes", "n_chunks", "n_removed", "n_spans", "n_short", "spans", (F.col("n_removed") > 0).alias("duplicated"))
 
 
 def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where that setting is unset (single-machine tests)."""
+    """The folder that spark.checkpoint.dir names. Only a session on one machine may do without and gets one of its own; on a cluster its lack is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="codeloom-checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -126,3 +129,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from flat values and row bounds."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """(row, spans): the maximal runs that the spans of each row (starts, ends: in any order) make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, hi, sizes = [], [], [0]
+            for starts, ends in zip(batch.column(1), batch.column(2), strict=True):
+                a, b = (x.values.to_numpy(zero_copy_only=False) for x in (starts, ends))
+                order = np.argsort(a, kind="stable")
+                a, reach = a[order], np.maximum.accumulate(b[order])
+                begin = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+                lo.append(a[begin])
+                hi.append(reach[np.append(begin[1:], len(a)) - 1])
+                sizes.append(sizes[-1] + len(begin))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (lo, hi)], ["start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["row", "spans"])
+
+    return found.select("row", "starts", "ends").mapInArrow(run, "row long, spans array<struct<start:bigint,end:bigint>>")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_bounded, mix64, shuffle_width, slices, table, text_bytes
+from .common import checkpoint, join_bounded, merged, mix64, shuffle_width, slices, table, text_bytes
 
 GRAM = 32
 TABLE = mix64(np.arange(256, dtype=np.uint64))
@@ -159,26 +159,6 @@ class Group:
         return [(self.rows[t][1], self.rows[t][2] + a, self.rows[t][2] + b + self.length) for t, a, b in zip(text[lo].tolist(), start[lo].tolist(), start[hi].tolist(), strict=True)]
 
 
-def merged(found: DataFrame) -> DataFrame:
-    """(row, spans): the maximal runs that the spans of each row (starts, ends: in any order) make."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lo, hi, sizes = [], [], [0]
-            for starts, ends in zip(batch.column(1), batch.column(2), strict=True):
-                a, b = (x.values.to_numpy(zero_copy_only=False) for x in (starts, ends))
-                order = np.argsort(a, kind="stable")
-                a, reach = a[order], np.maximum.accumulate(b[order])
-                begin = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
-                lo.append(a[begin])
-                hi.append(reach[np.append(begin[1:], len(a)) - 1])
-                sizes.append(sizes[-1] + len(begin))
-            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (lo, hi)], ["start", "end"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], names=["row", "spans"])
-
-    return found.select("row", "starts", "ends").mapInArrow(run, "row long, spans array<struct<start:bigint,end:bigint>>")
-
-
 def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = 100, often: tuple[int, int] = (1000, 20_000), block: int = 1 << 16) -> DataFrame:
     """(doc_id, row, n_bytes, sha256 of the whole text, whole: covered altogether, spans) for each row of docs.
 
@@ -256,7 +236,7 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
                     for r in np.flatnonzero(grams_[where] == h).tolist():
                         step, s, e, p = steps[levels[where[r]]], int(begin[r]), int(begin[r] + many[r]), int(place[r])
                         if step == steps[0]:
-                            put(int(h[r]), a + s, own[s : e + length - 1])
+                            out.append((int(h[r]), a + s, own[s : e + length - 1], e + length - 1 - s))  # few: no key of this level is hot
                             continue
                         # a part has the starts with offsets of the anchor from part * step on; the key covers what those strings share
                         for part in range((p - e + 1) // step, (p - s) // step + 1):

@@ -107,7 +107,7 @@ def chunks_of(text):
 
 def test_chunk_duplicates(spark):
     rng = random.Random(9)
-    rows = [r for r in corpus(9) if r[0] not in (903,)]
+    rows = corpus(9)
     passage = prose(rng, 60)
     rows += [(5000 + i, f"{prose(rng, rng.randint(3, 40))} {passage} {prose(rng, 9)}", "en", "s", 1) for i in range(5)]
     rows += [(6000, ("line of licence text that comes again and again\n") * 12, "en", "s", 1)]
@@ -122,13 +122,16 @@ def test_chunk_duplicates(spark):
                 else:
                     own.append([a, b])
             seen[piece] = True
-        spans[key] = [tuple(s) for s in own if s[1] - s[0] >= 100]
-    got = chunk_dedup.chunk_duplicates(frame(spark, rows, clash=True)).collect()
-    assert len(got) == len(rows)
+        spans[key] = [tuple(s) for s in own]
     text = {r[0]: r[1] for r in rows}
-    for r in got:
-        assert [(s["start"], s["end"]) for s in r["spans"]] == spans[r["doc_id"], text[r["doc_id"]]]
-        assert r["n_chunks"] == len(chunks_of(text[r["doc_id"]])) and r["n_bytes"] == len((text[r["doc_id"]] or "").encode())
+    for least in (0, 100):
+        got = chunk_dedup.chunk_duplicates(frame(spark, rows, clash=True), min_run=least).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            own = spans[r["doc_id"], text[r["doc_id"]]]
+            assert [(s["start"], s["end"]) for s in r["spans"]] == [s for s in own if s[1] - s[0] >= least]
+            assert r["n_short"] == sum(b - a for a, b in own if b - a < least)
+            assert r["n_chunks"] == len(chunks_of(text[r["doc_id"]])) and r["n_bytes"] == len((text[r["doc_id"]] or "").encode())
     assert all(r["n_removed"] > 100 for r in got if 5001 <= (r["doc_id"] or 0) <= 5004)
     assert chunk_dedup.chunk_duplicates(empty(spark)).count() == 0
 

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from codeloom.llm import suffix_dedup
+from codeloom.llm import common, suffix_dedup
 
 
 def brute(rows, length):
@@ -82,7 +82,7 @@ def test_texts_beyond_a_piece_and_few_known_runs(spark, monkeypatch):
 
 def test_merged_runs(spark):
     df = spark.createDataFrame([(1, [5, 0, 4, 20], [9, 5, 6, 21]), (2, [3], [4])], "row long, starts array<long>, ends array<long>")
-    assert {r["row"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.merged(df).collect()} == {1: [(0, 9), (20, 21)], 2: [(3, 4)]}
+    assert {r["row"]: [tuple(s) for s in r["spans"]] for r in common.merged(df).collect()} == {1: [(0, 9), (20, 21)], 2: [(3, 4)]}
 
 
 def test_many_copies_in_one_task(spark):
