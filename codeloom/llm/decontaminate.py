@@ -153,6 +153,31 @@ def windows(texts: list[tuple[object, str | None]], size: int) -> list[tuple[lis
     return [(list(w), list(items)) for w, items in found.items()]
 
 
+class Wanted:
+    """Windows by the term of theirs that is rarest among the windows: a shard is asked only for those whose rarest term it has."""
+
+    def __init__(self, windows: list[tuple[list[bytes], list[object]]]) -> None:
+        count: dict[bytes, int] = {}
+        for own, _ in windows:
+            for w in set(own):
+                count[w] = count.get(w, 0) + 1
+        self.windows, self.by_term = windows, {}
+        for i, (own, _) in enumerate(windows):
+            self.by_term.setdefault(min(own, key=lambda w: (count[w], w)), []).append(i)
+
+    def hits(self, shard: Shard) -> Iterator[tuple[np.ndarray, int, list[object]]]:
+        """Starts of occurrences, the number of words, and the items, of the windows that occur in a shard."""
+        get = shard.number.get
+        for term in self.by_term.keys() & shard.number.keys():
+            for i in self.by_term[term]:
+                own, of = self.windows[i]
+                terms = [get(w, -1) for w in own]
+                if -1 not in terms:
+                    at = shard.phrase(terms)
+                    if len(at):
+                        yield at, len(terms), of
+
+
 def phrase_matches(index: DataFrame, phrases: list[tuple[int, str]], *, slop: int | None = None) -> DataFrame:
     """(phrase_id, doc_id, start, end) of every match, in words from the document's first: exact ones, or with slop those of Shard.near. A phrase without words matches nothing."""
     wanted = [(p, words(t)) for p, t in phrases if words(t)]
@@ -172,7 +197,7 @@ def phrase_matches(index: DataFrame, phrases: list[tuple[int, str]], *, slop: in
     return index.mapInArrow(search, "phrase_id long, doc_id long, start long, end long")
 
 
-def covered(index: DataFrame, wanted: list[tuple[list[bytes], list[object]]]) -> DataFrame:
+def covered(index: DataFrame, wanted: Wanted) -> DataFrame:
     """For every document of the index: doc_id, n_words, n_hit and the items met."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,17 +205,11 @@ def covered(index: DataFrame, wanted: list[tuple[list[bytes], list[object]]]) ->
             for shard in shards(batch):
                 edge = np.zeros(shard.n_words + 1, np.int32)
                 items: dict[int, set] = {}
-                get = shard.number.get
-                for own, of in wanted:
-                    terms = [get(w, -1) for w in own]
-                    if -1 in terms:
-                        continue
-                    at = shard.phrase(terms)
-                    if len(at):
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + len(terms), -1)
-                        for d in np.unique(shard.doc_of[at]).tolist():
-                            items.setdefault(d, set()).update(of)
+                for at, n, of in wanted.hits(shard):
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + n, -1)
+                    for d in np.unique(shard.doc_of[at]).tolist():
+                        items.setdefault(d, set()).update(of)
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)]).astype(np.int64)
                 n = len(shard.docs)
                 listed = [sorted(map(str, items[d])) if d in items else [] for d in range(n)]
@@ -222,25 +241,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
     blocks = max(1, -(-items.count() // item_rows))
     if blocks == 1:
-        return covered(index, windows([tuple(r) for r in items.collect()], window))
+        return covered(index, Wanted(windows([tuple(r) for r in items.collect()], window)))
     # spans of all blocks are united per document: counts of single blocks may overlap
-    numbered = index.withColumn("shard_id", F.monotonically_increasing_id())
-    by_block = [windows([tuple(r) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toLocalIterator()], window) for b in range(blocks)]
-    return united(checkpoint(numbered), by_block)
+    numbered = checkpoint(index.withColumn("shard_id", F.monotonically_increasing_id()))
+    of_block = lambda b: Wanted(windows([tuple(r) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()], window))
+    return united(numbered, map(of_block, range(blocks)))
 
 
-def united(numbered: DataFrame, blocks: list[list[tuple[list[bytes], list[object]]]]) -> DataFrame:
-    """Like covered(), for several blocks of windows: hit runs are gathered by shard and document, then merged."""
+def united(numbered: DataFrame, blocks: Iterator[Wanted]) -> DataFrame:
+    """Like covered(), for several blocks of windows, which are made, sent and answered one after the other: hit runs are gathered by shard and document, then merged."""
 
-    def runs(wanted: list[tuple[list[bytes], list[object]]]):
+    def runs(wanted: Wanted):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, shard in enumerate(shards(batch)):
                     number, out = batch.column(5)[i].as_py(), []
-                    for own, of in wanted:
-                        terms = [shard.number.get(w, -1) for w in own]
-                        at = shard.phrase(terms) if -1 not in terms else []
-                        out += [(number, int(shard.doc_of[s]), int(s), int(s) + len(terms), [str(x) for x in of]) for s in at]
+                    for at, n, of in wanted.hits(shard):
+                        out += [(number, int(shard.doc_of[s]), int(s), int(s) + n, [str(x) for x in of]) for s in at]
                     yield pa.RecordBatch.from_arrays([*[pa.array([o[k] for o in out], pa.int64()) for k in range(4)], pa.array([o[4] for o in out], pa.list_(pa.string()))], names=["shard_id", "d", "s", "e", "items"])
 
         return search
@@ -253,7 +270,7 @@ def united(numbered: DataFrame, blocks: list[list[tuple[list[bytes], list[object
 
     found = None
     for wanted in blocks:
-        own = numbered.mapInArrow(runs(wanted), "shard_id long, d long, s long, e long, items array<string>")
+        own = checkpoint(numbered.mapInArrow(runs(wanted), "shard_id long, d long, s long, e long, items array<string>"))
         found = own if found is None else found.unionByName(own)
     merged = found.groupBy("shard_id", "d").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     length = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end")), lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(r["s"], a["end"]))).alias("n"), F.greatest(a["end"], r["e"]).alias("end")), lambda a: a["n"])
