@@ -121,13 +121,15 @@ def exact_top_k(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     empty table gives no rows; other columns are not read. Scores are int64:
     scaled components must stay below 2**28 for 64 or fewer dimensions.
 
-    query_rows bounds the block of queries that a scan carries; more queries
-    mean more scans, not a larger block.
+    query_rows bounds the block of queries that a scan carries and the driver
+    holds; more queries mean more scans, not a larger block.
     """
     spark = df.sparkSession
     vectors = integer_vectors(df, id_col, vec_col, scale)
     queries = checkpoint(vectors.filter(F.col("vec_id") % every == 0).withColumn("part", F.xxhash64("vec_id")))
     parts = max(1, -(-queries.count() // query_rows))
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = lambda df: df.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     found = []
     for part in range(parts):
         chosen: dict[int, list[int]] = {}
@@ -139,11 +141,12 @@ def exact_top_k(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
         for d in sorted({len(v) for v in chosen.values()}):
             own = sorted(q for q, v in chosen.items() if len(v) == d)
             by_length[d] = np.array(own, np.int64), np.array([chosen[q] for q in own], np.int64)
-        found.append(vectors.mapInArrow(scanner(by_length, k, block, chunk), SCHEMA))
+        own = top(vectors.mapInArrow(scanner(by_length, k, block, chunk), SCHEMA))
+        # one block's queries are on the driver and in the tasks at a time: its answers are stored before the next one's come
+        found.append(checkpoint(own) if parts > 1 else own)
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.unionByName, found)
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
