@@ -118,7 +118,11 @@ def shard_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     """
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
     taken = {c.lower() for c in new}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken])
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    # columns of the caller's that are named like our own stand aside meanwhile
+    aside = {c: f"__aside_{i}" for i, c in enumerate(kept) if c.startswith("__")}
+    docs = docs.select(*[F.col(f"`{c}`").alias(aside.get(c, c)) for c in kept])
+    text_col, id_col = aside.get(text_col, text_col), aside.get(id_col, id_col)
     text = F.col(text_col)
     keyed = docs.withColumns({
         "size": (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"),
@@ -142,16 +146,17 @@ def shard_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
 
     units = checkpoint(salted(rows).groupBy("__group", "size", "__salt").agg((F.sum("size")).alias("bytes")))
     width = max(8, -(-count // rows_a_part))
+    parts = min(width, 4 * fine)
     whole = units.filter(F.col("bytes") >= unit)
     running = Window.partitionBy("__part").orderBy(F.desc("bytes"), "__group", "size", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    bundled = units.filter(F.col("bytes") < unit).withColumn("__part", F.pmod(F.xxhash64("__group", F.lit("part")), F.lit(width)))
+    bundled = units.filter(F.col("bytes") < unit).withColumn("__part", F.pmod(F.xxhash64("__group", F.lit("part")), F.lit(parts)))
     bundled = bundled.withColumn("__bundle", F.floor(F.coalesce(F.sum("bytes").over(running), F.lit(0)) / unit))
     bundled = checkpoint(bundled.select("__group", "size", "__salt", "bytes", "__part", "__bundle"))
     items: list[tuple[int, object]] = [(r[3], (0, r[0], r[1], r[2])) for r in whole.select("__group", "size", "__salt", "bytes").collect()]
     items += [(r[2], (1, r[0], r[1], 0)) for r in bundled.groupBy("__part", "__bundle").agg(F.sum("bytes").alias("bytes")).collect()]
     where, _ = best_fit_decreasing(items, capacity, shards)
     spark = docs.sparkSession
-    # both maps have at most shards * fine rows, and one for each part of the bundles
+    # both maps have at most shards * fine rows, and one for each part of the bundles, of which there are 4 * fine at most
     of_groups = spark.createDataFrame([(k[1], k[2], k[3], b) for k, b in where.items() if k[0] == 0], "__group long, size long, __salt long, __whole int")
     of_bundles = spark.createDataFrame([(k[1], k[2], b) for k, b in where.items() if k[0] == 1], "__part long, __bundle long, __in int")
     small = bundled.join(F.broadcast(of_bundles), ["__part", "__bundle"]).select("__group", "size", "__salt", "__in")
@@ -168,7 +173,7 @@ def shard_documents(docs: DataFrame, *, text_col: str = "text", id_col: str = "d
     starts = counts.select("shard", "__chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy("shard", "__chunk").orderBy("__row", F.col(id_col), "size", "__group")
     out = placed.withColumn("__rank", F.row_number().over(within)).join(starts, ["shard", "__chunk"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in kept], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,3 +180,13 @@ def test_hot_group_is_split(spark):
     load = check_shards(rows, sharding.shard_documents(frame(spark, rows), shards=8).collect(), 8, 1024)
     assert max(load.values()) - min(load.values()) < 0.1 * sum(load.values()) / 8
     assert sharding.shard_documents(empty(spark)).count() == 0
+
+
+def test_op6_with_a_long_text_and_clashing_names(spark, tmp_path):
+    rows = corpus(6, 60)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    check_shards(rows, sharding.op6_shards(spark, str(tmp_path)).collect(), 16, 1024)
+    own = frame(spark, rows).withColumnsRenamed({"lang": "__group", "n_chars": "__row"}).withColumn("__salt", F.lit("s"))
+    got = sharding.shard_documents(own, shards=3, fine=4).collect()
+    check_shards(rows, got, 3, 4)
+    assert Counter((r["doc_id"], r["__group"], r["__row"], r["__salt"]) for r in got) == Counter((r[0], r[2], r[4], "s") for r in rows)
