@@ -1,17 +1,20 @@
 """Quality classifier: random-indexing word vectors, pooled, and a small network.
 
-Every token has a fixed sparse random index vector. A word's vector is the sum
-of the index vectors of the tokens that stand within two places of it anywhere
-in the corpus: one pass over all texts counts, with integers, so the sums do
-not depend on the partitioning. A document is the mean and the spread of its
-tokens' vectors, and how alike the vectors of neighbours are. A network of two layers, fitted with numpy, scores it, and a
-temperature fitted on labelled rows left out of the fit makes its output a
-probability.
+Words that several of the labelled texts have are tokens of their own, and so
+are marks; all other words share hashed numbers. Every token has a fixed sparse
+random index vector. A token's vector is the sum of the index vectors of the
+tokens that stand within two places of it anywhere in the corpus: one pass over
+all texts adds up, with whole numbers, so the sums do not depend on the
+partitioning. A document is the mean and the spread of its tokens' vectors, and
+how alike the vectors of neighbours are. A network of two layers, fitted with
+numpy, scores it, and a temperature fitted on labelled rows left out of the fit
+makes its output a probability.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,63 +25,90 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_BYTES, held_out, slices, table, text_bytes
 
-TOKENS, DIM, REACH, NONZERO = 4096, 48, 2, 6
-#: Characters that are tokens of their own, with the token numbers of their bytes; words are hashed to the numbers from 256 on.
+SHARED, DIM, REACH, NONZERO = 4096, 48, 2, 6
+#: Characters that are tokens of their own, with the token numbers of their bytes; words without a number of their own are hashed to those from 256 to SHARED, the others follow.
 MARKS = "!?.,;:|#$%&*@~^_=+-/\\<>()[]{}\"'`"
 SPLIT = bytes(32 if b in SPACE_BYTES else b for b in range(256))
 
 
 class Numbers(dict):
-    """Token numbers; a bounded memory of words seen."""
+    """Token numbers: those of a vocabulary, and a bounded memory of other words seen."""
+
+    def __init__(self, vocabulary: list[bytes]) -> None:
+        super().__init__({w: SHARED + i for i, w in enumerate(vocabulary)})
+        self.most = len(self) + 300_000
 
     def __missing__(self, word: bytes) -> int:
-        number = word[0] if len(word) == 1 and word[0] < 128 else 256 + zlib.crc32(word) % (TOKENS - 256)
-        if len(self) < 300_000:
+        number = word[0] if len(word) == 1 and word[0] < 128 else 256 + zlib.crc32(word) % (SHARED - 256)
+        if len(self) < self.most:
             self[word] = number
         return number
 
 
-def tokens(text: bytes, numbers: Numbers) -> np.ndarray:
+def words(text: bytes) -> list[bytes]:
     text = text.translate(SPLIT)
     for mark in MARKS:
         one = mark.encode()
         text = text.replace(one, b" " + one + b" ")
-    own = text.split()
+    return text.split()
+
+
+def tokens(text: bytes, numbers: Numbers) -> np.ndarray:
+    own = words(text)
     return np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))
 
 
-def index_vectors(seed: int) -> np.ndarray:
-    """Sparse ternary vectors, one a token number."""
-    rng, out = np.random.default_rng(seed), np.zeros((TOKENS, DIM), np.int64)
-    for row in out:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice((-1, 1), NONZERO)
-    return out
+def frequent_words(sample: DataFrame, least: int, most: int) -> list[bytes]:
+    """The words that at least `least` texts of a bounded sample (id, y, text) have: the most frequent ones, in a fixed order."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        for batch in batches:
+            offsets, data, _ = text_bytes(batch.column(2))
+            for i in range(batch.num_rows):
+                seen.update(w for w in set(words(data[offsets[i] : offsets[i + 1]].tobytes())) if len(w) > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-def context_sums(docs: DataFrame, text_col: str, seed: int) -> np.ndarray:
-    """Of each token number, the sum of its neighbours' index vectors over all texts. What reaches the driver has TOKENS rows."""
+    found = sample.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return [bytes(r[0]) for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def index_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse ternary vectors, one a token number: the places of what is not zero, and the signs."""
+    rng = np.random.default_rng(seed)
+    return rng.random((n, DIM)).argsort(1)[:, :NONZERO].astype(np.int64), rng.choice((-1.0, 1.0), (n, NONZERO))
+
+
+def context_sums(docs: DataFrame, text_col: str, vocabulary: list[bytes], seed: int) -> np.ndarray:
+    """Of each token number, the sum of its neighbours' index vectors over all texts. What reaches the driver has a row for each number."""
+    n = SHARED + len(vocabulary)
+    place, sign = index_vectors(n, seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        together, numbers = np.zeros((TOKENS, TOKENS), np.int32), Numbers()
-        flat = together.reshape(-1)
+        sums, numbers = np.zeros(n * DIM), Numbers(vocabulary)  # sums below 2**53 are exact
+
+        def add(to: np.ndarray, of: np.ndarray) -> None:
+            for j in range(NONZERO):
+                sums[:] += np.bincount(to * DIM + place[of, j], sign[of, j], n * DIM)
+
         for batch in batches:
             offsets, data, _ = text_bytes(batch.column(0))
-            for lo, hi in slices(offsets, 1 << 20):
-                for i in range(lo, hi):
-                    own = tokens(data[offsets[i] : offsets[i + 1]].tobytes(), numbers)
-                    for step in range(1, REACH + 1):
-                        np.add.at(flat, own[:-step].astype(np.int64) * TOKENS + own[step:], 1)
-        index = index_vectors(seed).astype(np.float64)  # sums below 2**53 are exact
-        sums = np.zeros((TOKENS, DIM))
-        for at in range(0, TOKENS, 512):
-            part = together[at : at + 512].astype(np.float64)
-            sums[at : at + 512] += part @ index
-            sums += part.T @ index[at : at + 512]
-        used = np.flatnonzero(sums.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(sums[used, d].astype(np.int64)) for d in range(DIM)]], names=["token", *[f"d{d}" for d in range(DIM)]])
-
-    parts = docs.select(text_col).mapInArrow(count, "token int, " + ", ".join(f"d{d} long" for d in range(DIM)))
-    out = np.zeros((TOKENS, DIM), np.int64)
+            for lo, hi in slices(offsets, 1 << 22):
+                texts = [tokens(data[offsets[i] : offsets[i + 1]].tobytes(), numbers) for i in range(lo, hi)]
+                doc = np.repeat(np.arange(hi - lo), [len(t) for t in texts])
+                own = np.concatenate(texts).astype(np.int64)
+                for step in range(1, REACH + 1):
+                    near = doc[:-step] == doc[step:]
+                    a, b = own[:-step][near], own[step:][near]
+                    if len(a):
+                        add(a, b)
+                        add(b, a)
+        table = sums.reshape(n, DIM)
+        used = np.flatnonzero(table.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(table[used, d].astype(np.int32)) for d in range(DIM)]], names=["token", *[f"d{d}" for d in range(DIM)]])
+
+    parts = docs.select(text_col).mapInArrow(count, "token int, " + ", ".join(f"d{d} int" for d in range(DIM)))
+    out = np.zeros((n, DIM), np.int64)
     for row in parts.groupBy("token").agg(*[F.sum(f"d{d}").alias(f"d{d}") for d in range(DIM)]).collect():
         out[row[0]] = row[1:]
     return out
@@ -95,26 +125,30 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 class Pool:
     """Pools a document's token vectors: their mean, their spread, the length of the mean, and how alike tokens one and two places apart are, on average and as the share of equal ones; zeros for a document without tokens."""
 
-    size = 2 * DIM + 5
+    size, block = 2 * DIM + 5, 1 << 16
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors.astype(np.float64)
-        self.alike = (vectors @ vectors.T).astype(np.float16).reshape(-1)
+        self.vectors = vectors
+
+    def alike(self, own: np.ndarray, step: int) -> float:
+        total = 0.0
+        for at in range(0, len(own) - step, self.block):
+            part = self.vectors[own[at : at + self.block + step]]
+            total += float(np.einsum("ij,ij->", part[:-step], part[step:], dtype=np.float64))
+        return total / (len(own) - step)
 
     def __call__(self, own: np.ndarray) -> np.ndarray:
         out = np.zeros(self.size, np.float32)
         if len(own):
-            counts = np.bincount(own, minlength=TOKENS)
-            used = np.flatnonzero(counts)
-            share, rows = counts[used] / len(own), self.vectors[used]
+            used, counts = np.unique(own, return_counts=True)
+            share, rows = counts / len(own), self.vectors[used].astype(np.float64)
             mean = share @ rows
             out[:DIM] = mean
             out[DIM : 2 * DIM] = np.sqrt(np.maximum(share @ rows**2 - mean**2, 0))
             out[2 * DIM] = np.sqrt((mean**2).sum())
             for step in (1, 2):
                 if len(own) > step:
-                    pairs = self.alike[own[:-step].astype(np.int64) * TOKENS + own[step:]]
-                    out[2 * DIM + 2 * step - 1] = pairs.mean(dtype=np.float64)
+                    out[2 * DIM + 2 * step - 1] = self.alike(own, step)
                     out[2 * DIM + 2 * step] = (own[:-step] == own[step:]).mean()
         return out
 
@@ -175,28 +209,31 @@ def labelled(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, lab
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "y", "text")
 
 
-def quality_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label: str = "quality", fit_rows: int = 8000, seed: int = 1):
+def quality_scorer(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", label: str = "quality", fit_rows: int = 8000, least: int = 3, most: int = 8192, seed: int = 1):
     """A function from a text column to its score, fitted on docs and labels.
 
-    Word vectors come from all texts; the network is fitted on at most fit_rows
-    labelled documents, none of which is held out. Repeated rows of a labelled
-    id are fitted as often as they are.
+    The network is fitted on at most fit_rows labelled documents, none of which
+    is held out; of their words, at most `most` that `least` of them have get
+    vectors of their own. The vectors add up all texts of docs. Repeated rows of
+    a labelled id are fitted as often as they are.
     """
-    vectors = word_vectors(context_sums(docs, text_col, seed))
+    sample = labelled(docs, labels, text_col, id_col, label, fit_rows)
+    vocabulary = frequent_words(sample, least, most)
+    vectors = word_vectors(context_sums(docs, text_col, vocabulary, seed))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, pool = Numbers(), Pool(vectors)
+        numbers, pool = Numbers(vocabulary), Pool(vectors)
         for batch in batches:
             offsets, data, _ = text_bytes(batch.column(2))
             rows = [pool(tokens(data[offsets[i] : offsets[i + 1]].tobytes(), numbers)).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(rows, pa.binary())], names=["id", "y", "x"])
 
-    found = labelled(docs, labels, text_col, id_col, label, fit_rows).mapInArrow(features, "id long, y int, x binary").orderBy(F.xxhash64("id"), "id", "x").limit(fit_rows).collect()
+    found = sample.mapInArrow(features, "id long, y int, x binary").orderBy(F.xxhash64("id"), "id", "x").limit(fit_rows).collect()
     x = np.array([np.frombuffer(r[2], np.float32) for r in found], np.float64).reshape(-1, Pool.size)
     net = fit(x, np.array([r[1] for r in found], np.int64))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        numbers, pool = Numbers(), Pool(vectors)
+        numbers, pool = Numbers(vocabulary), Pool(vectors)
         for texts in batches:
             offsets, data, _ = text_bytes(texts)
             x = np.zeros((len(texts), Pool.size), np.float32)

@@ -53,6 +53,24 @@ def test_quality(spark):
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in own) >= 0.85 * len(own)
 
 
+def test_word_vectors_match_plain_sums(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randint(0, 40), "ab") + rng.choice(["", " !!", "\tx."]), "en", "s", 1) for i in range(40)]
+    sample = frame(spark, rows).selectExpr("doc_id AS id", "1 AS y", "text")
+    vocabulary = quality.frequent_words(sample, 3, 20)
+    count = Counter(w for r in rows for w in set(quality.words(r[1].encode())) if len(w) > 1)
+    assert vocabulary == sorted((w for w in count if count[w] >= 3), key=lambda w: (-count[w], w))[:20] and len(vocabulary) == 20
+    got = quality.context_sums(frame(spark, rows).repartition(3), "text", vocabulary, 1)
+    place, sign = quality.index_vectors(len(got), 1)
+    want, numbers = np.zeros_like(got), quality.Numbers(vocabulary)
+    for r in rows:
+        own = [numbers[w] for w in quality.words(r[1].encode())]
+        for i, a in enumerate(own):
+            for b in own[max(0, i - 2) : i] + own[i + 1 : i + 3]:
+                want[a, place[b]] += sign[b].astype(int)
+    assert (got == want).all() and got[quality.SHARED :].any(1).all()
+
+
 @pytest.mark.parametrize("score", [quality.score_quality, toxicity.score_toxicity])
 def test_held_out_labels_and_odd_tables(spark, score):
     rows, labels = training(n=120)
