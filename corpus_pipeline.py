@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpoint, join_bounded, stored, table
+from codeloom.llm.common import checkpoint, join_bounded, shared_folder, table
 from codeloom.llm.decontaminate import decontaminate
 from codeloom.llm.minhash import groups
 from codeloom.llm.mixing import mix_documents
@@ -77,10 +78,33 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ]
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = stored(docs)
-    return docs
+def place(spark: SparkSession, path: str):
+    """The file system of a path in whatever store it is, and the path there."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    fs, at = place(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def run(spark: SparkSession, sf_dir: str, resume: str | None = None) -> DataFrame:
+    """The rows of the last stage.
+
+    Each stage's rows are written to a folder named after it in the shared
+    folder, and those of the stage before it are removed then. `resume` names a
+    run: one that was begun under that name, over the same tables, goes on from
+    its last stage that was written whole.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{resume or uuid.uuid4().hex}"
+    paths = [f"{folder}/{at}-{name}" for at, (name, _) in enumerate(STAGES[:-1])]
+    done = max((at for at, p in enumerate(paths) if resume and complete(spark, p)), default=-1)
+    docs = table(spark, sf_dir, "documents") if done < 0 else spark.read.parquet(paths[done])
+    for at in range(done + 1, len(paths)):
+        STAGES[at][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[at])
+        docs = spark.read.parquet(paths[at])
+        if at:
+            fs, before = place(spark, paths[at - 1])
+            fs.delete(before, True)
+    return STAGES[-1][1](spark, docs, sf_dir)
