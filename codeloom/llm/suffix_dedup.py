@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_bounded, merged, mix64, shuffle_width, slices, table, text_bytes
+from .common import checkpoint, join_bounded, merged, mix64, shuffle_width, slices, table, text_bytes, tidy
 
 GRAM = 32
 TABLE = mix64(np.arange(256, dtype=np.uint64))
@@ -197,10 +197,13 @@ def repeated_strings(docs: DataFrame, *, text_col: str = "text", id_col: str = "
     # of equal texts only the first document matters: the others are covered by it
     found = rows.select("row", "text").mapInArrow(grams, "gram long, row long").groupBy("gram", "row").agg(F.count("*").alias("c"))
     found = checkpoint(found.join(first, "row", "left_semi"))
+    tidy(docs.sparkSession)
     counts = found.groupBy("gram").agg(F.sum("c").alias("all")).filter("all > 1")
     level = F.when(F.col("all") <= often[0], 0).when(F.col("all") <= often[1], 1).otherwise(2)
     listed = found.join(counts, "gram").select("row", F.struct("gram", level.alias("level")).alias("g")).groupBy("row").agg(F.collect_list("g").alias("g"))
     listed = checkpoint(listed.select("row", F.col("g.gram").alias("grams"), F.col("g.level").alias("levels")))
+    del found, counts
+    tidy(docs.sparkSession)
     some = join_bounded(rows, listed.select("row"), ["row"], rows=1_000_000).dropDuplicates(["row"])
     steps = (length - GRAM + 1, 9, 1)
 
