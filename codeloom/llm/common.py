@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,12 +43,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Has the driver collect its garbage: shuffle files of steps that are checkpointed stay on the executors' disks until it does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df as written to Parquet in the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
