@@ -80,6 +80,13 @@ def quantize(vector: Column | str) -> Column:
     return F.transform(column(vector), lambda x: F.greatest(F.least(x.cast("double") * 127, F.lit(127.0)), F.lit(-127.0)).cast("tinyint"))
 
 
+def l2_normalize(vector: Column | str) -> Column:
+    """The vector at length 1, as floats; one of length 0 as it is."""
+    v = column(vector)
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.when(length == 0, v.cast("array<float>")).otherwise(F.transform(v, lambda x: (x.cast("double") / length).cast("float")))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(column(a), column(b), lambda x, y: x.cast("long") * y.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
 
@@ -101,3 +108,20 @@ def is_subsequence(needle: str, hay: Column | str) -> Column:
 def age(seconds: Column | str) -> Column:
     s = column(seconds)
     return F.when(s < 3600, F.lit("<1h")).when(s < 48 * 3600, F.concat(F.floor(s / 3600).cast("string"), F.lit("h"))).otherwise(F.concat(F.floor(s / 86400).cast("string"), F.lit("d")))
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once wherever body uses it, inside lambdas too."""
+    return F.transform(F.array(value), body)[0]
+
+
+def concept_query(name: Column | str, doc: Column | str) -> Column:
+    """What a doc says without the words of its symbol's name: the first ten of its other words, in lower case; null if fewer than three are left, or fewer than two of the ten are informative."""
+    others = let(tokens(name), lambda own: F.filter(F.regexp_extract_all(column(doc), F.lit("[A-Za-z]+"), F.lit(0)), lambda w: ~F.array_contains(own, F.lower(w)) & ~F.arrays_overlap(tokens(w), own)))
+
+    def told(words: Column) -> Column:
+        first = F.transform(F.slice(words, 1, 10), lambda w: F.lower(w))
+        telling = F.filter(first, lambda w: (F.length(w) >= 3) & ~w.isin(*naming.CONCEPT_STOPWORDS))
+        return F.when((F.size(words) >= 3) & (F.size(telling) >= 2), F.array_join(first, " "))
+
+    return let(others, told)

@@ -64,9 +64,20 @@ SYNONYMS = (
 )
 
 # Words that say nothing about a query.
-STOPWORDS = frozenset(
-    "the a an of for and or to in on at by with from as is are was be been this that these those it its if not no all any can cant will should may when "
-    "which who what how into out up down over under than then them they there here also such some same other using used use does doesnt why after before while".split()
+STOPWORDS = (
+    "the", "a", "an", "of", "for", "and", "or", "to", "in", "on", "at", "by", "with", "from", "as", "is", "are", "was", "be", "been",
+    "this", "that", "these", "those", "it", "its", "if", "not", "no", "all", "any", "can", "cant", "will", "should", "may", "when",
+    "which", "who", "what", "how", "into", "out", "up", "down", "over", "under", "than", "then", "them", "they", "there", "here", "also",
+    "such", "some", "same", "other", "using", "used", "use", "does", "doesnt", "why", "after", "before", "while",
+)
+
+# Words that do not tell one concept from another.
+CONCEPT_STOPWORDS = (
+    "the", "a", "an", "of", "for", "and", "or", "to", "in", "on", "at", "by", "with", "from", "as", "is", "are", "was", "be", "been",
+    "this", "that", "these", "those", "it", "its", "if", "not", "no", "all", "any", "can", "will", "should", "may", "when", "which", "who",
+    "what", "how", "into", "out", "up", "down", "over", "under", "than", "then", "them", "they", "there", "here", "also", "such", "some",
+    "same", "other", "given", "returns", "return", "gets", "sets", "value", "values", "instance", "new", "specified", "using", "used",
+    "use",
 )
 
 #: Where an identifier breaks: between a lower letter or digit and what starts anew, inside an acronym before its last capital, around digits.

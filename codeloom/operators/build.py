@@ -9,7 +9,8 @@ from ..functions.exprs import derive_namespace
 from ..functions.naming import normalize_hint
 from ..sources.extract import extract
 from ..sources.tree import Filter, scan
-from .incremental import merkle_diff, patch
+from ..storage import current, publish
+from .incremental import export, merkle_diff, open_files, open_snapshot, patch
 from .resolve import file_namespaces, resolve_edges
 from .verbs import CodeGraph
 
@@ -58,6 +59,24 @@ def refresh(spark: SparkSession, root: str, g: CodeGraph, stored: DataFrame, fil
     return patch(g, symbols.drop("idx"), raw_edges_of(parsed, symbols), touched), files.drop("content"), change
 
 
+def publish_index(g: CodeGraph, files: DataFrame, index: str) -> str:
+    """Writes a graph and its files as the current version of an index; gives its folder."""
+    return publish(g.symbols.sparkSession, index, lambda folder: export(g, folder, files))
+
+
+def open_index(spark: SparkSession, index: str) -> tuple[CodeGraph, DataFrame]:
+    """The current version of an index: its graph and files."""
+    folder = current(spark, index)
+    return open_snapshot(spark, folder), open_files(spark, folder)
+
+
+def import_snapshot(spark: SparkSession, artifact: str, root: str, index: str, filter_: Filter | None = None) -> DataFrame:
+    """Takes an exported snapshot as a tree's index, patched to the tree as it is; gives what the snapshot did not cover (path, state). One of another schema version is an error, and the index stays as it was."""
+    g, files, change = refresh(spark, root, open_snapshot(spark, artifact), open_files(spark, artifact), filter_)
+    publish_index(g, files, index)
+    return change.filter("state IN ('changed', 'added', 'deleted')")
+
+
 def dependency_map(spark: SparkSession, root: str, namespace: str, version: str) -> tuple[DataFrame, DataFrame]:
     """(symbols at tier 1, depfiles) of a dependency's directory."""
     files = scan(spark, root, Filter(skipped_dirs=(".git",)))

@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Recall that all groups together, and each of them, must reach.
+BAR_ALL, BAR_EACH = 0.95, 0.90
+
 
 def confusion(predicted: DataFrame, truth: DataFrame, key: list[str], group: str = "grp") -> DataFrame:
     """Per group: tp, fp, fn, recall, precision (1 where nothing is asked or given) and f1."""
@@ -17,6 +20,14 @@ def confusion(predicted: DataFrame, truth: DataFrame, key: list[str], group: str
     return n.withColumn("f1", F.when(F.col("recall") + F.col("precision") == 0, 0.0).otherwise(2 * F.col("recall") * F.col("precision") / (F.col("recall") + F.col("precision"))))
 
 
+def micro_average(counts: DataFrame, group: str = "grp", *, bar_each: float = BAR_EACH, bar_all: float = BAR_ALL) -> DataFrame:
+    """Per group of counts (group, graded, tp, fp, fn), and over all groups (overall): how many rows are graded, recall and precision of their sums, and whether recall reaches the bar. Without a graded row a group has none of these; of all groups they are 1."""
+    own = lambda c: F.coalesce(F.sum(F.when(F.col("graded"), F.col(c))), F.lit(0)).alias(c)
+    n = counts.rollup(group).agg((F.grouping(group) == 1).alias("overall"), F.count_if("graded").alias("n_graded"), own("tp"), own("fp"), own("fn"))
+    ratio = lambda a, b: F.when(F.col("overall") | (F.col("n_graded") > 0), F.when(F.col(a) + F.col(b) == 0, 1.0).otherwise(F.col(a) / (F.col(a) + F.col(b))))
+    return n.select(group, "overall", "n_graded", ratio("tp", "fn").alias("recall"), ratio("tp", "fp").alias("precision")).withColumn("passes", F.col("recall") >= F.when(F.col("overall"), bar_all).otherwise(bar_each))
+
+
 def hit_at_k(ranked: DataFrame, accept: DataFrame, k: int = 5) -> DataFrame:
     """Per question of ranked (q, id, rank): whether one of accept (q, id) is among the first k (ranks from 1)."""
     hits = ranked.filter(F.col("rank") <= k).join(accept.select("q", "id").distinct(), ["q", "id"], "left_semi").select("q").distinct().withColumn("h", F.lit(True))
@@ -39,6 +50,13 @@ def paired_deltas(runs: DataFrame, a: str, b: str) -> DataFrame:
     return left.join(right, "task").withColumn("delta", F.col("b") - F.col("a"))
 
 
+def paired_summary(runs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row on the tasks that both arms ran: n_paired, median_reduction (of b against a, in percent of a; 0 where a is 0) and win_rate (percent of tasks in which b is below a); the last two are null without a task."""
+    pairs = paired_deltas(runs, a, b).filter("a IS NOT NULL AND b IS NOT NULL")
+    cut_by = F.when(F.col("a") == 0, 0.0).otherwise(100 * (F.col("a") - F.col("b")) / F.col("a"))
+    return pairs.agg(F.count("*").alias("n_paired"), F.median(cut_by).alias("median_reduction"), (100 * F.avg((F.col("b") < F.col("a")).cast("double"))).alias("win_rate"))
+
+
 def bootstrap_ci(values: DataFrame, *, replicates: int = 5000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Mean and percentile interval of value over resamples: each row counts in each replicate as often as a Poisson draw of its id's hash says, so no rows are gathered."""
     reps = values.select("id", "value", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
@@ -80,3 +98,36 @@ def round_robin(candidates: DataFrame, k: int = 10) -> DataFrame:
     turn = candidates.withColumns({"turn": F.row_number().over(inside), "best": F.max("score").over(Window.partitionBy("q", "family"))})
     w = Window.partitionBy("q").orderBy("turn", F.desc("best"), "family", "id")
     return turn.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "id", "rank")
+
+
+def family_discount(candidates: DataFrame, *, tau: float, beta: float, k: int = 5) -> DataFrame:
+    """Per question, the first k of candidates (q, id, rank from 1, vec or null) by 1 / (59 + rank), less the share beta of the largest cosine with a candidate of the same family that ranks before it.
+
+    Families are joined by cosines of tau or more. A question's candidates are
+    a list that a limit bounds, so each goes to one call.
+    """
+    import numpy as np
+
+    def rerank(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
+        n, width = len(pdf), max((len(v) for v in pdf["vec"] if v is not None), default=0)
+        vec = np.array([np.zeros(width) if v is None else np.asarray(v, dtype=float) for v in pdf["vec"]]).reshape(n, width)
+        size = np.sqrt((vec * vec).sum(axis=1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            near = np.nan_to_num(vec @ vec.T / np.outer(size, size))
+        family, linked = np.arange(n), near >= tau
+        linked[size == 0, :] = linked[:, size == 0] = False
+        np.fill_diagonal(linked, True)
+        while True:
+            least = np.where(linked, family[None, :], n).min(axis=1)
+            if (least == family).all():
+                break
+            family = least
+        before = (family[:, None] == family[None, :]) & np.tri(n, k=-1, dtype=bool) & (size > 0)[None, :]
+        most = np.where(before, near, -np.inf).max(axis=1, initial=-np.inf)
+        score = (1.0 - beta * np.where(np.isinf(most), 0.0, most)) / (60.0 + np.arange(n))
+        first = np.argsort(-score, kind="stable")[:k]
+        return pd.DataFrame({"q": pdf["q"].iloc[first].to_numpy(), "id": pdf["id"].iloc[first].to_numpy(), "rank": np.arange(1, len(first) + 1)})
+
+    types = dict(candidates.dtypes)
+    return candidates.groupBy("q").applyInPandas(rerank, f"q {types['q']}, id {types['id']}, rank int")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, naming
 from ..operators import depmaps, evaluate, incremental, nav, profile, resolve, retrieval, search, text, verbs, workspace
 from ..operators import graph as graphs
 from ..schema import EDGES
@@ -677,24 +677,26 @@ def workspace_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame,
     return members, defs, ask
 
 
-LADDER_SQL = f"""WITH {WS_SQL}, f AS (SELECT edge_key, member, CASE WHEN dst_qualifier <> '' AND parent = dst_qualifier THEN 0 ELSE 1 END AS k, file, line FROM ask JOIN defs ON name = dst_name AND member <> consumer),
-pm AS (SELECT edge_key, member, count(*) AS n, arg_min(file, (line, file)) AS file FROM (SELECT *, min(k) OVER (PARTITION BY edge_key, member) AS mk FROM f) WHERE k = mk GROUP BY 1, 2),
+QN = "CASE WHEN parent <> '' THEN parent || '.' || name ELSE name END"
+LADDER_CTE = f"""f AS (SELECT edge_key, member, CASE WHEN dst_qualifier <> '' AND parent = dst_qualifier THEN 0 ELSE 1 END AS k, file, line, name, parent, ask.consumer FROM ask JOIN defs ON name = dst_name AND member <> consumer),
+pref AS (SELECT * FROM (SELECT *, min(k) OVER (PARTITION BY edge_key, member) AS mk FROM f) WHERE k = mk),
+pm AS (SELECT edge_key, member, count(*) AS n, arg_min(file, (line, file)) AS file, arg_min({QN}, (line, file)) AS qname FROM pref GROUP BY 1, 2),
 o AS (SELECT edge_key, sum(n) AS total, count(*) FILTER (WHERE n = 1) AS singles, min(member) FILTER (WHERE n = 1) AS single FROM pm GROUP BY 1),
 cl AS (SELECT edge_key, count(*) AS owners, min(id) AS owner FROM ask JOIN mem ON id <> consumer AND dst_ns <> '' AND (ns = dst_ns OR (starts_with(dst_ns, ns) AND substr(dst_ns, length(ns) + 1, 1) IN ('/', '.', '\\'))) GROUP BY 1),
-r AS (SELECT ask.edge_key, coalesce(owners = 1 AND w.n = 1, false) AS a, coalesce(singles = 1, false) AS b, coalesce(total, 0) AS total, owner, single FROM ask LEFT JOIN cl USING (edge_key) LEFT JOIN o USING (edge_key) LEFT JOIN pm w ON w.edge_key = ask.edge_key AND w.member = cl.owner)
-SELECT r.edge_key, CASE WHEN a THEN 'cross_repo_import' WHEN b THEN 'cross_repo_name' WHEN total >= 2 THEN 'ambiguous' ELSE 'none' END AS outcome, CASE WHEN a THEN 'exact' WHEN b THEN 'inferred' ELSE '' END AS confidence,
-  CASE WHEN a THEN owner WHEN b THEN single ELSE '' END AS to_member, coalesce(pm.file, '') AS to_file, CAST(total AS BIGINT) AS candidate_count
-FROM r LEFT JOIN pm ON pm.edge_key = r.edge_key AND pm.member = CASE WHEN a THEN owner WHEN b THEN single END"""
+r AS (SELECT ask.edge_key, coalesce(owners = 1 AND w.n = 1, false) AS a, coalesce(singles = 1, false) AS b, coalesce(total, 0) AS total, owner, single FROM ask LEFT JOIN cl USING (edge_key) LEFT JOIN o USING (edge_key) LEFT JOIN pm w ON w.edge_key = ask.edge_key AND w.member = cl.owner),
+ladder AS (SELECT r.edge_key, CASE WHEN a THEN 'cross_repo_import' WHEN b THEN 'cross_repo_name' WHEN total >= 2 THEN 'ambiguous' ELSE 'none' END AS outcome, CASE WHEN a THEN 'exact' WHEN b THEN 'inferred' ELSE '' END AS confidence,
+  CASE WHEN a THEN owner WHEN b THEN single ELSE '' END AS to_member, coalesce(pm.file, '') AS to_file, coalesce(pm.qname, '') AS to_qname, CAST(total AS BIGINT) AS candidate_count
+FROM r LEFT JOIN pm ON pm.edge_key = r.edge_key AND pm.member = CASE WHEN a THEN owner WHEN b THEN single END),
+cand AS (SELECT edge_key, {COUNT} AS candidate_count, string_agg(member || ':' || file, ',' ORDER BY member <> 'NATION_' || (c.ord + 1) % 25, m.ord, file, line, {QN}) AS candidates, string_agg(member || ':' || file || ':' || {QN}, ',' ORDER BY member <> 'NATION_' || (c.ord + 1) % 25, m.ord, file, line, {QN}) AS named FROM pref JOIN mem m ON m.id = member JOIN mem c ON c.id = consumer GROUP BY 1)"""
 
 
-@query(LADDER_SQL)
+@query(f"WITH {WS_SQL}, {LADDER_CTE} SELECT * FROM ladder")
 def cross_ladder(spark, d):
     members, defs, ask = workspace_tables(spark, d)
     return workspace.cross_ladder(ask, members, defs)
 
 
-@query(f"""WITH {WS_SQL}, c AS (SELECT edge_key, member, file, name, line, m.ord, member = 'NATION_' || (con.ord + 1) % 25 AS named FROM ask JOIN defs ON name = dst_name AND member <> consumer JOIN mem m ON m.id = member JOIN mem con ON con.id = consumer)
-SELECT edge_key, {COUNT} AS candidate_count, string_agg(member || ':' || file, ',' ORDER BY NOT named, ord, file, line, name) AS candidates FROM c GROUP BY 1""")
+@query(f"WITH {WS_SQL}, {LADDER_CTE} SELECT edge_key, candidate_count, candidates FROM cand")
 def ambiguity_candidates(spark, d):
     members, defs, ask = workspace_tables(spark, d)
     found = workspace.candidates(ask, members, defs)
@@ -712,7 +714,7 @@ def suppressions(spark, d):
     return workspace.suppressions(files, members)
 
 
-@query("SELECT c_custkey AS edge_key, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN 'old' WHEN c_custkey % 2 = 0 OR c_custkey % 5 <> 0 THEN 'new' ELSE 'old' END AS src, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'exact' ELSE 'inferred' END AS confidence FROM customer")
+@query("SELECT c_custkey AS edge_key, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS src, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 2 = 0 THEN 'exact' ELSE 'inferred' END AS confidence FROM customer")
 def strong_wins_upsert(spark, d):
     k = F.col("c_custkey")
     c = table(spark, d, "customer")
@@ -721,6 +723,73 @@ def strong_wins_upsert(spark, d):
     return workspace.strong_wins(old, new, ["edge_key"])
 
 
+PASS_SQL = f"""{WS_SQL.replace("mem AS", "mem0 AS").replace("defs AS", "defs0 AS").replace("ask AS", "ask0 AS")},
+live AS (SELECT n_name AS id, 'root' || n_nationkey AS root FROM nation WHERE n_regionkey <> 4),
+mem AS (SELECT * FROM mem0 WHERE id IN (SELECT id FROM live)), defs AS (SELECT * FROM defs0 WHERE member IN (SELECT id FROM live)),
+site AS (SELECT p_partkey AS edge_key, 'src/' || p_brand AS src_file, p_type || '.f' || p_size % 3 AS src_qname, CAST(p_size % 4 AS INTEGER) AS line FROM part),
+df AS (SELECT 'NATION_' || s_suppkey % 25 AS member, 'geo/' || s_nationkey % 5 || '/NATION_' || s_nationkey AS namespace, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'v' || s_suppkey % 9 END AS version FROM supplier),
+sup AS (SELECT member AS consumer, namespace, min(id) AS owner, coalesce(min(version) FILTER (WHERE version <> ''), '') AS suppressed_version FROM df JOIN mem ON id <> member AND ns = namespace WHERE member IN (SELECT id FROM live) GROUP BY 1, 2 HAVING count(DISTINCT id) = 1),
+calls AS (SELECT l_orderkey AS k, min((l_partkey, l_suppkey)) AS x FROM lineitem GROUP BY 1),
+tier1 AS (SELECT o_orderkey + 1000000000 AS edge_key, 'NATION_' || c_nationkey AS consumer, p_name || ' ' || p_size AS dst_name, '' AS dst_qualifier, 'geo/' || s_nationkey % 5 || '/NATION_' || s_nationkey AS dst_ns, p_partkey AS l_partkey FROM calls JOIN orders ON o_orderkey = k JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = x[1] JOIN supplier ON s_suppkey = x[2]),
+every AS (SELECT ask0.*, src_file, src_qname, line FROM ask0 JOIN site USING (edge_key) WHERE consumer IN (SELECT id FROM live) UNION ALL SELECT t.edge_key, t.consumer, t.dst_name, t.dst_qualifier, t.dst_ns, src_file, src_qname, line FROM tier1 t JOIN site ON site.edge_key = l_partkey JOIN sup ON sup.consumer = t.consumer AND sup.namespace = t.dst_ns),
+ask AS (SELECT edge_key, consumer, dst_name, dst_qualifier, dst_ns FROM every), {LADDER_CTE}"""
+
+
+def resolved_workspace(spark: SparkSession, d: str) -> workspace.Overlay:
+    """One pass over the nations; those of one region have no index. Edges into dependencies are one part of each order: a customer's nation calls it in the supplier's."""
+    members, defs, ask = workspace_tables(spark, d)
+    supp, line, orders, cust, part = (table(spark, d, t) for t in ("supplier", "lineitem", "orders", "customer", "part"))
+    space = F.concat(F.lit("geo/"), F.col("s_nationkey") % 5, F.lit("/NATION_"), "s_nationkey")
+    files = supp.select(F.concat(F.lit("NATION_"), F.col("s_suppkey") % 25).alias("member"), space.alias("namespace"), F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("v"), F.col("s_suppkey") % 9)).alias("version"))
+    site = part.select("p_partkey", F.concat(F.lit("src/"), "p_brand").alias("src_file"), F.concat("p_type", F.lit(".f"), F.col("p_size") % 3).alias("src_qname"), F.lit("calls").alias("kind"), (F.col("p_size") % 4).cast("int").alias("line"), F.concat_ws(" ", "p_name", "p_size").alias("called"))
+    edges = ask.join(site.withColumnRenamed("p_partkey", "edge_key"), "edge_key").drop("called")
+    calls = line.groupBy("l_orderkey").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("x")).select("l_orderkey", "x.*")
+    one = calls.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(cust, F.col("c_custkey") == F.col("o_custkey")).join(supp, F.col("s_suppkey") == F.col("l_suppkey")).join(site, F.col("p_partkey") == F.col("l_partkey"))
+    tier_one = one.select((F.col("o_orderkey") + 1_000_000_000).alias("edge_key"), F.concat(F.lit("NATION_"), "c_nationkey").alias("consumer"), F.col("called").alias("dst_name"), F.lit("").alias("dst_qualifier"), F.lit("").alias("dst_ns"), "src_file", "src_qname", "kind", "line", space.alias("target_ns"))
+    roots = table(spark, d, "nation").filter("n_regionkey <> 4").select(F.col("n_name").alias("id"), F.concat(F.lit("root"), "n_nationkey").alias("root"))
+    return workspace.resolve_workspace(members, roots, edges, tier_one, files, defs)
+
+
+LINKS_SQL = f"""{PASS_SQL}, links AS (SELECT consumer AS src_member, src_file, src_qname, to_member AS dst_member, to_file AS dst_file, to_qname AS dst_qname, 'calls' AS kind, line, CASE WHEN bool_or(confidence = 'exact') THEN 'cross_repo_import' ELSE 'cross_repo_name' END AS provenance, CASE WHEN bool_or(confidence = 'exact') THEN 'exact' ELSE 'inferred' END AS confidence FROM every JOIN ladder USING (edge_key) WHERE outcome LIKE 'cross_repo%' GROUP BY ALL)"""
+
+
+@query(f"WITH {LINKS_SQL} SELECT * FROM links")
+def resolve_workspace(spark, d):
+    return resolved_workspace(spark, d).edges
+
+
+@query(f"WITH {LINKS_SQL} SELECT * FROM links WHERE 'NATION_3' IN (src_member, dst_member)")
+def member_edges(spark, d):
+    return workspace.member_edges(resolved_workspace(spark, d), "NATION_3")
+
+
+@query(f"""WITH {PASS_SQL}, x AS (SELECT edge_key, consumer AS src_member, src_file, src_qname, dst_name AS ref_name, 'calls' AS kind, line, dst_ns AS ref_ns FROM every),
+y AS (SELECT x.*, cand.candidate_count, named AS candidates, row_number() OVER (PARTITION BY src_member, src_file, src_qname, ref_name, kind, line ORDER BY edge_key DESC) AS last FROM x JOIN ladder USING (edge_key) JOIN cand USING (edge_key) WHERE outcome = 'ambiguous')
+SELECT src_member, src_file, src_qname, ref_name, kind, line, ref_ns, candidate_count, candidates FROM y WHERE last = 1""")
+def workspace_ambiguities(spark, d):
+    names = F.transform("candidates", lambda c: F.concat_ws(":", c["member"], c["file"], c["qname"]))
+    return resolved_workspace(spark, d).ambiguities.withColumn("candidates", F.array_join(names, ","))
+
+
+@query(f"WITH {PASS_SQL} SELECT 'suppression' AS what, consumer AS a, namespace AS b, owner AS c, suppressed_version AS e FROM sup UNION ALL SELECT 'stamp', id, root, '', '' FROM live")
+def workspace_stamps(spark, d):
+    got = resolved_workspace(spark, d)
+    none = F.lit("")
+    return got.suppressions.select(F.lit("suppression").alias("what"), F.col("consumer").alias("a"), F.col("namespace").alias("b"), F.col("owner").alias("c"), F.col("suppressed_version").alias("e")).unionByName(got.stamps.select(F.lit("stamp").alias("what"), F.col("id").alias("a"), F.col("root").alias("b"), none.alias("c"), none.alias("e")))
+
+
+@query("""WITH n AS (SELECT c_custkey AS k, 'NATION_' || c_nationkey AS src_member, 'f' || c_custkey AS src_file FROM customer)
+SELECT src_member, src_file, CASE WHEN k % 3 = 0 THEN 'new2' WHEN k % 5 = 0 THEN 'new1' ELSE 'old' END AS ref_ns, CAST(CASE WHEN k % 3 = 0 THEN 2 WHEN k % 5 = 0 THEN 1 ELSE 3 END AS BIGINT) AS candidate_count FROM n WHERE k % 2 = 0 OR k % 3 = 0 OR k % 5 = 0""")
+def put_ambiguities(spark, d):
+    """Stored ones meet two waves of new ones, some of the same key."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k, F.concat(F.lit("NATION_"), "c_nationkey").alias("src_member"), F.concat(F.lit("f"), k).alias("src_file"), F.lit("q").alias("src_qname"), F.lit("r").alias("ref_name"), F.lit("calls").alias("kind"), F.lit(1).alias("line"))
+    end = F.struct(F.lit("m").alias("member"), F.lit("f").alias("file"), F.lit("q").alias("qname"))
+    wave = lambda share, ns, n, at: c.filter(k % share == 0).drop("c_custkey").withColumns({"ref_ns": F.lit(ns), "candidate_count": F.lit(n).cast("long"), "candidates": F.array(end), "at": F.lit(at)})
+    new = wave(5, "new1", 1, 1).unionByName(wave(3, "new2", 2, 2))
+    return workspace.put_ambiguities(wave(2, "old", 3, 0).drop("at"), new, "at").select("src_member", "src_file", "ref_ns", "candidate_count")
+
+
 CROSS = "SELECT s_suppkey AS k, 'NATION_' || s_nationkey AS src_member, 'NATION_' || s_suppkey % 25 AS dst_member FROM supplier"
 
 
@@ -763,11 +832,11 @@ def precision_recall_f1(spark, d):
     return found.select("grp", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 
-@query(f"WITH {Q8_SQL}, q AS (SELECT id AS q, vec AS qv FROM v WHERE id % 25 = 0), s AS (SELECT q, id, {DOT.format(a='vec', b='qv')} AS dot FROM v, q WHERE id <> q), r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY dot DESC, id) AS rank FROM s) SELECT r.q, bool_or(a.label = b.label) AS hit FROM r JOIN embeddings a ON a.vec_id = r.q JOIN embeddings b ON b.vec_id = r.id WHERE rank <= 5 GROUP BY r.q")
+@query(f"WITH {Q8_SQL}, q AS (SELECT id AS q, vec AS qv FROM v WHERE id % 20 = 0), s AS (SELECT q, id, {DOT.format(a='vec', b='qv')} AS dot FROM v, q WHERE id <> q), r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY dot DESC, id) AS rank FROM s) SELECT r.q, bool_or(a.label = b.label) AS hit FROM r JOIN embeddings a ON a.vec_id = r.q JOIN embeddings b ON b.vec_id = r.id WHERE rank <= 5 GROUP BY r.q")
 def hit_at_k(spark, d):
     e = table(spark, d, "embeddings")
     vec = retrieval.quantized(e).join(e.select(F.col("vec_id").alias("id"), "label"), "id")
-    asked = vec.filter("id % 25 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"), F.col("label").alias("ql"))
+    asked = vec.filter("id % 20 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"), F.col("label").alias("ql"))
     good = vec.select("id", F.col("label").alias("l"))
     ranked = retrieval.top_k_batch(vec.select("id", "vec"), asked.select("q", "qv"), 5).join(good, "id").join(asked.select("q", "ql"), "q").withColumn("good", F.col("l") == F.col("ql"))
     return evaluate.hit_at_k(ranked, ranked.filter("good").select("q", "id"))
@@ -807,3 +876,76 @@ def mmr_rerank(spark, d):
 @query(None)
 def bootstrap_ci(spark, d):
     return evaluate.bootstrap_ci(table(spark, d, "events").select(F.col("event_id").alias("id"), "value"))
+
+
+@query("""WITH r AS (SELECT d.lang AS grp, d.n_chars >= 400 AS graded, d.n_chars >= 1500 AS p, l.quality = 1 AS t FROM labels l JOIN documents d USING (doc_id)),
+n AS (SELECT grp, grouping(grp) = 1 AS overall, count(*) FILTER (WHERE graded) AS n_graded, count(*) FILTER (WHERE graded AND p AND t) AS tp, count(*) FILTER (WHERE graded AND p AND NOT t) AS fp, count(*) FILTER (WHERE graded AND t AND NOT p) AS fn FROM r GROUP BY GROUPING SETS ((grp), ())),
+s AS (SELECT grp, overall, n_graded, CASE WHEN overall OR n_graded > 0 THEN CASE WHEN tp + fn = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END END AS recall, CASE WHEN overall OR n_graded > 0 THEN CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END END AS precision FROM n)
+SELECT grp, overall, CAST(n_graded AS BIGINT) AS n_graded, round(recall, 6) AS recall, round(precision, 6) AS precision, recall >= CASE WHEN overall THEN 0.95 ELSE 0.9 END AS passes FROM s""")
+def micro_average(spark, d):
+    both = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", F.col("lang").alias("grp"), "n_chars"), "doc_id")
+    p, t = F.col("n_chars") >= 1500, F.col("quality") == 1
+    one = lambda c: c.cast("int")
+    counts = both.select("grp", (F.col("n_chars") >= 400).alias("graded"), one(p & t).alias("tp"), one(p & ~t).alias("fp"), one(t & ~p).alias("fn"))
+    return evaluate.micro_average(counts).withColumns({c: F.round(c, 6) for c in ("recall", "precision")})
+
+
+@query(f"""WITH m AS (SELECT user_id AS task, event_type AS arm, median(value) AS m FROM events GROUP BY 1, 2), p AS (SELECT x.m AS a, y.m AS b FROM m x JOIN m y ON x.task = y.task AND x.arm = 'click' AND y.arm = 'view' WHERE x.m IS NOT NULL AND y.m IS NOT NULL)
+SELECT {COUNT} AS n_paired, round(median(CASE WHEN a = 0 THEN 0 ELSE 100 * (a - b) / a END), 6) AS median_reduction, round(100 * avg(CASE WHEN b < a THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM p""")
+def paired_summary(spark, d):
+    found = evaluate.paired_summary(table(spark, d, "events").select(F.col("user_id").alias("task"), F.col("event_type").alias("arm"), "value"), "click", "view")
+    return found.select("n_paired", *[F.round(c, 6).alias(c) for c in ("median_reduction", "win_rate")])
+
+
+@query(f"""WITH RECURSIVE {Q8_SQL}, s AS (SELECT a.id AS q, b.id, b.vec, {DOT.format(a='b.vec', b='a.vec')} AS dot FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 20 = 0),
+c AS (SELECT * FROM (SELECT q, id, vec, row_number() OVER (PARTITION BY q ORDER BY dot DESC, id) AS rank FROM s) WHERE rank <= 40),
+p AS (SELECT x.q, x.rank AS i, y.rank AS j, {DOT.format(a='x.vec', b='y.vec')} / (sqrt({DOT.format(a='x.vec', b='x.vec')}) * sqrt({DOT.format(a='y.vec', b='y.vec')})) AS near FROM c x JOIN c y ON x.q = y.q AND x.rank <> y.rank),
+fam AS (SELECT q, i, j FROM p WHERE near >= 0.5 UNION SELECT fam.q, fam.i, p.j FROM fam JOIN p ON p.q = fam.q AND p.i = fam.j AND near >= 0.5),
+most AS (SELECT q, i, max(near) AS near FROM fam JOIN p USING (q, i, j) WHERE j < i GROUP BY 1, 2)
+SELECT q, id, rank FROM (SELECT c.q, c.id, CAST(row_number() OVER (PARTITION BY c.q ORDER BY (1.0 - 0.3 * coalesce(CAST(near AS DOUBLE), 0.0)) / (59.0 + c.rank) DESC, c.rank) AS INTEGER) AS rank FROM c LEFT JOIN most ON most.q = c.q AND most.i = c.rank) WHERE rank <= 5""")
+def family_discount(spark, d):
+    """The first five of each question's list of forty; a fortieth place is where the list ends, not a cut of the search."""
+    vec = retrieval.quantized(table(spark, d, "embeddings"))
+    asked = vec.filter("id % 20 = 0").select(F.col("id").alias("q"), F.col("vec").alias("qv"))
+    ranked = retrieval.top_k_batch(vec, asked, 40).join(vec.select("id", F.col("vec").cast("array<double>").alias("vec")), "id")
+    return evaluate.family_discount(ranked, tau=0.5, beta=0.3)
+
+
+# scalars
+
+WORDS = "string_split(lower(regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), ' ')"
+TELLING = ", ".join(f"'{w}'" for w in naming.CONCEPT_STOPWORDS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, list_concat(['get'], {WORDS.format(x="regexp_extract(text, '[A-Za-z]+')")}) AS own FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z]+'), lambda w: NOT list_contains(own, lower(w)) AND NOT list_has_any({WORDS.format(x='w')}, own)) AS words FROM d),
+t AS (SELECT doc_id, words, list_transform(words[1:10], lambda w: lower(w)) AS ten FROM w)
+SELECT doc_id, CASE WHEN len(words) >= 3 AND len(list_filter(ten, lambda w: length(w) >= 3 AND w NOT IN ({TELLING}))) >= 2 THEN array_to_string(ten, ' ') END AS query FROM t""")
+def concept_query(spark, d):
+    """Documents as the comments of symbols named after their first word."""
+    name = F.concat(F.lit("get_"), F.regexp_extract("text", "[A-Za-z]+", 0))
+    return table(spark, d, "documents").select("doc_id", exprs.concept_query(name, "text").alias("query"))
+
+
+@query("""WITH n AS (SELECT vec_id AS id, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n FROM embeddings)
+SELECT id, array_to_string(list_transform(e, lambda x: CAST(round(1000000 * CAST(CAST(CASE WHEN n = 0 THEN x ELSE CAST(x AS DOUBLE) / n END AS FLOAT) AS DOUBLE)) AS BIGINT)), ',') AS vec FROM n""")
+def l2_normalize(spark, d):
+    micro = lambda x: F.round(x.cast("double") * 1_000_000).cast("long").cast("string")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array_join(F.transform(exprs.l2_normalize("embedding"), micro), ",").alias("vec"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ') AS text FROM documents")
+def one_line(spark, d):
+    return table(spark, d, "documents").select("doc_id", exprs.one_line("text").alias("text"))
+
+
+@query("SELECT o_orderkey, CASE WHEN s < 3600 THEN '<1h' WHEN s < 172800 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS s FROM orders)")
+def observed_age(spark, d):
+    """Cents-free prices as seconds: they lie on both sides of every limit."""
+    return table(spark, d, "orders").select("o_orderkey", exprs.age(F.rint("o_totalprice").cast("long")).alias("age"))
+
+
+@query(f"{GRAPH_SQL} SELECT 'files' AS what, count(DISTINCT file) AS n FROM sym UNION ALL SELECT 'symbols', count(*) FROM sym UNION ALL SELECT 'edges', count(*) FROM edge")
+def status_counts(spark, d):
+    g = graph(spark, d)
+    return incremental.status(g, g.symbols.select("file").distinct())
