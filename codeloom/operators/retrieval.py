@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cosine, dot, file_penalty, quantize
+from ..functions.exprs import cosine, file_penalty, quantize
+from ..storage import cut
 
 # How ranks of the lanes count, and how much usage counts.
 LEXICAL_K, VECTOR_K, LITERAL_K = 60, 10, 20
@@ -20,15 +25,90 @@ def top_k(vectors: DataFrame, query: DataFrame, k: int = 50) -> DataFrame:
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 4096) -> DataFrame:
-    """(q, id, rank) of the k largest dot products of each query (q, qv) with all vectors (id, vec) but its own; queries come in blocks of about `rows`, each broadcast, and tasks keep k rows a query before anything is shuffled."""
+class Nearest:
+    """The running k best dot products of a block of queries, all of one length (-1: no vector), over chunks of vectors."""
+
+    def __init__(self, q: np.ndarray, vectors: np.ndarray | None, k: int) -> None:
+        self.q, self.k = q, k
+        self.length = -1 if vectors is None else vectors.shape[1]
+        # sums of products of int8 stay exact
+        self.kind = np.float32 if self.length * 128 * 128 < 1 << 24 else np.float64
+        self.vectors = None if vectors is None else vectors.astype(self.kind)
+        self.floor = np.full(len(q), -np.inf)
+        self.at, self.id, self.dot = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray | None, group: int = 512) -> None:
+        """Vectors of one length; without a product (none, or another length) a pair comes after all others, and then only small ids count."""
+        met = vectors is not None and vectors.shape[1] == self.length
+        if not met:
+            ids = np.sort(ids)[: self.k + 1]
+        columns = np.ascontiguousarray(vectors.T.astype(self.kind)) if met else None
+        found = []
+        for lo in range(0, len(self.q), group):
+            own = slice(lo, lo + group)
+            dots = self.vectors[own] @ columns if met else np.full((len(self.q[own]), len(ids)), -np.inf)
+            floor = self.floor[own].astype(dots.dtype)
+            hit = np.flatnonzero(dots.max(1) >= floor)
+            dots, floor = dots[hit], floor[hit]
+            if len(ids) > self.k + 1 and len(hit):  # the own vector may be among the best
+                open_ = np.flatnonzero(np.isneginf(floor))
+                if len(open_):
+                    floor[open_] = np.partition(dots[open_], -self.k - 1, axis=1)[:, -self.k - 1]
+            i, j = np.nonzero(dots >= floor[:, None])
+            other = self.q[lo + hit[i]] != ids[j]
+            i, j = i[other], j[other]
+            found.append((lo + hit[i], ids[j], dots[i, j].astype(np.float64)))
+        self.merge(*(np.concatenate([own, *new]) for own, new in zip((self.at, self.id, self.dot), zip(*found, strict=True), strict=True)))
+
+    def merge(self, at: np.ndarray, ids: np.ndarray, dots: np.ndarray) -> None:
+        if len(at) == len(self.at):
+            return
+        order = np.lexsort((ids, -dots, at))
+        at = at[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = order[rank < self.k]
+        self.at, self.id, self.dot = at[rank < self.k], ids[kept], dots[kept]
+        last = np.flatnonzero(rank == self.k - 1)
+        self.floor[at[last]] = dots[order[last]]
+
+
+def nearest(queries: dict[int, tuple[np.ndarray, np.ndarray | None]], k: int, chunk: int = 2048):
+    """A function over Arrow batches of (id, vec): (q, id, dot) of the k best of each query among a task's rows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [Nearest(q, vectors, k) for q, vectors in queries.values()]
+        for batch in batches:
+            ids, values = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            sizes = values.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+            flat = values.flatten().to_numpy(zero_copy_only=False)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                for rows in (at[i : i + chunk] for i in range(0, len(at), chunk)):
+                    vectors = None if size < 0 else flat[starts[rows][:, None] + np.arange(size)]
+                    for x in own:
+                        x.add(ids[rows], vectors)
+        for x in own:
+            yield pa.RecordBatch.from_arrays([pa.array(x.q[x.at], pa.int64()), pa.array(x.id, pa.int64()), pa.array(x.dot, pa.float64())], names=["q", "id", "dot"])
+
+    return scan
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, rows: int = 16_384) -> DataFrame:
+    """(q, id, rank) of the k largest dot products of each query (q, qv) with all vectors (id, vec) of int8 but its own; queries come in blocks of about `rows`, each through the driver, and tasks keep k rows a query before anything is shuffled."""
     ranked = Window.partitionBy("q").orderBy(F.desc("dot"), "id")
     out = None
+    queries = cut(queries)
     blocks = max(1, -(-queries.count() // rows))
     for b in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        one = vectors.crossJoin(F.broadcast(own)).filter("id <> q").select("q", "id", dot("vec", "qv").alias("dot"))
+        by_size: dict[int, list[tuple[int, list[int] | None]]] = {}
+        for q, v in queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).select("q", "qv").toLocalIterator():
+            by_size.setdefault(-1 if v is None else len(v), []).append((q, v))
+        own = {n: (np.array([q for q, _ in x], np.int64), None if n < 0 else np.array([v for _, v in x], np.int8).reshape(len(x), n)) for n, x in by_size.items()}
+        one = vectors.select(F.col("id").cast("long"), "vec").mapInArrow(nearest(own, k), "q long, id long, dot double")
         one = one.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).drop("dot")
+        # stored, as answers are read more than once, and before the next block's queries come
+        one = cut(one)
         out = one if out is None else out.unionByName(one)
     return out
 

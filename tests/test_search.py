@@ -47,3 +47,21 @@ def test_evaluation(spark):
     assert tuple(evaluate.percentiles(values, "g", "v").first())[1:] == (4.0, 8.0, 9.0)
     ci = evaluate.bootstrap_ci(spark.range(500).select("id", (F.col("id") % 10).cast("double").alias("value"))).first()
     assert ci["low"] < 4.5 < ci["high"] and ci["high"] - ci["low"] < 1
+
+
+def test_top_k_of_many_queries(spark):
+    import numpy as np
+    from codeloom.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 97 == 0 else rng.integers(-127, 128, 5 if i % 41 == 0 else 8).tolist()) for i in range(600)]
+    rows += [(i + 600, v) for i, v in rows[:60]]  # ties
+    df = spark.createDataFrame(rows, "id long, vec array<tinyint>").repartition(3)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) if a is not None and b is not None and len(a) == len(b) else float("-inf")
+    for most in (4096, 15):
+        got = {}
+        for r in retrieval.top_k_batch(df, df.filter("id % 20 = 0").selectExpr("id AS q", "vec AS qv"), 5, most).orderBy("q", "rank").collect():
+            got.setdefault(r["q"], []).append(r["id"])
+        assert got == {q: [i for _, i in sorted((-dot(v, w), i) for i, w in rows if i != q)[:5]] for q, v in rows if q % 20 == 0}
+    plan = retrieval.top_k_batch(df, df.limit(3).selectExpr("id AS q", "vec AS qv"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan  # pairs are no rows
