@@ -152,3 +152,19 @@ def test_chunk_query_takes_short_copies_and_passages(spark, tmp_path):
     got = {r["doc_id"]: r for r in chunk_dedup.op3_chunk_dedup(spark, str(tmp_path)).collect()}
     assert (got[2]["spans"], got[2]["n_removed"], got[2]["duplicated"]) == (f"0:{len(short)}", len(short), True) and not got[1]["duplicated"]
     assert any(got[10 * (k + 1) + 2]["duplicated"] for k in range(20)) and not any(got[10 * (k + 1) + 1]["duplicated"] for k in range(20))
+
+
+def test_small_components_keep_few_partitions(spark, monkeypatch):
+    from codeloom.llm import graph
+
+    kept, keep = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: kept.append(keep(df)) or kept[-1])
+    edges = spark.range(0, 600, 1, 8).selectExpr("id AS u", "id - id % 30 AS v").unionByName(spark.range(600, 640).selectExpr("id AS u", "id + 1 AS v"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["node"]: r["component"] for r in graph.components(edges).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == {k: k - k % 30 for k in range(600)} | {k: 600 for k in range(600, 641)}
+    assert len(kept) > 4 and all(df.rdd.getNumPartitions() == 1 for df in kept[1:])  # the first is counted to know
